@@ -135,3 +135,18 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "\\### Assistant: </turn> ok"
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS v(conv_id, turn, role)")
     return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra.withColumn("text", F.lit(odd)))
+
+
+def oracle() -> str:
+    """Digests straight from the rows, except the formatted length, rebuilt from the template."""
+    esc = lambda c: f"replace(replace(replace({c}, '\\', '\\\\'), '#', '\\h'), '<', '\\l')"
+    return f"""WITH rows_ AS (
+      SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+    marked AS (SELECT *, coalesce(lag(role) OVER w <> role, true) AS opens FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+    sums AS (SELECT conv_id, count(*) AS n_turns,
+      string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS all_,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+      sum(length({esc('text')}) + 6 + CASE WHEN opens THEN length({esc('role')}) + 13 ELSE 0 END) AS chars
+      FROM marked GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(all_) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM sums"""

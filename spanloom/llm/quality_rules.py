@@ -153,3 +153,23 @@ def filter_documents(docs: DataFrame, rules=RULES, text_col: str = "text") -> Da
     measured = wide.select("_row", *_measured(F.col("_text"), F.col("_w"))).select("*", *_flat())
     kept = measured.where(~base_failed() & verdict(rules))
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+
+
+def oracle(rules=RULES) -> str:
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_FORMS)
+    tests = " AND ".join(f"{r.metric} >= {r.least}" for r in rules if r.least is not None) + " AND " + " AND ".join(f"{r.metric} <= {r.most}" for r in rules if r.most is not None)
+    return f"""WITH split_ AS (
+      SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+    win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM split_, unnest(generate_series(1, len(w) - 2)) AS u(i)),
+    twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS v(k) GROUP BY doc_id),
+    counts AS (SELECT s.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+      (length(text) - length(replace(text, '!', '')))::BIGINT AS n_exclamations,
+      len(list_filter(w, lambda x: x IN ({stops})))::BIGINT AS n_stop_words,
+      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines FROM split_ s LEFT JOIN covered c USING (doc_id)),
+    ratios AS (SELECT *, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word_length, n_symbols / greatest(n_words, 1)::DOUBLE AS symbols_per_word,
+      n_stop_words / greatest(n_words, 1)::DOUBLE AS stop_word_share, n_exclamations / greatest(n_words, 1)::DOUBLE AS exclamations_per_word,
+      n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_share, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+    SELECT *, NOT base_failed AND ({tests}) AS kept FROM ratios"""
