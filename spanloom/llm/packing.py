@@ -129,7 +129,7 @@ def _knapsack(price: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), use
 
 
-def cutting_stock(counts: dict[int, int], size: int, most_steps: int = 2000, patience: int = 40) -> list[tuple[dict[int, int], int]]:
+def cutting_stock(counts: dict[int, int], size: int, most_steps: int = 2000, patience: int = 120) -> list[tuple[dict[int, int], int]]:
     """[(class -> pieces in one sequence, sequences)]; every counted piece gets a slot."""
     classes = sorted(c for c, n in counts.items() if n > 0)
     if not classes:

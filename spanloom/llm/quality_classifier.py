@@ -122,12 +122,12 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> tuple[np.ndarray, dict[str, floa
     codes = np.array(sorted(counts), dtype=np.int64)
     patterns = decode(codes, len(LABELLERS))
     post, chances, share = estimate(patterns, np.array([counts[c] for c in codes], dtype=float), prior=0.8)
+    if not counts:  # an empty table
+        return np.zeros((1 << fit.bits) + 1), {}
     accuracy = {k: float(share * chances[1, i, 2] + (1 - share) * chances[0, i, 1]) for i, k in enumerate(LABELLERS)}
     target_of = dict(zip(codes.tolist(), post))
     total = sum(counts.values())
     weights = np.zeros((1 << fit.bits) + 1)
-    if not total:
-        return weights, accuracy
     part = min(1.0, fit.sample_rows / total)
     picked = id_text(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(fit.seed)), F.lit(1_000_000)) < int(part * 1_000_000))
 

@@ -33,6 +33,8 @@ from .common import bounded_broadcast, documents, forget, id_text, materialize
 from .components import connected_components
 
 MASK = (1 << 64) - 1
+#: So few pairs are always tested at once.
+FEW_PAIRS = 20_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -258,7 +260,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         left = per_key.agg((F.sum(F.col("n") * F.col("n") - F.col("sq")) / 2).cast("long").alias("p")).first()["p"] or 0
         if not left:
             break
-        last = left <= max(20_000, near.final_pairs_per_class * n_classes) or turn >= 12
+        last = left <= max(FEW_PAIRS, near.final_pairs_per_class * n_classes) or turn >= 12
         open_rows = now.join(per_key.select("key"), "key", "left_semi")
         if last:
             x = open_rows.select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
