@@ -1,4 +1,202 @@
-"""Queries of the fact engine and their oracle SQL."""
-def queries(): return {}
-def oracle_sql(): return {}
-def flagship(spark, d): return spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+"""Queries of the fact engine and, for each that SQL can express, its oracle."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import canonical_key
+from .operators import documents as D
+from .operators import facts as X
+from .operators import review as R
+from .session import ship
+from .sources import html
+
+LEAST = {"precision": 0.9, "recall": 0.9, "f1": 0.9, "provenance_recall": 0.9}
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(f):
+    return lambda spark, d: f(_t(spark, d, "documents"))
+
+
+def _facts(f):
+    return lambda spark, d: f(X.propose(_t(spark, d, "documents")))
+
+
+def _both(f):
+    return lambda spark, d: f(X.propose(_t(spark, d, "documents")), _t(spark, d, "documents"))
+
+
+def _runs(f):
+    def run(spark, d):
+        facts = X.propose(_t(spark, d, "documents"))
+        return f(R.expected(facts), R.predictions(facts))
+
+    return run
+
+
+def _pages(f):
+    def run(spark, d):
+        ship(spark)
+        return f(_t(spark, d, "pages"))
+
+    return run
+
+
+def _diff(f):
+    def run(spark, d):
+        p = R.predictions(X.propose(_t(spark, d, "documents")))
+        return f(R.run_diff(p, R.second_run(p)))
+
+    return run
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to facts to cross-document groups, in report order."""
+    return X.crossdoc_groups(X.propose(_t(spark, d, "documents"))).orderBy("category", "field", "key")
+
+
+def _lens(name: str):
+    return lambda spark, d: X.propose(_t(spark, d, "documents"), [x for x in X.LENSES if x[0] == name])
+
+
+def _stage(spark, d):
+    facts = X.propose(_t(spark, d, "documents"))
+    return R.stage_completeness(facts, X.rejections(facts), X.survivors(facts).where("lens <> 'number'"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    lenses = {f"lens_{k}": _lens(k) for k in ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition")}
+    return {
+        "doc_identity": _docs(D.identities),
+        "format_detect": lambda s, d: D.detect_format(_t(s, d, "pages").select("page_id", "url"), "url").select("page_id", "suffix", "format"),
+        "page_and_source_map": _docs(D.page_map),
+        "chunk_token_window": _docs(lambda x: D.chunks(x).drop("chunk_text")),
+        "chunk_pages_overlap": _docs(D.overlapping_pages),
+        "section_carry_forward": _docs(D.sections),
+        "sentence_spans": _docs(D.sentences),
+        "html_blocks": _pages(html.blocks),
+        "html_headings": _pages(html.headings),
+        "html_tag_counts": lambda s, d: html.block_counts(_t(s, d, "pages")),
+        **lenses,
+        "span_roundtrip_check": _both(X.span_check),
+        "resolve_claim_offsets": _both(X.resolve),
+        "value_supported": _docs(X.supported),
+        "canonical_key": lambda s, d: _t(s, d, "benchmark").select("item_id", canonical_key(F.col("text")).alias("key")),
+        "dedup_survivors": _facts(X.survivors),
+        "dedup_clusters": _facts(X.clusters),
+        "dedup_rejections": _facts(X.rejections),
+        "field_conflicts": _facts(X.field_conflicts),
+        "crossdoc_groups": _facts(X.crossdoc_groups),
+        "crossdoc_conflicts": _facts(X.crossdoc_conflicts),
+        "crossdoc_skipped": lambda s, d: X.crossdoc_skipped(X.propose(_t(s, d, "documents")), _t(s, d, "labels")),
+        "source_specificity_pick": _facts(X.specificity_pick),
+        "review_batches": _facts(X.review_batches),
+        "source_context": _both(X.context),
+        "usage_by_stage": lambda s, d: R.usage_by_stage(_t(s, d, "events")),
+        "acceptance_checks": lambda s, d: R.acceptance(_t(s, d, "events")),
+        "confidence_buckets": _facts(R.confidence_buckets),
+        "match_labels": _runs(R.match_labels),
+        "score_by_field": _runs(R.scores),
+        "threshold_failures": _runs(lambda l, f: R.threshold_failures(R.scores(l, f), LEAST)),
+        "calibration_bins": _runs(R.calibration),
+        "run_diff": _diff(lambda x: x),
+        "diff_summary": _diff(R.diff_summary),
+        "integrity_chain": lambda s, d: R.integrity_chain(_t(s, d, "events")),
+        "stage_completeness": _stage,
+        "mutation_sensitivity": lambda s, d: R.mutation_sensitivity(_t(s, d, "benchmark"), _t(s, d, "documents")),
+        "schema_fit": lambda s, d: R.schema_fit(s),
+    }
+
+
+def _id(prefix: str, *parts: str) -> str:
+    return f"'{prefix}' || substr(sha256(concat_ws('|', {', '.join(f"coalesce(({p})::VARCHAR, '')" for p in parts)})), 1, 32)"
+
+
+FOLD = "lower(trim(regexp_replace(trim(regexp_replace(translate({v}, '‐‑‒–—−‘’‚“”„', '------''''\"\"\"\"'), '[ \\t\\n\\r]+', ' ', 'g')), '^[[:punct:]]+|[[:punct:]]+$', '', 'g')))"
+
+
+def _facts_sql(lenses=X.LENSES) -> str:
+    parts = []
+    for lens, category, field, pattern in lenses:
+        p = pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, source, '{lens}' AS lens, '{category}' AS category, '{field}' AS field, i - 1 AS ordinal, ms[i] AS value, gs[i] AS gap"
+            f" FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, regexp_split_to_array(coalesce(text, ''), '{p}') AS gs FROM documents), unnest(generate_series(1, len(ms))) AS u(i)"
+        )
+    at = "(coalesce(sum({f}(value) + {f}(gap)) OVER (PARTITION BY doc_id, lens, field ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {f}(gap))::BIGINT"
+    c, b = at.format(f="length"), at.format(f="strlen")
+    return f"""raw_ AS ({' UNION ALL '.join(parts)}),
+    placed AS (SELECT *, {c} AS start_char, {b} AS start_byte FROM raw_),
+    facts AS (SELECT doc_id, source, lens, category, field, ordinal, value, start_char, start_char + length(value) AS end_char, start_byte, start_byte + strlen(value) AS end_byte,
+      round(((doc_id * 7 + ordinal * 3) % 100) / 100.0, 2)::DOUBLE AS confidence, {_id('cand-', 'doc_id', 'lens', 'category', 'field', 'value', 'start_char')} AS candidate_id FROM placed),
+    keyed AS (SELECT *, {FOLD.format(v='value')} AS key FROM facts),
+    dd AS (SELECT *, min(candidate_id) OVER (PARTITION BY doc_id, lens, category, field, key) AS primary_id FROM keyed),
+    pred AS (SELECT doc_id, category, field, arg_min(value, {{'c': -confidence, 'i': candidate_id}}) AS value, max(confidence) AS confidence, arg_min(start_char, {{'c': -confidence, 'i': candidate_id}}) AS start_char FROM facts GROUP BY ALL),
+    want AS (SELECT doc_id, category, field, CASE WHEN doc_id % 5 = 0 THEN arg_min(value, ordinal) || 'x' ELSE arg_min(value, ordinal) END AS value, min(start_char) AS start_char FROM facts GROUP BY doc_id, category, field),
+    groups_ AS (SELECT category, field, key, count(DISTINCT doc_id) AS n_docs, count(*) AS n_facts, min(candidate_id) AS first_id, {_id('xdg-', 'category', 'field', 'key')} AS group_id FROM keyed GROUP BY category, field, key HAVING count(DISTINCT doc_id) >= 2)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    w = "WITH " + _facts_sql()
+    hits = """, hit AS (SELECT w.doc_id, w.category, w.field, w.value, w.start_char = p.start_char AS exact_place FROM want w JOIN pred p USING (doc_id, category, field, value))"""
+    score = w + hits + """, ev AS (SELECT category, field, 1 AS e, 0 AS a, 0 AS h, 0 AS x FROM want UNION ALL SELECT category, field, 0, 1, 0, 0 FROM pred UNION ALL SELECT category, field, 0, 0, 1, exact_place::INT FROM hit),
+    s AS (SELECT category, field, sum(e)::BIGINT AS expected, sum(a)::BIGINT AS actual, sum(h)::BIGINT AS hits, sum(x)::BIGINT AS exact FROM ev GROUP BY ROLLUP (category, field)),
+    sc AS (SELECT *, round(hits / actual, 6) AS precision, round(hits / expected, 6) AS recall, round(exact / expected, 6) AS provenance_recall, CASE WHEN hits = 0 THEN 0.0 ELSE round(2 * (hits / actual) * (hits / expected) / (hits / actual + hits / expected), 6) END AS f1 FROM s)"""
+    diff = w + """, p2 AS (SELECT doc_id, category, field, CASE WHEN doc_id % 7 = 1 THEN upper(value) ELSE value END AS value, CASE WHEN doc_id % 7 = 2 THEN start_char + 1 ELSE start_char END AS start_char, CASE WHEN doc_id % 7 = 3 THEN round(confidence / 2, 3) ELSE confidence END AS confidence FROM pred WHERE doc_id % 7 <> 0),
+    df AS (SELECT p.doc_id, p.category, p.field, CASE WHEN q.doc_id IS NULL THEN 'removed' WHEN p.value <> q.value THEN 'value_changed' WHEN p.start_char <> q.start_char THEN 'span_changed' WHEN p.confidence <> q.confidence THEN 'confidence_changed' ELSE 'unchanged' END AS kind FROM pred p LEFT JOIN p2 q USING (doc_id, category, field))"""
+    lens = {f"lens_{k}": "WITH " + _facts_sql([x for x in X.LENSES if x[0] == k]) + " SELECT doc_id, source, lens, category, field, ordinal, value, start_char, end_char, start_byte, end_byte, confidence, candidate_id FROM facts" for k in ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition")}
+    text = "coalesce(text, '')"
+    kinds = " UNION ALL ".join(f"SELECT {i}::INT AS ord, '{k}' AS kind" for i, k in enumerate(R.DIFF_KINDS))
+    return {
+        "doc_identity": f"SELECT doc_id, 'doc-' || substr(sha256({text}), 1, 32) AS doc_key, sha256({text}) AS text_sha256, length({text}) AS chars, strlen({text}) AS bytes FROM documents",
+        "format_detect": "WITH s AS (SELECT page_id, regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS suffix FROM pages) SELECT page_id, suffix, CASE " + " ".join(f"WHEN suffix = '{k}' THEN '{v}'" for k, v in D.FORMATS.items()) + " ELSE 'unknown' END AS format FROM s",
+        "page_and_source_map": f"SELECT doc_id, 1::BIGINT AS page_number, 'source' AS kind, 0::BIGINT AS start_char, length({text}) AS end_char, 0::BIGINT AS start_byte, strlen({text}) AS end_byte FROM documents WHERE length({text}) > 0",
+        "chunk_token_window": f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS tok FROM documents),
+          c AS (SELECT doc_id, tok, k FROM t, unnest(generate_series(0, ceil(greatest(len(tok) - {D.WINDOW}, 0) / {D.WINDOW - D.OVERLAP}.0)::BIGINT)) AS u(k) WHERE len(tok) > 0),
+          e AS (SELECT doc_id, k AS chunk_index, k * {D.WINDOW - D.OVERLAP} AS token_start, least(k * {D.WINDOW - D.OVERLAP} + {D.WINDOW}, len(tok)) AS token_end, tok FROM c)
+          SELECT doc_id, chunk_index, token_start, token_end, {_id('chunk-', 'doc_id', 'chunk_index', 'token_start', 'token_end', "array_to_string(tok[token_start + 1:token_end], ' ')")} AS chunk_id FROM e""",
+        "chunk_pages_overlap": f"""WITH s AS (SELECT doc_id, length({text}) AS n, k FROM documents, unnest(generate_series(0, (length({text}) - 1) // 700)) AS u(k) WHERE length({text}) > 0)
+          SELECT doc_id, k AS span_index, array_to_string(generate_series(k * 700 // 1000 + 1, (least((k + 1) * 700, n) - 1) // 1000 + 1), ',') AS pages FROM s""",
+        "section_carry_forward": f"""WITH l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split({text}, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS u(i))
+          SELECT doc_id, line_no, last_value(CASE WHEN len(string_split(line, ' ')) <= 8 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM l WHERE line <> ''""",
+        "sentence_spans": f"""WITH l AS (SELECT doc_id, i - 1 AS sentence_index, ls[i] AS s FROM (SELECT doc_id, string_split(regexp_replace({text}, '([.!?])([ \\n])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS u(i))
+          SELECT doc_id, sentence_index, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY sentence_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char, length(s) AS chars FROM l WHERE s <> ''""",
+        "html_tag_counts": "SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '<h[1-6][ >]'))::BIGINT AS headings, len(regexp_extract_all(coalesce(html, ''), '<p[ >]'))::BIGINT AS paragraphs, len(regexp_extract_all(coalesce(html, ''), '<li[ >]'))::BIGINT AS items, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title FROM pages",
+        **lens,
+        "span_roundtrip_check": w + " SELECT candidate_id, f.doc_id, lens, ordinal, substr(text, start_char + 1, end_char - start_char) = value AS span_ok FROM facts f JOIN documents d USING (doc_id)",
+        "resolve_claim_offsets": w + """, j AS (SELECT f.*, text, start_char + f.doc_id % 3 AS claimed, (length(text) - length(replace(text, value, ''))) // length(value) AS n FROM facts f JOIN documents d USING (doc_id)),
+          r AS (SELECT *, CASE WHEN substr(text, claimed + 1, length(value)) = value THEN 'exact' WHEN n = 1 THEN 'repaired' WHEN length(value) <= 24 AND n > 1 THEN 'ambiguous' ELSE 'unsupported' END AS resolution FROM j)
+          SELECT candidate_id, doc_id, lens, ordinal, claimed, resolution, CASE resolution WHEN 'exact' THEN claimed WHEN 'repaired' THEN instr(text, value) - 1 END AS resolved_start FROM r""",
+        "canonical_key": f"SELECT item_id, {FOLD.format(v='text')} AS key FROM benchmark",
+        "dedup_survivors": w + " SELECT candidate_id, doc_id, lens, category, field, key FROM dd WHERE candidate_id = primary_id",
+        "dedup_rejections": w + f" SELECT {_id('rej-', 'candidate_id', 'primary_id', chr(39) + 'duplicate_candidate' + chr(39))} AS rejection_id, candidate_id, primary_id, 'merged_into:' || primary_id AS message FROM dd WHERE candidate_id <> primary_id",
+        "dedup_clusters": w + " SELECT doc_id, lens, category, field, key, count(*) AS members, count(DISTINCT (start_char, end_char)) AS spans, min(candidate_id) AS primary_id FROM keyed GROUP BY ALL HAVING count(*) >= 2",
+        "field_conflicts": w + " SELECT doc_id, category, field, count(DISTINCT key) AS n_keys, count(*) AS n_facts FROM keyed GROUP BY doc_id, category, field HAVING count(DISTINCT key) >= 2",
+        "crossdoc_groups": w + " SELECT * FROM groups_",
+        "crossdoc_conflicts": w + f" SELECT category, field, count(*) AS n_groups, sum(n_facts)::BIGINT AS n_facts, {_id('xdc-', 'category', 'field')} AS conflict_id FROM groups_ GROUP BY category, field HAVING count(*) > 1",
+        "crossdoc_skipped": w + ", l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) SELECT CASE WHEN quality IS NULL THEN 'missing_manifest' WHEN quality = 0 THEN 'run_not_completed' WHEN toxic = 1 THEN 'schema_missing' END AS reason, count(*) AS n, count(DISTINCT f.doc_id) AS n_docs FROM facts f LEFT JOIN l USING (doc_id) GROUP BY 1",
+        "source_specificity_pick": w + " SELECT category, field, key, arg_min(candidate_id, {'a': end_char - start_char, 'b': length(value), 'c': candidate_id}) AS picked_id FROM keyed GROUP BY category, field, key",
+        "review_batches": w + " SELECT candidate_id, doc_id, ((row_number() OVER (PARTITION BY doc_id ORDER BY lens, field, ordinal) - 1) // 20)::BIGINT AS batch FROM facts",
+        "source_context": w + " SELECT candidate_id, f.doc_id, lens, ordinal, substr(text, greatest(start_char - 30, 0) + 1, least(30, start_char)) AS prefix, substr(text, start_char + 1, end_char - start_char) AS highlight, substr(text, end_char + 1, 30) AS suffix FROM facts f JOIN documents d USING (doc_id)",
+        "usage_by_stage": "SELECT event_type AS stage, count(*) AS calls, round(sum(value), 2) AS tokens, count(DISTINCT user_id) AS runs FROM events GROUP BY 1",
+        "acceptance_checks": "SELECT event_type AS stage, count(*) <= 1000 AS calls_ok, sum(value) > 0 AS tokens_ok FROM events GROUP BY 1",
+        "confidence_buckets": w + " SELECT bucket::INT AS bucket, lo::DOUBLE AS lo, hi::DOUBLE AS hi, count(candidate_id) AS n, round(avg(confidence), 6) AS mean FROM (VALUES (0, 0.0, 0.5), (1, 0.5, 0.8), (2, 0.8, 0.95), (3, 0.95, 1.01)) AS b(bucket, lo, hi) LEFT JOIN facts ON confidence >= lo AND confidence < hi GROUP BY ALL",
+        "match_labels": w + hits + " SELECT * FROM hit",
+        "score_by_field": score + " SELECT category, field, expected, actual, hits, exact, precision, recall, provenance_recall, f1 FROM sc",
+        "threshold_failures": score + ", u AS (" + " UNION ALL ".join(f"SELECT category, field, '{k}' AS metric, {k}::DOUBLE AS value, {v}::DOUBLE AS least FROM sc" for k, v in sorted(LEAST.items())) + ") SELECT * FROM u WHERE value < least",
+        "calibration_bins": w + """, g AS (SELECT least(floor(p.confidence * 5), 4)::INT AS bin, count(*) AS n, avg(p.confidence) AS c, avg(coalesce((p.value = w.value)::INT::DOUBLE, 0.0)) AS a FROM pred p LEFT JOIN want w USING (doc_id, category, field) GROUP BY 1)
+          SELECT b::INT AS bin, coalesce(n, 0)::BIGINT AS n, round(c, 6) AS mean_confidence, round(a, 6) AS accuracy, round(abs(c - a), 6) AS gap FROM generate_series(0, 4) AS s(b) LEFT JOIN g ON g.bin = b""",
+        "run_diff": diff + " SELECT * FROM df",
+        "diff_summary": diff + f" SELECT ord, k.kind, count(df.kind) AS n FROM ({kinds}) k LEFT JOIN df ON df.kind = k.kind GROUP BY ord, k.kind",
+        "integrity_chain": "WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, sha256(event_id || '|' || event_type) AS h FROM events), c AS (SELECT user_id, i, sha256(repeat('0', 64) || h) AS x FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, sha256(c.x || e.h) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1) SELECT user_id, max(i) AS n_events, arg_max(x, i) AS chain_hash FROM c GROUP BY user_id",
+        "stage_completeness": w + ", k AS (SELECT candidate_id FROM dd WHERE candidate_id <> primary_id OR lens <> 'number') SELECT doc_id, count(*) AS expected, count(k.candidate_id) AS accounted, CASE WHEN count(k.candidate_id) = 0 THEN 'pending' WHEN count(k.candidate_id) = count(*) THEN 'complete' ELSE 'partial' END AS state FROM facts f LEFT JOIN k USING (candidate_id) GROUP BY doc_id",
+        "mutation_sensitivity": f"WITH b AS (SELECT item_id, regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') AS w FROM benchmark), h AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all({text}, '[^ \\n]+ [^ \\n]+ [^ \\n]+'))) AS w FROM documents) GROUP BY w) SELECT item_id, coalesce(n, 0) AS kept_in FROM b LEFT JOIN h USING (w) WHERE w <> ''",
+        "schema_fit": "SELECT * FROM (VALUES ('d1', 'reuse', 's1'), ('d2', 'ambiguous', NULL), ('d3', 'refuse', NULL)) AS t(doc, decision, schema)",
+    }
