@@ -8,8 +8,9 @@ by maximum, and two sets agree in a register with a chance close to their Jaccar
    shingle set, and the registers. Documents of one fingerprint form a class.
 2. Bands, subsets of registers, put classes into buckets.
 3. Each round tests, in every bucket that still holds several components, one hub against the
-   members outside its component: bounded by the bucket's size. When the pairs left are few
-   (linear in the classes), all of them are tested, so none is lost.
+   members outside its component: bounded by the bucket's size. Then all pairs left between
+   components are compared inside the join, by size and by one bit a register; only pairs
+   that can reach the threshold leave it, and all of those are tested, so none is lost.
 4. A test compares sizes, then estimates similarity from both classes' registers by maximum
    likelihood, then intersects the full shingle sets. Only exact results make links.
 5. Components of the links, over class representatives.
@@ -53,8 +54,9 @@ class Near:
     #: Pairs whose estimated similarity is this far below the threshold are not intersected:
     #: seven standard errors of the estimate at 256 registers.
     margin: float = 0.17
-    #: All pairs left are tested once they are at most this many per class.
-    final_pairs_per_class: int = 3
+    #: Hub rounds before all pairs left are compared, and how many of these a class may have.
+    hub_rounds: int = 2
+    final_pairs_per_class: int = 200
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -155,6 +157,28 @@ def _band_keys(near: Near):
     return keys
 
 
+def _bits(near: Near):
+    """One bit a register, packed into longs. Equal registers agree; others do by half."""
+
+    @pandas_udf("array<long>")
+    def bits(regs: pd.Series) -> pd.Series:
+        if not len(regs):
+            return pd.Series([], dtype=object)
+        m = np.frombuffer(b"".join(regs), dtype=np.uint8).reshape(len(regs), -1).astype(np.uint64)
+        one = (_mix(m * np.uint64(0x9E3779B97F4A7C15) + np.arange(m.shape[1], dtype=np.uint64)[None, :]) >> np.uint64(63)).astype(np.uint8)
+        return pd.Series(list(np.packbits(one, axis=1).view(np.int64)))
+
+    return bits
+
+
+def _most_bits(near: Near) -> int:
+    """Unlike bits at the threshold, plus seven standard deviations. Unlike minima still share
+    a level in about a quarter of log(base) of the cases."""
+    j = near.percent / 100
+    unlike = near.registers * (1 - j) * (1 - np.log(near.base) / 4) / 2
+    return int(np.ceil(unlike + 7 * np.sqrt(unlike)))
+
+
 def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity from registers that are larger in a, in b, or equal.
 
@@ -239,7 +263,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     full = rows.where("doc_id is not null and n > 0")
     # The representative is the smallest id; its registers are its class's.
     classes = full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = materialize(classes, "near-classes")
+    classes = materialize(classes.withColumn("bits", _bits(near)("regs")), "near-classes")
     n_classes = classes.count()
     keyed = materialize(classes.select("rep", F.explode(_band_keys(near)("regs")).alias("key")), "near-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
@@ -260,12 +284,16 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         left = per_key.agg((F.sum(F.col("n") * F.col("n") - F.col("sq")) / 2).cast("long").alias("p")).first()["p"] or 0
         if not left:
             break
-        last = left <= max(FEW_PAIRS, near.final_pairs_per_class * n_classes) or turn >= 12
+        last = left <= FEW_PAIRS or turn >= near.hub_rounds and left <= near.final_pairs_per_class * n_classes or turn >= 12
         open_rows = now.join(per_key.select("key"), "key", "left_semi")
         if last:
-            x = open_rows.select("key", F.col("rep").alias("a"), F.col("label").alias("la"))
-            y = open_rows.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("a < b and la <> lb").select("a", "b")
+            words = near.registers // 64
+            known = open_rows.join(classes.select("rep", "n", *[F.col("bits")[k].alias(f"s{k}") for k in range(words)]), "rep")
+            side = lambda x: known.select("key", *[F.col(c).alias(c + x) for c in ("rep", "label", "n", *[f"s{k}" for k in range(words)])])
+            unlike = " + ".join(f"bit_count(s{k}a ^ s{k}b)" for k in range(words))
+            near_size = f"100 * least(na, nb) >= {near.percent} * greatest(na, nb)"
+            pairs = side("a").join(side("b"), "key").where(f"repa < repb and labela <> labelb and {near_size} and {unlike} <= {_most_bits(near)}")
+            pairs = pairs.select(F.col("repa").alias("a"), F.col("repb").alias("b"))
         else:
             # Another hub each round: smallest id first, then by a hash of id and round.
             order = F.struct(F.xxhash64(F.col("rep"), F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("rep").alias("rep"), F.col("label").alias("label"))
@@ -273,9 +301,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
             pairs = open_rows.join(hubs, "key").where("label <> lh").select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b"))
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         found.append(_test(pairs, classes, docs, near))
-        tested = tested.unionByName(pairs)
-        for f in found[-1:]:
-            links = links.unionByName(f)
+        tested, links = tested.unionByName(pairs), links.unionByName(found[-1])
         if last:
             label = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
             break

@@ -148,7 +148,7 @@ def test_near_duplicates_rounds_before_the_last(spark, monkeypatch):
         for at in rng.integers(0, 200, int(rng.integers(1, 9))):
             v[at] = f"e{rng.integers(0, 999)}"
         texts.append(" ".join(v))
-    near = set_sketch.Near(words=3, percent=85, final_pairs_per_class=0)
+    near = set_sketch.Near(words=3, percent=85, hub_rounds=3)
     monkeypatch.setattr(set_sketch, "FEW_PAIRS", 50)
     got = set_sketch.near_duplicates(odd(spark, list(enumerate(texts))), near).toPandas().set_index("doc_id")
     s = _sets(texts, 3)
