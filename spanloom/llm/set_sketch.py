@@ -7,17 +7,17 @@ by maximum, and two sets agree in a register with a chance close to their Jaccar
 1. One pass over the texts gives each document its shingle count, a 128-bit fingerprint of the
    shingle set, and the registers. Documents of one fingerprint form a class.
 2. Bands, subsets of registers, put classes into buckets.
-3. Each round tests, in every bucket that still holds several components, one hub against the
-   members outside its component: bounded by the bucket's size. Then all pairs left between
-   components are compared inside the join, by size and by one bit a register; only pairs
-   that can reach the threshold leave it, and all of those are tested, so none is lost.
-4. A test compares sizes, then estimates similarity from both classes' registers by maximum
-   likelihood, then intersects the full shingle sets. Only exact results make links.
+3. Buckets are compared in blocks of bounded size: sizes, one bit a register, then the
+   maximum-likelihood similarity of both classes' registers. A block emits a spanning forest
+   of what passes, never pairs; its components are the groups that can hold links.
+4. The groups are compared in blocks again, now with the full shingle sets; only the exact
+   result makes a link, and again a block emits a spanning forest.
 5. Components of the links, over class representatives.
 
 Defined results: null and empty texts have an empty set and link with nothing; rows without id
-are kept alone with a null component; repeated rows share their class; an empty table gives an
-empty table; extra columns are ignored.
+are kept alone with a null component; repeated rows share their class; of unlike texts under
+one id, one stands for the id in comparisons; an empty table gives an empty table; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from .common import bounded_broadcast, documents, forget, id_text, materialize
 from .components import connected_components
 
 MASK = (1 << 64) - 1
-#: So few pairs are always tested at once.
-FEW_PAIRS = 20_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,9 +52,9 @@ class Near:
     #: Pairs whose estimated similarity is this far below the threshold are not intersected:
     #: seven standard errors of the estimate at 256 registers.
     margin: float = 0.17
-    #: Hub rounds before all pairs left are compared, and how many of these a class may have.
-    hub_rounds: int = 2
-    final_pairs_per_class: int = 200
+    #: Rows and bytes of shingle sets in a chunk; two chunks meet in a block.
+    chunk: int = 1024
+    block_bytes: int = 32 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -157,20 +155,6 @@ def _band_keys(near: Near):
     return keys
 
 
-def _bits(near: Near):
-    """One bit a register, packed into longs. Equal registers agree; others do by half."""
-
-    @pandas_udf("array<long>")
-    def bits(regs: pd.Series) -> pd.Series:
-        if not len(regs):
-            return pd.Series([], dtype=object)
-        m = np.frombuffer(b"".join(regs), dtype=np.uint8).reshape(len(regs), -1).astype(np.uint64)
-        one = (_mix(m * np.uint64(0x9E3779B97F4A7C15) + np.arange(m.shape[1], dtype=np.uint64)[None, :]) >> np.uint64(63)).astype(np.uint8)
-        return pd.Series(list(np.packbits(one, axis=1).view(np.int64)))
-
-    return bits
-
-
 def _most_bits(near: Near) -> int:
     """Unlike bits at the threshold, plus seven standard deviations. Unlike minima still share
     a level in about a quarter of log(base) of the cases."""
@@ -205,111 +189,176 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     return (lo + hi) / 2
 
 
-def _plausible(near: Near):
-    least = near.percent / 100 - near.margin
-
-    @pandas_udf("boolean")
-    def check(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(ra):
-            return pd.Series([], dtype=bool)
-        a = np.frombuffer(b"".join(ra), dtype=np.uint8).reshape(len(ra), -1)
-        b = np.frombuffer(b"".join(rb), dtype=np.uint8).reshape(len(rb), -1)
-        return pd.Series(joint_estimate(a, b, na.to_numpy(float), nb.to_numpy(float), near.base) >= least)
-
-    return check
-
-
-def _linked(near: Near):
-    @pandas_udf("boolean")
-    def check(sa: pd.Series, sb: pd.Series) -> pd.Series:
-        out = np.zeros(len(sa), dtype=bool)
-        for i, (x, y) in enumerate(zip(sa, sb)):
-            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[i] = 100 * both >= near.percent * (len(a) + len(b) - both)
-        return pd.Series(out)
-
-    return check
+def _likely(up, down, same, na, nb, base: float, least: float) -> np.ndarray:
+    """Whether the estimate of joint_estimate is at least ``least``: its likelihood still rises there."""
+    u, v = na / (na + nb), nb / (na + nb)
+    c, step = (base - 1) / base, 1e-6
 
+    def level(j):
+        more, less = (np.maximum(-np.log1p(-np.clip(x, 0, 1) * c) / np.log(base), 1e-12) for x in (u - v * j, v - u * j))
+        return up * np.log(more) + down * np.log(less) + same * np.log(np.maximum(1 - more - less, 1e-12))
+
+    return level(least + step) >= level(least - step)
+
+
+class _Block:
+    """Rows that meet, as arrays ordered by set size; sets only where the exact test is due."""
+
+    def __init__(self, rows: pd.DataFrame, near: Near, table: np.ndarray, exact: bool):
+        rows = rows.sort_values(["n", "rep"], ignore_index=True)
+        self.near, self.rep, self.n = near, rows["rep"].to_numpy(), rows["n"].to_numpy(np.float64)
+        self.side = rows["side"].to_numpy() if rows["side"].nunique() > 1 else None
+        self.comp = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+        self.regs = np.frombuffer(b"".join(rows["regs"]), dtype=np.uint8).reshape(len(rows), -1)
+        self.bits = np.packbits(table[np.arange(self.regs.shape[1])[None, :], self.regs], axis=1).view(np.uint64)
+        self.exact = exact
+        if exact:
+            at = np.cumsum([0, *(len(x) // 8 for x in rows["s"])])
+            self.first, self.last = at[:-1], at[1:]
+            kinds, self.ids = np.unique(np.frombuffer(b"".join(rows["s"]), dtype=np.uint64), return_inverse=True)
+            self.mark = np.zeros(len(kinds), dtype=bool)
+
+    def near_of(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Those of the rows j that pass the tests against row i."""
+        near = self.near
+        j = j[np.bitwise_count(self.bits[j] ^ self.bits[i]).sum(axis=1) <= _most_bits(near)]
+        if len(j):
+            a, b = self.regs[i][None, :], self.regs[j]
+            up, down = (a > b).sum(axis=1), (a < b).sum(axis=1)
+            j = j[_likely(up, down, near.registers - up - down, self.n[i], self.n[j], near.base, near.percent / 100 - near.margin)]
+        if len(j) and self.exact:
+            own = self.ids[self.first[i] : self.last[i]]
+            self.mark[own] = True
+            size = self.last[j] - self.first[j]
+            both = np.add.reduceat(self.mark[np.concatenate([self.ids[self.first[k] : self.last[k]] for k in j])].astype(np.int64), np.cumsum(size) - size)
+            self.mark[own] = False
+            j = j[100 * both >= near.percent * (len(own) + size - both)]
+        return j
+
+    def links(self) -> list[tuple[int, int]]:
+        """A spanning forest of the links between unlike components."""
+        out, comp, left = [], self.comp, len(np.unique(self.comp))
+        reach = np.searchsorted(self.n * self.near.percent, 100 * self.n, side="right")
+        for i in range(len(comp)):
+            if left < 2:
+                break
+            j = np.arange(i + 1, reach[i])
+            j = j[comp[j] != comp[i]]
+            if self.side is not None:
+                j = j[self.side[j] != self.side[i]]
+            j = self.near_of(i, j) if len(j) else j
+            if len(j):
+                joined, at = np.unique(comp[j], return_index=True)
+                out += [(int(self.rep[i]), int(self.rep[k])) for k in j[at]]
+                comp[np.isin(comp, joined)] = comp[i]
+                left -= len(joined)
+        return out
+
+
+def _compare(rows: DataFrame, near: Near, exact: bool) -> DataFrame:
+    """Links (u, v) inside each block of (key, c1, c2); a task holds one block at a time."""
+    block = ["key", "c1", "c2"]
 
-def _test(pairs: DataFrame, classes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold, written."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    sized = sized.where(100 * F.least("na", "nb") >= near.percent * F.greatest("na", "nb"))
-    close = materialize(sized.where(_plausible(near)("ra", "rb", "na", "nb")).select("a", "b"), "near-close")
-    ids = materialize(close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
+    def run(batches):
+        level = np.arange(near.top + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        table = (_mix(level[None, :] + np.arange(near.registers, dtype=np.uint64)[:, None]) >> np.uint64(63)).astype(np.uint8)
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = pdf[block].to_numpy()
+            cuts = [0, *(np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1), len(pdf)]
+            out = []
+            if held and tuple(held[-1][block].iloc[-1]) != tuple(ids[0]):
+                out += _Block(pd.concat(held), near, table, exact).links()
+                held = []
+            for a, b in zip(cuts[:-2], cuts[1:-1]):
+                out += _Block(pd.concat([*held, pdf.iloc[a:b]]) if held else pdf.iloc[a:b], near, table, exact).links()
+                held = []
+            held.append(pdf.iloc[cuts[-2] :])
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
+        if held and (out := _Block(pd.concat(held), near, table, exact).links()):
+            yield pd.DataFrame(out, columns=["u", "v"])
+
+    return rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(run, "u long, v long")
+
+
+def _sweep(members: DataFrame, payload: DataFrame, near: Near, exact: bool) -> DataFrame:
+    """node, component of all links inside the groups of ``members`` (key, rep, w).
+
+    w is the part of a block that a row fills. Groups of one block are compared at once. Larger
+    groups are first compared within chunks that all hold the group's hub, which joins most of
+    a dense group in time linear in its size. Then every pair of chunks meets, but for those
+    whose rows are of one component already. Nothing is left out: a pair is compared or joined.
+    """
+    per = members.groupBy("key").agg(F.ceil(F.sum("w")).alias("chunks"), F.min("rep").alias("hub"))
+    per = materialize(per, "near-per")
+    large = per.where("chunks > 1")
+    zero = F.lit(0).cast("long")
+    rows = members.join(per, "key").select("key", F.pmod(F.xxhash64("rep"), "chunks").alias("c1"), "rep")
+    hubs = large.select("key", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("c1"), F.col("hub").alias("rep"))
+    met = rows.unionByName(hubs).distinct().withColumn("c2", F.col("c1")).withColumn("side", zero).withColumn("label", F.col("rep"))
+    links = materialize(_compare(met.join(payload, "rep"), near, exact), "near-links")
+    label = connected_components(links)
+    if large.limit(1).count():
+        now = members.join(large.select("key"), "key", "left_semi").join(label, F.col("rep") == F.col("node"), "left")
+        now = materialize(now.select("key", "rep", "w", F.coalesce("component", "rep").alias("label")), "near-now")
+        # A component that fills blocks has chunks of its own; small ones share chunks.
+        own = now.groupBy("key", "label").agg(F.sum("w").alias("w"))
+        own = own.withColumn("of", F.when(F.col("w") >= 1, F.col("label")))
+        chunk = own.groupBy("key", "of").agg(F.ceil(F.sum("w")).alias("chunks"), F.count("*").alias("labels"))
+        named = now.join(own.select("key", "label", "of"), ["key", "label"]).alias("r").join(chunk.alias("k"), F.expr("r.key = k.key and r.of <=> k.of"))
+        named = named.select("r.key", "rep", "label", "r.of", F.pmod(F.xxhash64("rep"), "chunks").alias("c"))
+        # Chunks are numbered by a hash of (component, number): any order serves.
+        mark = lambda of, c: F.xxhash64(F.coalesce(of.cast("string"), F.lit("shared")), c)
+        other = chunk.select("key", F.col("of").alias("of2"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("o"))
+        other = other.select("key", "of2", mark(F.col("of2"), F.col("o")).alias("m2"))
+        named = named.withColumn("m1", mark(F.col("of"), F.col("c")))
+        pairs = named.join(other, "key").where("of is null or of2 is null or of <> of2")
+        pairs = pairs.select("key", F.least("m1", "m2").alias("c1"), F.greatest("m1", "m2").alias("c2"), F.when(F.col("m1") != F.col("m2"), F.col("m1")).otherwise(zero).alias("side"), "rep", "label")
+        more = materialize(_compare(pairs.join(payload, "rep"), near, exact), "near-more")
+        label = connected_components(links.unionByName(more))
+    return label
+
+
+def _sets(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
+    """rep, mark, s: the full shingle sets, and their digests, of the documents in ``ids`` (doc_id)."""
     few = bounded_broadcast(ids, ids.count(), 16)
 
     def run(batches):
+        from xxhash import xxh3_128_digest
+
         cache = _WordHash()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "s": [shingles(t, near.words, cache).tobytes() for t in pdf.text]})
+            sets = [shingles(t, near.words, cache).tobytes() for t in pdf.text]
+            yield pd.DataFrame({"rep": pdf.doc_id, "mark": [xxh3_128_digest(x) for x in sets], "s": sets})
 
-    # A class's smallest id can stand on several rows; the set must be the class's own.
-    texts = id_text(docs).join(few, "doc_id", "left_semi")
-    sets = materialize(texts.mapInPandas(run, "doc_id long, s binary").groupBy("doc_id").agg(F.min("s").alias("s")), "near-sets")
-    set_of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
-    met = close.join(set_of("a"), "a").join(set_of("b"), "b")
-    out = materialize(met.where(_linked(near)("sa", "sb")).select("a", "b"), "near-links")
-    forget(close, ids, sets)
-    return out
+    return id_text(docs).join(few, "doc_id", "left_semi").mapInPandas(run, "rep long, mark binary, s binary")
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
     rows = materialize(features(docs, near), "near-rows")
     full = rows.where("doc_id is not null and n > 0")
     # The representative is the smallest id; its registers are its class's.
     classes = full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = materialize(classes.withColumn("bits", _bits(near)("regs")), "near-classes")
-    n_classes = classes.count()
+    classes = materialize(classes, "near-classes")
     keyed = materialize(classes.select("rep", F.explode(_band_keys(near)("regs")).alias("key")), "near-keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    members = materialize(keyed.join(shared.drop("size"), "key"), "near-members")
+    # Buckets of the same members, by two 64-bit digests, are compared once.
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    shared = shared.where("size > 1").groupBy("size", "low", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = materialize(keyed.join(shared, "key").withColumn("w", F.lit(1 / near.chunk)), "near-members")
     forget(keyed)
-    links = spark.createDataFrame([], "a long, b long")
-    tested, label, turn = links, None, 0
-    found: list[DataFrame] = []
-    while True:
-        if label is None:
-            now = members.withColumn("label", F.col("rep"))
-        else:
-            now = members.join(label, members.rep == label.node, "left").select("rep", "key", "hub", F.coalesce("component", "rep").alias("label"))
-        now = materialize(now, "near-now")
-        by_label = now.groupBy("key", "label").agg(F.count("*").alias("c"))
-        per_key = by_label.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("n * n > sq")
-        per_key = materialize(per_key, "near-open")
-        left = per_key.agg((F.sum(F.col("n") * F.col("n") - F.col("sq")) / 2).cast("long").alias("p")).first()["p"] or 0
-        if not left:
-            break
-        last = left <= FEW_PAIRS or turn >= near.hub_rounds and left <= near.final_pairs_per_class * n_classes or turn >= 12
-        open_rows = now.join(per_key.select("key"), "key", "left_semi")
-        if last:
-            words = near.registers // 64
-            known = open_rows.join(classes.select("rep", "n", *[F.col("bits")[k].alias(f"s{k}") for k in range(words)]), "rep")
-            side = lambda x: known.select("key", *[F.col(c).alias(c + x) for c in ("rep", "label", "n", *[f"s{k}" for k in range(words)])])
-            unlike = " + ".join(f"bit_count(s{k}a ^ s{k}b)" for k in range(words))
-            near_size = f"100 * least(na, nb) >= {near.percent} * greatest(na, nb)"
-            pairs = side("a").join(side("b"), "key").where(f"repa < repb and labela <> labelb and {near_size} and {unlike} <= {_most_bits(near)}")
-            pairs = pairs.select(F.col("repa").alias("a"), F.col("repb").alias("b"))
-        else:
-            # Another hub each round: smallest id first, then by a hash of id and round.
-            order = F.struct(F.xxhash64(F.col("rep"), F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("rep").alias("rep"), F.col("label").alias("label"))
-            hubs = open_rows.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.rep").alias("h"), F.col("h.label").alias("lh"))
-            pairs = open_rows.join(hubs, "key").where("label <> lh").select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b"))
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found.append(_test(pairs, classes, docs, near))
-        tested, links = tested.unionByName(pairs), links.unionByName(found[-1])
-        if last:
-            label = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            break
-        label = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        turn += 1
-        forget(now, per_key)
-    if label is None:
-        label = spark.createDataFrame([], "node long, component long")
+    # One id can be the smallest of several classes: the one of the smallest digest stands for it.
+    payload = classes.groupBy("rep").agg(F.min(F.struct("mark", "n", "regs")).alias("x")).select("rep", "x.mark", "x.n", "x.regs")
+    brief = payload.drop("mark")
+    group = materialize(_sweep(members, brief, near, False), "near-groups")
+    weight = F.greatest(F.lit(1 / near.chunk), F.col("n") * 8 / near.block_bytes)
+    grouped = group.join(payload, F.col("node") == F.col("rep")).select(F.col("component").alias("key"), "rep", weight.alias("w"))
+    sets = _sets(docs, group.select(F.col("node").alias("doc_id")), near).groupBy("rep", "mark").agg(F.first("s").alias("s"))
+    label = _sweep(materialize(grouped, "near-grouped"), materialize(payload.join(sets, ["rep", "mark"]).drop("mark"), "near-sets"), near, True)
+    forget(members)
     named = classes.select("mark", "rep").join(label, F.col("rep") == F.col("node"), "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
     out = full.select("doc_id", "n", "mark").join(named, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -138,8 +138,9 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got["component_id"].to_dict() == _components(pairs, ids) and got["n_shingles"].to_dict() == dict(zip(ids, map(len, s)))
 
 
-def test_near_duplicates_rounds_before_the_last(spark, monkeypatch):
-    """Many variants of one text whose hubs differ: several rounds, same components."""
+@pytest.mark.parametrize("limits", [{"chunk": 32}, {"block_bytes": 50_000}])
+def test_near_duplicates_in_many_chunks(spark, limits):
+    """Many variants of one text over many chunks: same components as all pairs."""
     rng = np.random.default_rng(4)
     words = [f"w{x}" for x in range(200)]
     texts = []
@@ -148,8 +149,7 @@ def test_near_duplicates_rounds_before_the_last(spark, monkeypatch):
         for at in rng.integers(0, 200, int(rng.integers(1, 9))):
             v[at] = f"e{rng.integers(0, 999)}"
         texts.append(" ".join(v))
-    near = set_sketch.Near(words=3, percent=85, hub_rounds=3)
-    monkeypatch.setattr(set_sketch, "FEW_PAIRS", 50)
+    near = set_sketch.Near(words=3, percent=85, **limits)
     got = set_sketch.near_duplicates(odd(spark, list(enumerate(texts))), near).toPandas().set_index("doc_id")
     s = _sets(texts, 3)
     pairs = [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j])]
@@ -170,6 +170,9 @@ def test_sketches_merge_and_estimate():
     assert (set_sketch.merge(sa, sb) == set_sketch.sketch(x, near)).all()
     est = set_sketch.joint_estimate(sa[None], sb[None], np.array([2000.0]), np.array([2500.0]), near.base)[0]
     assert abs(est - 0.5) < 0.12
+    up, down = (sa > sb).sum(), (sa < sb).sum()
+    for least in (est - 0.01, est + 0.01):
+        assert set_sketch._likely(up, down, near.registers - up - down, 2000.0, 2500.0, near.base, least) == (least < est)
 
 
 def test_embeddings_against_all_pairs(spark):
