@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import connected_components
+from .components import connected_components, smallest_reachable
 
 
 @dataclass(frozen=True)
@@ -75,19 +75,6 @@ def hashed(vectors: DataFrame, p: PStable) -> DataFrame:
     return classes.mapInPandas(run, "cls long, label long, copies long, unit binary, keys array<long>")
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest reachable row of each row: labels sink along links until they rest."""
-    low = np.arange(n)
-    while True:
-        before = low.copy()
-        m = np.minimum(low[i], low[j])
-        np.minimum.at(low, i, m)
-        np.minimum.at(low, j, m)
-        low = low[low]
-        if np.array_equal(low, before):
-            return low
-
-
 def _block(rows: pd.DataFrame, p: PStable) -> pd.DataFrame:
     rows = rows.sort_values("cls", ignore_index=True)
     table, across = int(rows["t"].iloc[0]), rows["bi"].iloc[0] != rows["bj"].iloc[0]
@@ -114,7 +101,7 @@ def _block(rows: pd.DataFrame, p: PStable) -> pd.DataFrame:
         np.add.at(count, j, copies[i])
         ii.append(i)
         jj.append(j)
-    low = _forest(len(rows), np.concatenate(ii), np.concatenate(jj))
+    low = smallest_reachable(len(rows), np.concatenate(ii), np.concatenate(jj))
     hit = count > 0
     return pd.DataFrame({"cls": cls[hit], "n": count[hit], "low": cls[low[hit]]})
 

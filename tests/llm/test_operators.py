@@ -105,10 +105,11 @@ def _components(pairs, nodes):
             return low
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("chunk", [components.CHUNK, 60])
+def test_connected_components(spark, chunk):
     rng = np.random.default_rng(2)
     pairs = [tuple(map(int, p)) for p in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1200)]
-    got = components.connected_components(spark.createDataFrame(pairs, "u long, v long")).toPandas()
+    got = components.connected_components(spark.createDataFrame(pairs, "u long, v long"), chunk).toPandas()
     want = _components([p for p in pairs if p[0] != p[1]], {n for p in pairs if p[0] != p[1] for n in p})
     assert dict(zip(got["node"], got["component"])) == want and len(got) == len(want)
 
