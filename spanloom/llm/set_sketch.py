@@ -66,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHash(dict):
     """64-bit hashes of words; forgotten when many, as words of a corpus never end."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
         if len(self) > 300_000:
@@ -77,10 +77,7 @@ class _WordHash(dict):
 
 def shingles(text: str, k: int, cache: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's k-word shingles."""
-    import re
-
-    low = text.translate(UPPER) if not text.isascii() else text.lower()
-    words = [w for w in re.split("[\\x20\\x09-\\x0D]+", low) if w]
+    words = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
