@@ -11,6 +11,7 @@ from .functions.text import canonical_key
 from .operators import documents as D
 from .operators import facts as X
 from .operators import review as R
+from .operators import verdicts as V
 from .session import ship
 from .sources import html
 
@@ -57,6 +58,15 @@ def _diff(f):
     return run
 
 
+def _reviewed(f):
+    def run(spark, d):
+        docs = _t(spark, d, "documents")
+        facts = X.propose(docs)
+        return f(facts, V.reports(facts, V.replay(facts), docs))
+
+    return run
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to facts to cross-document groups, in report order."""
     return X.crossdoc_groups(X.propose(_t(spark, d, "documents"))).orderBy("category", "field", "key")
@@ -112,6 +122,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stage_completeness": _stage,
         "mutation_sensitivity": lambda s, d: R.mutation_sensitivity(_t(s, d, "benchmark"), _t(s, d, "documents")),
         "schema_fit": lambda s, d: R.schema_fit(s),
+        "review_reports": _reviewed(lambda facts, reported: reported),
+        "rejection_summary": _reviewed(lambda facts, reported: V.rejection_summary(reported)),
+        "verdict_complaints": _facts(lambda x: V.complaints(x, V.replay(x))),
+        "mirrored_reports": _reviewed(V.mirrored),
+        "candidate_fates": _reviewed(V.fates),
+        "fact_confidence": _reviewed(V.fact_confidence),
+        "run_status": lambda s, d: V.run_status(_t(s, d, "events")),
+        "boundary_events": _facts(V.boundary_events),
+        "boundary_contiguity": _docs(lambda x: V.contiguity(D.sentences(x))),
+        "calibration_error": _runs(lambda l, f: V.expected_calibration_error(R.calibration(l, f))),
+        "normalize_value": lambda s, d: _t(s, d, "benchmark").select("item_id", V.normalize_value(F.col("text")).alias("value")),
     }
 
 
@@ -154,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
     lens = {f"lens_{k}": "WITH " + _facts_sql([x for x in X.LENSES if x[0] == k]) + " SELECT doc_id, source, lens, category, field, ordinal, value, start_char, end_char, start_byte, end_byte, confidence, candidate_id FROM facts" for k in ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition")}
     text = "coalesce(text, '')"
     kinds = " UNION ALL ".join(f"SELECT {i}::INT AS ord, '{k}' AS kind" for i, k in enumerate(R.DIFF_KINDS))
-    return {
+    made = {
         "doc_identity": f"SELECT doc_id, 'doc-' || substr(sha256({text}), 1, 32) AS doc_key, sha256({text}) AS text_sha256, length({text}) AS chars, strlen({text}) AS bytes FROM documents",
         "format_detect": "WITH s AS (SELECT page_id, regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS suffix FROM pages) SELECT page_id, suffix, CASE " + " ".join(f"WHEN suffix = '{k}' THEN '{v}'" for k, v in D.FORMATS.items()) + " ELSE 'unknown' END AS format FROM s",
         "page_and_source_map": f"SELECT doc_id, 1::BIGINT AS page_number, 'source' AS kind, 0::BIGINT AS start_char, length({text}) AS end_char, 0::BIGINT AS start_byte, strlen({text}) AS end_byte FROM documents WHERE length({text}) > 0",
@@ -200,3 +221,28 @@ def oracle_sql() -> dict[str, str]:
         "mutation_sensitivity": f"WITH b AS (SELECT item_id, regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') AS w FROM benchmark), h AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all({text}, '[^ \\n]+ [^ \\n]+ [^ \\n]+'))) AS w FROM documents) GROUP BY w) SELECT item_id, coalesce(n, 0) AS kept_in FROM b LEFT JOIN h USING (w) WHERE w <> ''",
         "schema_fit": "SELECT * FROM (VALUES ('d1', 'reuse', 's1'), ('d2', 'ambiguous', NULL), ('d3', 'refuse', NULL)) AS t(doc, decision, schema)",
     }
+    h = "((doc_id * 3 + ordinal) % 11)"
+    reviewed = w + f""", said AS (
+        SELECT candidate_id, 0 AS pos, CASE {h} WHEN 0 THEN 'r' WHEN 1 THEN 'c' ELSE 'a' END AS code, CASE WHEN {h} = 0 THEN CASE ordinal % 2 WHEN 0 THEN 'span_mismatch' ELSE 'wrong_category' END END AS reason FROM facts WHERE {h} <> 7
+        UNION ALL SELECT candidate_id, 1, 'r', 'wrong_category' FROM facts WHERE ordinal % 5 = 0
+        UNION ALL SELECT 'unknown-' || candidate_id, 0, 'a', NULL FROM facts WHERE {h} = 3),
+      verdict AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY pos) = 1),
+      checked AS (SELECT candidate_id, substr(text, start_char + 1, end_char - start_char) = value AS span_ok FROM facts f JOIN documents d USING (doc_id)),
+      judged AS (SELECT f.candidate_id, doc_id, lens, CASE WHEN code IS NULL THEN 'missing_verdict' WHEN NOT span_ok THEN 'span_mismatch' WHEN code = 'r' AND NOT (v.reason = 'span_mismatch' AND span_ok) THEN v.reason END AS reason
+        FROM facts f JOIN checked USING (candidate_id) LEFT JOIN verdict v ON v.candidate_id = f.candidate_id),
+      report AS (SELECT candidate_id, doc_id, lens, reason IS NULL AS accepted, reason, CASE WHEN reason IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM judged)"""
+    titles, words = "|".join(V.TITLES), "|".join(V.ROLE_WORDS)
+    made |= {
+        "review_reports": reviewed + " SELECT * FROM report",
+        "rejection_summary": reviewed + " SELECT lens, reason, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM report WHERE NOT accepted GROUP BY ROLLUP (lens, reason)",
+        "verdict_complaints": reviewed + " SELECT DISTINCT candidate_id, 'unknown_id' AS complaint FROM said WHERE candidate_id NOT IN (SELECT candidate_id FROM facts) UNION ALL SELECT candidate_id, 'missing_id' FROM facts WHERE candidate_id NOT IN (SELECT candidate_id FROM said)",
+        "mirrored_reports": reviewed + " SELECT dd.candidate_id, primary_id, accepted, r.reason FROM dd JOIN report r ON r.candidate_id = primary_id WHERE dd.candidate_id <> primary_id",
+        "candidate_fates": reviewed + " SELECT dd.candidate_id, CASE WHEN dd.candidate_id <> primary_id THEN 'merged' WHEN accepted THEN 'kept' ELSE 'rejected' END AS fate, CASE WHEN accepted THEN 'kept' ELSE 'rejected' END AS final_fate FROM dd JOIN report r ON r.candidate_id = primary_id",
+        "fact_confidence": reviewed + " SELECT primary_id AS candidate_id, count(*) AS members, least(min(confidence), any_value(score)) AS confidence FROM dd JOIN report r ON r.candidate_id = primary_id GROUP BY primary_id",
+        "run_status": "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS status, arg_max(event_id, {'t': ts, 'e': event_id}) AS last_event FROM events GROUP BY user_id",
+        "boundary_events": w + ", b AS (SELECT doc_id, start_char AS at_, 1 AS priority, candidate_id FROM facts UNION ALL SELECT doc_id, end_char, 0, candidate_id FROM facts) SELECT doc_id, at_ AS at, priority, candidate_id, row_number() OVER (PARTITION BY doc_id ORDER BY at_, priority, candidate_id) AS rank FROM b",
+        "boundary_contiguity": f"WITH s AS ({made['sentence_spans']}), m AS (SELECT doc_id, chars, start_char = coalesce(lag(start_char + chars) OVER (PARTITION BY doc_id ORDER BY start_char), 0) AS fits FROM s) SELECT doc_id, bool_and(fits) AS contiguous, sum(chars)::BIGINT AS covered FROM m GROUP BY doc_id",
+        "calibration_error": f"SELECT sum(n)::BIGINT AS n, round(sum(n * coalesce(gap, 0.0)) / sum(n), 6) AS ece FROM ({made['calibration_bins']})",
+        "normalize_value": f"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '^with +', ''), ' +(?:{words})$', ''), '^(?:{titles}) +([^ ]+ +[^ ].*)$', '\\1') AS value FROM benchmark",
+    }
+    return made

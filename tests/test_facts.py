@@ -7,6 +7,7 @@ from spanloom import registry
 from spanloom.operators import documents as D
 from spanloom.operators import facts as X
 from spanloom.operators import review as R
+from spanloom.operators import verdicts as V
 from spanloom.plans import reports
 
 ORACLES = registry.oracle_sql()
@@ -74,3 +75,21 @@ def test_stream_ingest(spark, tmp_path):
     q = start(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == X.propose(docs).count()
+
+
+def test_reviews_of_few_candidates(spark):
+    docs = spark.createDataFrame([(k, "on 12 and 13 and 14", "s") for k in range(11)], "doc_id long, text string, source string")
+    facts = X.propose(docs, [x for x in X.LENSES if x[0] == "number"])
+    said = V.replay(facts)
+    got = {r["candidate_id"]: r for r in V.reports(facts, said, docs).collect()}
+    for f in facts.collect():
+        h = (f["doc_id"] * 3 + f["ordinal"]) % 11
+        want = {0: "wrong_category" if f["ordinal"] % 2 else None, 7: "wrong_category" if f["ordinal"] % 5 == 0 else "missing_verdict"}.get(h)
+        assert got[f["candidate_id"]]["reason"] == want
+    assert V.reports(facts.limit(0), said, docs).count() == 0
+
+
+def test_normalized_values(spark):
+    given = {"with consent of both": "consent of both", "12 % margin": "12 %", "CEO Ada Byron": "Ada Byron", "CEO Ada": "CEO Ada", "": "", None: None}
+    table = spark.createDataFrame([(k,) for k in given], "v string")
+    assert {r["v"]: r["n"] for r in table.select("v", V.normalize_value(table["v"]).alias("n")).collect()} == given
