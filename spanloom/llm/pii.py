@@ -49,7 +49,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,200})")
+SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,})")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])")
@@ -112,7 +112,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def more_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates outside the base spans: one per place, the first kind that claims it."""
+    """Candidates outside the base spans: one per place, the first kind that claims it.
+
+    A secret that reaches beyond the spans it meets (digits in a long token can pass for a card)
+    stays whole; :func:`redact` covers the spans inside it.
+    """
     got: list[tuple[int, int, int]] = []
     if re.search("[0-9=:]", text):
         got += [(4, m.start(1), m.end(1)) for m in SECRET.finditer(text)]
@@ -121,7 +125,8 @@ def more_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         got += [(7, m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
     used, out = sorted((a, b) for _, a, b in taken), []
     for kind, a, b in got:
-        if not any(x < b and a < y for x, y in used):
+        met = [(x, y) for x, y in used if x < b and a < y]
+        if not met or (kind == 4 and not any(x <= a and b <= y for x, y in met)):
             used.append((a, b))
             out.append((kind, a, b))
     return sorted(out)
@@ -144,7 +149,7 @@ def judge(text: str, kind: int, a: int, b: int) -> tuple[int, list[float]]:
     checksum = 2 if kind == 2 else (2 if _iban(s) else 1) if kind == 6 else (1 if s[:3] in ("000", "666") or s[0] == "9" else 2) if kind == 5 else 0
     mixed = 2 if variety >= 0.35 else 1
     alone = 2 if (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()) else 1
-    shape = [len(s) / 32, len(digits) / max(len(s), 1), variety, float(sum(c.isupper() for c in s)) / max(len(s), 1)]
+    shape = [min(len(s), 200) / 32, len(digits) / max(len(s), 1), variety, float(sum(c.isupper() for c in s)) / max(len(s), 1)]
     return code((pattern, gazetteer, context, checksum, mixed, alone)), shape
 
 

@@ -1,0 +1,19 @@
+"""Cases that operators once did in part only."""
+
+import numpy as np
+import pytest
+
+from spanloom.llm import pii
+
+
+@pytest.mark.parametrize("size", [8, 200, 201, 1000, 100_000])
+def test_secret_is_redacted_whole(spark, size):
+    rng = np.random.default_rng(12)
+    token = "".join(rng.choice(list("abcdefXYZ0123456789._-"), size - 1)) + "Q"
+    card = token[: size // 2] + "x4111111111111111x" + token[size // 2 :]
+    texts = [f"login api_key={t} and then more" for t in (token, card)] + ["plain prose without any of it"] * 3
+    for t, s in zip(texts, (token, card)):
+        assert (4, 14, 14 + len(s)) in pii.more_spans(t, pii.base_spans(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert got == ["login api_key=[secret] and then more"] * 2 + texts[2:]
