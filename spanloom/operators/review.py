@@ -123,11 +123,37 @@ def stage_completeness(facts: DataFrame, rejected: DataFrame, kept: DataFrame) -
     return g.withColumn("state", F.when(F.col("accounted") == 0, "pending").when(F.col("accounted") == F.col("expected"), "complete").otherwise("partial"))
 
 
+def folded(text):
+    """Blanks collapsed and case folded, the form in which A19 looks values up."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)[\\s\\x1c-\\x1f]+", " "))
+    return F.replace(F.replace(F.lower(flat), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+
+
 def mutation_sensitivity(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
-    """Whether each passage's first line, and its changed form, occur in the corpus."""
-    b = benchmark.select("item_id", F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0).alias("w")).where("w <> ''")
-    hit = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\n]+ [^ \\n]+ [^ \\n]+"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return b.join(hit, "w", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("long").alias("kept_in"))
+    """Documents that hold each whole passage (the retired value) and its changed form (the introduced one).
+
+    A passage is one mutation with one change, an x after its first character (at its end, the
+    old passage would still stand in the new one). The share is 1 where the passage is gone and
+    the changed form is there. Words 2 to 4 of a value,
+    at every word offset, find the documents to search; values under five words search all.
+    """
+    forms = F.array(F.struct(F.lit("kept").alias("form"), F.col("text").alias("t")), F.struct(F.lit("changed").alias("form"), F.concat(F.substring("text", 1, 1), F.lit("x"), F.expr("substring(text, 2)")).alias("t")))
+    items = benchmark.select("item_id", folded(F.col("text")).alias("text")).where("text <> ''").distinct()
+    needles = items.select("item_id", F.explode(forms).alias("f")).select("item_id", "f.form", F.col("f.t").alias("needle"))
+    needles = needles.withColumn("w", F.split("needle", " "))
+    keyed = needles.where(F.size("w") >= 5).select("item_id", "form", "needle", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("h"))
+    short = needles.where(F.size("w") < 5).select("item_id", "form", "needle")
+    row = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256)
+    held = docs.select(row.alias("row"), folded(F.col("text")).alias("t"))
+    words = docs.select(row.alias("row"), F.split(folded(F.col("text")), " ").alias("w")).where(F.size("w") >= 3)
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    likely = words.select("row", F.explode(F.array_distinct(windows)).alias("h")).join(keyed, "h").select("row", "item_id", "form", "needle").distinct()
+    found = held.join(likely, "row").where(F.contains("t", "needle")).select("item_id", "form")
+    found = found.unionByName(held.join(short, F.contains("t", "needle")).select("item_id", "form"))
+    n = lambda form: F.sum((F.col("form") == form).cast("long")).alias(f"{form}_in")
+    counts = found.groupBy("item_id").agg(n("kept"), n("changed"))
+    out = items.select("item_id").distinct().join(counts, "item_id", "left").na.fill(0, ["kept_in", "changed_in"])
+    return out.select("item_id", "kept_in", "changed_in", ((F.col("kept_in") == 0) & (F.col("changed_in") > 0)).cast("double").alias("sensitivity"))
 
 
 def schema_fit(spark: SparkSession) -> DataFrame:
