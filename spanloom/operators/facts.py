@@ -81,13 +81,22 @@ def keyed(facts: DataFrame) -> DataFrame:
 
 
 KEY = ("doc_id", "lens", "category", "field", "key")
+#: With the source span, which tells verbatim candidates apart; -1 for canonicalized ones.
+PLACE = (*KEY, "at_start", "at_end")
+
+
+def placed(facts: DataFrame) -> DataFrame:
+    """Facts with the columns of PLACE. All are verbatim unless a column ``status`` says canonicalized."""
+    free = F.coalesce(F.col("status") == "canonicalized", F.lit(False)) if "status" in facts.columns else F.lit(False)
+    at = lambda c: F.when(free, F.lit(-1)).otherwise(F.col(c)).cast("long")
+    return keyed(facts).withColumn("at_start", at("start_char")).withColumn("at_end", at("end_char"))
 
 
 def dedup(facts: DataFrame) -> DataFrame:
-    """Each candidate with the smallest id of its (document, lens, field, key) as primary."""
-    k = keyed(facts)
-    low = k.groupBy(*KEY).agg(F.min("candidate_id").alias("primary_id"))
-    return k.join(low, list(KEY))
+    """Each candidate with the smallest id of its (document, lens, field, key, span) as primary."""
+    k = placed(facts)
+    low = k.groupBy(*PLACE).agg(F.min("candidate_id").alias("primary_id"))
+    return k.join(low, list(PLACE))
 
 
 def survivors(facts: DataFrame) -> DataFrame:
@@ -101,8 +110,8 @@ def rejections(facts: DataFrame) -> DataFrame:
 
 
 def clusters(facts: DataFrame) -> DataFrame:
-    g = keyed(facts).groupBy(*KEY).agg(F.count("*").alias("members"), F.count_distinct("start_char", "end_char").alias("spans"), F.min("candidate_id").alias("primary_id"))
-    return g.where("members >= 2")
+    g = placed(facts).groupBy(*PLACE).agg(F.count("*").alias("members"), F.count_distinct("start_char", "end_char").alias("spans"), F.min("candidate_id").alias("primary_id"))
+    return g.where("members >= 2").select(*KEY, "members", "spans", "primary_id")
 
 
 def field_conflicts(facts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from conftest import SF
 
 from spanloom import registry
+from spanloom.operators import facts as X
 from spanloom.operators import review as R
 
 
@@ -41,3 +42,24 @@ def test_passages_of_the_tables(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     got = _got(registry.queries()["mutation_sensitivity"](spark, sf))
     assert got == _lookup(items, texts) and sum(k for k, _, _ in got.values()) >= 26
+
+
+def test_equal_values_at_different_places_stay(spark):
+    docs = spark.createDataFrame([(1, "12 then 12 and 13", "s"), (2, "12", "s")], "doc_id long, text string, source string")
+    facts = X.propose(docs, [x for x in X.LENSES if x[0] == "number"])
+    assert X.survivors(facts).count() == 4 and X.rejections(facts).count() == 0 and X.clusters(facts).count() == 0
+
+
+def test_candidates_merge_at_one_place_or_canonicalized(spark):
+    rows = [("a", 0, "verbatim_only"), ("b", 0, "verbatim_only"), ("c", 8, "verbatim_only"), ("e", 0, "canonicalized"), ("d", 8, "canonicalized"), ("f", 20, None)]
+    s = "candidate_id string, doc_id long, lens string, category string, field string, value string, start_char long, end_char long, status string"
+    facts = spark.createDataFrame([(i, 1, "number", "Quantity", "number", "12", at, at + 2, k) for i, at, k in rows], s)
+    got = {r["candidate_id"]: r["primary_id"] for r in X.dedup(facts).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d", "f": "f"}
+    assert sorted((r["primary_id"], r["members"], r["spans"]) for r in X.clusters(facts).collect()) == [("a", 2, 1), ("d", 2, 2)]
+    assert sorted(r["candidate_id"] for r in X.rejections(facts).collect()) == ["b", "e"]
+
+
+def test_no_fact_of_the_tables_is_a_duplicate(spark):
+    facts = X.propose(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert registry.queries()["dedup_survivors"](spark, SF).count() == facts.select("candidate_id").distinct().count()
