@@ -10,13 +10,33 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, span_matches, stable_id, value_supported
 
+MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)[.]?"
+CLOCK = "(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?"
+DATE = (
+    "[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
+    "|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}"
+    f"|{MONTH} [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}} {MONTH} [0-9]{{4}}|{MONTH} [0-9]{{4}}|{MONTH} [0-9]{{1,2}}"
+)
+#: Dates (with a time behind a T), clock times, quarters and fiscal periods, and durations.
+TIME = (
+    f"\\b(?:(?:{DATE})(?:T{CLOCK}Z?)?|{CLOCK}(?: ?[AaPp][Mm])?"
+    "|[Qq][1-4](?: [0-9]{4})?|(?:[Ff]irst|[Ss]econd|[Tt]hird|[Ff]ourth) quarter(?: of [0-9]{4})?"
+    f"|[Ff]iscal (?:year|quarter)(?: ended (?:{DATE})| [0-9]{{4}})"
+    "|[0-9]+[ -](?:(?:business|working|calendar) )?(?:second|minute|hour|day|week|month|quarter|year)s?)\\b"
+)
+REFERENCE = (
+    "(?:\\b(?:Sections?|Sec[.]|Exhibits?|Tables?|Figures?|Fig[.]|Articles?|Appendix|Annex|Schedule|Chapters?|Clauses?|Paragraphs?|Parts?|Items?|Rules?|Notes?) (?:[0-9]+[A-Za-z]?|[IVXLC]+|[A-Z])\\b"
+    "|\\b(?:ISO|IEC|RFC|IEEE|EN|DIN|ANSI|NIST|ASTM)(?:[/ -][A-Z]{2,4})?[ -][0-9]+|§§? ?[0-9]+)(?:[.-][0-9A-Za-z]+)*(?:\\([0-9A-Za-z]+\\))*"
+)
+
 #: Rule lenses: (lens, category, field, pattern). No look-around, so any engine can check them.
 LENSES = (
     ("number", "Quantity", "number", "[0-9]+(?:[.,][0-9]+)*"),
     ("citation", "Reference", "license_version", "[Vv]ersion [0-9]+(?:[.][0-9]+)*"),
+    ("citation", "Reference", "reference", REFERENCE),
     ("entity", "Identifier", "email", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+[a-z]"),
     ("entity", "Entity", "name", "[A-Z][a-z]{9,}"),
-    ("temporal", "Time", "clock", "[0-9]{3}[.][0-9]{1,3}"),
+    ("temporal", "Time", "clock", TIME),
     ("quantity_with_unit", "Quantity", "with_unit", "[0-9]+ [a-z]{3,}"),
     ("definition", "Definition", "quoted", "\"[^\"]+\""),
 )

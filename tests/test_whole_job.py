@@ -63,3 +63,22 @@ def test_candidates_merge_at_one_place_or_canonicalized(spark):
 def test_no_fact_of_the_tables_is_a_duplicate(spark):
     facts = X.propose(spark.read.parquet(f"{SF}/documents.parquet"))
     assert registry.queries()["dedup_survivors"](spark, SF).count() == facts.select("candidate_id").distinct().count()
+
+
+def _values(spark, lens, text):
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    facts = X.propose(docs, [x for x in X.LENSES if x[0] == lens])
+    assert all(r["span_ok"] for r in X.span_check(facts, docs).collect())
+    return sorted(r["value"] for r in facts.collect())
+
+
+def test_temporal_lens_takes_times_only(spark):
+    times = ["2024-05-01", "12:30", "2024-05-01T07:15:00Z", "March 31, 2026", "3 April 2025", "June 2024", "31.12.2023", "5/6/2024", "9:05 pm", "Q3 2024", "second quarter of 2025", "fiscal quarter ended June 30, 2026", "15 days", "30 business days", "2 hours"]
+    assert _values(spark, "temporal", "é " + "; ".join(times) + ".") == sorted(times)
+    assert _values(spark, "temporal", "192.168.100.12 10.0.0.255 port 99:99 3.14 1:305 2024-13-45 12 daylight") == []
+
+
+def test_citation_lens_takes_references(spark):
+    refs = ["Version 2.0", "Section 4.2(b)", "Exhibit A", "Table 3", "Appendix B-1", "§ 12.3", "ISO 9001", "ISO/IEC 27001", "RFC 2119", "Article IV", "Item 5a"]
+    assert _values(spark, "citation", "see " + "; ".join(refs) + ".") == sorted(refs)
+    assert _values(spark, "citation", "this section is a table of parts, Table Also, Section Beta, Parts 4th") == []
