@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import canonical_key, span_matches, stable_id, value_supported
 
@@ -78,16 +82,71 @@ def span_check(facts: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("candidate_id", "doc_id", "lens", "ordinal", ok.alias("span_ok"))
 
 
-def resolve(facts: DataFrame, docs: DataFrame, short: int = 24) -> DataFrame:
-    """Claimed offsets (here shifted by doc_id mod 3) repaired when the value is unique."""
-    joined = facts.join(docs.select("doc_id", "text"), "doc_id").withColumn("claimed", F.col("start_char") + F.pmod("doc_id", F.lit(3)))
-    n = (F.length("text") - F.length(F.replace("text", F.col("value"), F.lit("")))) / F.length("value")
+def loose_matches():
+    """Places of a value by X5's steps after the exact one: stripped, any case, other blanks (a pandas UDF).
+
+    A null text, as exact matches get, gives no places.
+    """
+
+    @pandas_udf("array<struct<start: long, end: long>>")
+    def places(texts: pd.Series, values: pd.Series) -> pd.Series:
+        def exact(text, value):
+            out, at = [], text.find(value)
+            while at >= 0:
+                out.append((at, at + len(value)))
+                at = text.find(value, at + 1)
+            return out
+
+        def one(text, value):
+            if text is None or not value:
+                return []
+            bare = value.strip()
+            if bare and bare != value and (out := exact(text, bare)):
+                return out
+            if out := [m.span() for m in re.finditer(re.escape(value), text, re.IGNORECASE)]:
+                return out
+            flat = " ".join(value.split())
+            if not flat or not re.search(r"\s", value):
+                return []
+            words = [m.span() for m in re.finditer(r"\S+", text)]
+            starts, size = [], 0
+            for a, b in words:
+                starts.append(size)
+                size += b - a + 1
+
+            def back(k):  # a character of the text with single blanks, in the text itself
+                w = bisect_right(starts, k) - 1
+                return words[w][0] + k - starts[w]
+
+            return [(back(a), back(b - 1) + 1) for a, b in exact(" ".join(text[a:b] for a, b in words), flat)]
+
+        return pd.Series([[{"start": a, "end": b} for a, b in one(t, v)] for t, v in zip(texts, values)], dtype=object)
+
+    return places
+
+
+def resolve_spans(facts: DataFrame, docs: DataFrame, short: int = 24) -> DataFrame:
+    """Claimed offsets (here shifted by doc_id mod 3) repaired when the value is unique.
+
+    Exact matches are counted with overlap, as far as two; only values without any go to the
+    later steps, whose matches may be longer or shorter than the value.
+    """
+    joined = facts.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").withColumn("claimed", F.col("start_char") + F.pmod("doc_id", F.lit(3)))
+    joined = joined.withColumn("first", F.expr("locate(value, text)"))
+    joined = joined.withColumn("loose", loose_matches()(F.when(F.col("first") == 0, F.col("text")), F.col("value")))
+    again = (F.col("first") > 0) & (F.expr("locate(value, text, first + 1)") > 0)
+    n = F.when(again, 2).when(F.col("first") > 0, 1).otherwise(F.size("loose"))
     exact = F.substring("text", F.col("claimed") + 1, F.length("value")) == F.col("value")
-    first = F.expr("locate(value, text) - 1")
     state = F.when(exact, "exact").when(n == 1, "repaired").when((F.length("value") <= short) & (n > 1), "ambiguous").otherwise("unsupported")
+    span = lambda a: F.struct(a.cast("long").alias("start"), (a + F.length("value")).cast("long").alias("end"))
     out = joined.withColumn("resolution", state)
-    at = F.when(F.col("resolution") == "exact", F.col("claimed")).when(F.col("resolution") == "repaired", first)
-    return out.select("candidate_id", "doc_id", "lens", "ordinal", "claimed", "resolution", at.cast("long").alias("resolved_start"))
+    place = F.when(F.col("resolution") == "exact", span(F.col("claimed"))).when((F.col("resolution") == "repaired") & (F.col("first") > 0), span(F.col("first") - 1)).when(F.col("resolution") == "repaired", F.get("loose", F.lit(0)))
+    out = out.withColumn("place", place)
+    return out.select("candidate_id", "doc_id", "lens", "ordinal", "claimed", "resolution", F.col("place.start").alias("resolved_start"), F.col("place.end").alias("resolved_end"))
+
+
+def resolve(facts: DataFrame, docs: DataFrame, short: int = 24) -> DataFrame:
+    return resolve_spans(facts, docs, short).drop("resolved_end")
 
 
 def supported(docs: DataFrame) -> DataFrame:

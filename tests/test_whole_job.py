@@ -82,3 +82,20 @@ def test_citation_lens_takes_references(spark):
     refs = ["Version 2.0", "Section 4.2(b)", "Exhibit A", "Table 3", "Appendix B-1", "§ 12.3", "ISO 9001", "ISO/IEC 27001", "RFC 2119", "Article IV", "Item 5a"]
     assert _values(spark, "citation", "see " + "; ".join(refs) + ".") == sorted(refs)
     assert _values(spark, "citation", "this section is a table of parts, Table Also, Section Beta, Parts 4th") == []
+
+
+def test_claims_resolve_by_all_four_steps(spark):
+    text = "é The  Quick\tBrown fox\n ran. aXa Xa\u2003end abab ababa Net  Sales net sales"
+    at = text.index
+    cases = {
+        " fox ": ("repaired", at("fox"), at("fox") + 3), "quick\tbrown": ("repaired", at("Quick"), at("Quick") + 11),
+        "The Quick Brown": ("repaired", at("The"), at("Brown") + 5), "Xa end": ("repaired", at("Xa\u2003"), at("end") + 3),
+        "ababa": ("repaired", at("ababa"), at("ababa") + 5), "aba": ("ambiguous", None, None), "axa": ("repaired", at("aXa"), at("aXa") + 3),
+        "NET SALES": ("repaired", at("net sales"), at("net sales") + 9), "missing": ("unsupported", None, None), "": ("exact", 4, 4), "   ": ("unsupported", None, None),
+        "the quick brown": ("unsupported", None, None),
+    }
+    docs = spark.createDataFrame([(1, text), (2, "ababa"), (4, None)], "doc_id long, text string")
+    rows = [(str(i), 1, "entity", i, v, 3) for i, v in enumerate(cases)] + [("o", 2, "entity", 0, "aba", 3), ("z", 4, "entity", 0, "v", 3)]
+    claims = spark.createDataFrame(rows, "candidate_id string, doc_id long, lens string, ordinal long, value string, start_char long")
+    got = {r["candidate_id"]: (r["resolution"], r["resolved_start"], r["resolved_end"]) for r in X.resolve_spans(claims, docs).collect()}
+    assert got == {**{str(i): want for i, want in enumerate(cases.values())}, "o": ("ambiguous", None, None), "z": ("unsupported", None, None)}
