@@ -4,13 +4,19 @@ Turn rows are collected per conversation, sorted by (turn, role, text), adjacent
 role are merged into one block by array aggregation, and blocks are concatenated into one
 string. Each part of a block keeps its own text mark, so :func:`read_back` restores every turn.
 
-Template: a block is ``### Role:`` + parts + ``</turn>\n``; a part is a mark ``<part>`` plus the
-escaped text. Escaping is reversible: every backslash doubles, and a backslash is put between
-the first and second character of each control string, so none of them can occur in a text.
+Template: a block is ``### role:``, its parts, and ``</turn>`` with a line end; a part is the mark
+``<part>`` and the escaped text. Escaping is reversible: a backslash becomes two, ``#`` becomes
+``\h`` and ``<`` becomes ``\l`` in texts and roles, so no mark of the template, each of which
+holds one of these characters, can occur there.
+
+A conversation is one string, so one task holds all its turns; that is what the result asks for.
+Work is linear in the string's length: offsets are summed in stretches of 256 pieces, and masked
+texts are cut from a form of four bytes a code point, where a place is found without counting.
 
 Defined results: null text is empty, null role is the role ``unknown``; rows without conv_id
 form one conversation with a null id; equal rows are all kept; equal turns are ordered by
-role and text; an empty table gives an empty table; extra columns are ignored.
+role and text; very long texts and conversations are formatted whole; an empty table gives an
+empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-#: Characters a control string starts with; escaping marks them in texts and roles.
-HEAD, PART, END = "### ", "<part>", "</turn>\n"
-OPEN = ":"
+#: The template's marks: before and behind a block's role, before a part, behind a block.
+HEAD, OPEN, PART, END = "### ", ":", "<part>", "</turn>\n"
+#: Pieces whose offsets are summed in one stretch.
+STRETCH = 256
 
 
 def escape(text: Column) -> Column:
@@ -40,8 +47,24 @@ def unescape(text: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
-def _capital(role: Column) -> Column:
-    return F.initcap(role)
+def _offsets(lengths: Column) -> Column:
+    """Running sums before each element. Appending in a fold copies the array each time, so sums
+    are taken within stretches of a fixed length, then over the stretches."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("sum"), F.array().cast("array<long>").alias("at"))
+
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["at"], F.array(acc["sum"])).alias("at")))
+
+    def over(stretches: Column) -> Column:
+        bases = fold(F.transform(stretches, lambda s: s["sum"]))["at"]
+        return let(bases, lambda bs: F.flatten(F.transform(stretches, lambda s, i: F.transform(s["at"], lambda x: x + F.get(bs, i)))))
+
+    def cut(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int"))
+        return F.transform(numbers, lambda k: fold(F.slice(xs, k * STRETCH + 1, F.lit(STRETCH))))
+
+    return let(lengths, lambda xs: let(cut(xs), over))
 
 
 def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -74,31 +97,26 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
         ),
     )
     laid = sorted_turns.select("conv_id", pieces.alias("ps"))
-    # Running offsets by one fold over the pieces; each step appends one span at most.
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["before"])
-        end = start + F.length(p["body"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct(
-            (end + F.length(p["after"])).cast("long").alias("at"),
-            F.when(p["trained"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+    size = lambda p: (F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("long")
+    laid = laid.withColumn("at", _offsets(F.transform("ps", size)))
+
+    def span(p: Column, i: Column) -> Column:
+        start = F.get(F.col("at"), i) + F.length(p["before"])
+        return F.when(p["trained"], F.struct(start.cast("long").alias("start"), (start + F.length(p["body"])).cast("long").alias("end")))
 
     return laid.select(
         "conv_id",
         F.array_join(F.transform("ps", lambda p: F.concat(p["before"], p["body"], p["after"])), "").alias("formatted"),
-        F.aggregate("ps", zero, step)["spans"].alias("loss_spans"),
+        F.array_compact(F.transform("ps", span)).alias("loss_spans"),
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id and turns (array of role, text), parsed from the formatted string alone."""
-    blocks = F.slice(F.split("formatted", "</turn>\n", -1), 1, F.size(F.split("formatted", "</turn>\n", -1)) - 1)
+    blocks = let(F.split("formatted", END, -1), lambda bs: F.slice(bs, F.lit(1), F.size(bs) - 1))
 
     def turns_of(block: Column) -> Column:
-        parts = F.split(block, "<part>", -1)
+        parts = F.split(block, PART, -1)
         return let(
             parts,
             lambda ps: let(
@@ -113,9 +131,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame) -> DataFrame:
     """The contract's digest columns, taken from the formatted strings and the loss mask."""
     back = read_back(formatted)
-    masked = F.array_join(
-        F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["end"] - s["start"]))), ""
-    )
+    # Four bytes a code point: a span is cut without counting from the string's start.
+    wide = F.encode("formatted", "UTF-32")
+
+    def text_of(raw: Column, s: Column) -> Column:
+        return unescape(F.decode(F.substring(raw, (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int")), "UTF-32"))
+
+    masked = let(wide, lambda raw: F.array_join(F.transform("loss_spans", lambda s: text_of(raw, s)), ""))
     turn_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -1,75 +1,116 @@
 """Embedding near-duplicates by Euclidean p-stable hashing with exact cosine checks.
 
 Normalised vectors are projected on seeded Gaussian directions; ``floor((a.x + b) / w)`` of k
-projections makes a table's bucket. For unit vectors cosine c is distance sqrt(2 - 2c), so the
-chance of a shared bucket follows from the distance; the defaults miss a pair at cosine 0.98
-in about 1 of 100,000 cases, closer pairs far less often.
-
-Equal vectors are one class with a multiplicity. Buckets of several classes are cut into
-chunks of at most about ``chunk`` rows; every pair of chunks is one block of a matrix product,
-so memory is flat. A linked pair is counted in the first table that holds it, and a block
-emits counts per vector and a spanning forest, never the pairs.
+projections makes a table's bucket. For unit vectors cosine c is distance sqrt(2 - 2c), and the
+chance that one projection agrees follows from the distance (:func:`agree`). The number of
+projections follows from the number of vectors of the largest label, so that two unrelated
+vectors share a bucket of a table about once in that number; the number of tables follows from
+``miss``, the accepted chance to miss a pair exactly at the threshold. Closer pairs are missed
+far less often. Both numbers are one formula at every size.
+
+Equal vectors of a label are one class with a multiplicity and a number of its own. Buckets of
+several classes are cut into chunks of at most about ``chunk`` rows; every pair of chunks is one
+block of a matrix product, so memory is flat. A linked pair is counted in the first table that
+holds it, and a block emits counts per class and a spanning forest, never the pairs.
 
 Defined results: null or all-zero vectors, null or non-finite components and null labels link
-with nothing; rows without vec_id have a null component; rows of one vec_id with one vector
-and label are one vector; vectors of unlike lengths never link; an empty table gives an empty
-table; extra columns are ignored.
+with nothing; rows without vec_id have a null component and link with nothing; rows of one vec_id
+with one vector and label are one vector, rows of one vec_id with unlike vectors or labels are
+vectors of their own, each with the links of its own vector; vectors of unlike lengths never
+link; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, numbered
 from .components import connected_components, smallest_reachable
 
 
 @dataclass(frozen=True)
 class PStable:
     cosine: float = 0.98
-    width: float = 1.0
-    projections: int = 10
-    tables: int = 64
+    width: float = 2.0
+    miss: float = 1e-5
     chunk: int = 2048
     seed: int = 5
 
 
-def _projections(p: PStable, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([p.seed, dim])
-    return rng.standard_normal((p.tables * p.projections, dim)), rng.random(p.tables * p.projections) * p.width
+def agree(distance: float, width: float) -> float:
+    """Chance that a Gaussian projection of two points at ``distance`` falls into one cell."""
+    r = width / distance
+    inside = erf(r / sqrt(2))
+    return inside - 2 / (sqrt(2 * pi) * r) * (1 - exp(-r * r / 2))
+
 
+def shape(p: PStable, vectors: int) -> tuple[int, int]:
+    """(projections a table, tables) for labels of at most so many vectors."""
+    far, near = agree(sqrt(2), p.width), agree(sqrt(2 - 2 * p.cosine), p.width)
+    k = max(1, ceil(log(max(vectors, 2)) / -log(far)))
+    return k, ceil(log(p.miss) / log(1 - near**k))
 
-def hashed(vectors: DataFrame, p: PStable) -> DataFrame:
-    """cls, label, copies, unit (bytes of doubles), keys: one row per distinct usable vector."""
+
+def _projections(p: PStable, size: tuple[int, int], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([p.seed, dim])
+    n = size[0] * size[1]
+    return rng.standard_normal((n, dim)), rng.random(n) * p.width
+
+
+def _keys(x: np.ndarray, size: tuple[int, int], made: tuple, width: float) -> np.ndarray:
+    """Bucket keys, one column a table, of the unit vectors in the rows of x."""
+    a, b = made
+    k, tables = size
+    out = np.full((len(x), tables), x.shape[1], dtype=np.uint64)
+    for i in range(0, len(x), 512):
+        cells = np.floor((x[i : i + 512] @ a.T + b) / width).astype(np.int64).view(np.uint64)
+        cells = cells.reshape(-1, tables, k)
+        for j in range(k):
+            part = (out[i : i + 512] ^ cells[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+            out[i : i + 512] = part ^ (part >> np.uint64(29))
+    return out.view(np.int64)
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, e of the rows that can link."""
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-    usable = clean.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull()).where(
+    return clean.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull()).where(
         F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("e", lambda x: x != 0)
     )
-    classes = usable.dropDuplicates(["vec_id", "label", "e"]).groupBy("label", "e").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"))
+
+
+def classed(vectors: DataFrame) -> DataFrame:
+    """cls (a number), label, e, low (least vec_id), copies (vec_ids) of each distinct usable vector."""
+    # Repeats go before the shuffle: ids of one vector are made distinct, then counted.
+    each = usable(vectors).groupBy("label", "e", "vec_id").agg(F.lit(1).alias("one"))
+    found = each.groupBy("label", "e").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    return numbered(found, "emb-classes", "cls")
+
+
+def hashed(classes: DataFrame, p: PStable, size: tuple[int, int]) -> DataFrame:
+    """cls, label, copies, unit (bytes of doubles) and keys, one key a table."""
 
     def run(batches):
         made: dict[int, tuple] = {}
         for pdf in batches:
-            units, keys = [], []
-            for e in pdf.e:
-                x = np.asarray(e, dtype=np.float64)
-                x = x / np.abs(x).max()
-                x = x / np.sqrt((x * x).sum())
-                if len(x) not in made:
-                    made[len(x)] = _projections(p, len(x))
-                a, b = made[len(x)]
-                cells = np.floor(((a * x[None, :]).sum(axis=1) + b) / p.width).astype(np.int64).reshape(p.tables, p.projections)
-                k = np.full(p.tables, len(x), dtype=np.uint64)
-                for j in range(p.projections):
-                    k = (k ^ cells[:, j].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    k ^= k >> np.uint64(29)
-                units.append(x.tobytes())
-                keys.append(k.view(np.int64))
+            n = len(pdf)
+            units, keys = [b""] * n, [None] * n
+            dims = np.array([len(e) for e in pdf.e])
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                x = np.stack([np.asarray(pdf.e.iloc[i], dtype=np.float64) for i in at])
+                x = x / np.abs(x).max(axis=1)[:, None]
+                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+                if dim not in made:
+                    made[dim] = _projections(p, size, int(dim))
+                for i, u, k in zip(at, x, _keys(x, size, made[dim], p.width)):
+                    units[i], keys[i] = u.tobytes(), k
             yield pd.DataFrame({"cls": pdf.cls, "label": pdf.label, "copies": pdf.copies, "unit": units, "keys": keys})
 
     return classes.mapInPandas(run, "cls long, label long, copies long, unit binary, keys array<long>")
@@ -78,37 +119,40 @@ def hashed(vectors: DataFrame, p: PStable) -> DataFrame:
 def _block(rows: pd.DataFrame, p: PStable) -> pd.DataFrame:
     rows = rows.sort_values("cls", ignore_index=True)
     table, across = int(rows["t"].iloc[0]), rows["bi"].iloc[0] != rows["bj"].iloc[0]
-    size = {len(u) for u in rows["unit"]}
-    if len(size) > 1:  # a bucket holds vectors of one length but for a hash collision
+    lengths = {len(u) for u in rows["unit"]}
+    if len(lengths) > 1:  # a bucket holds vectors of one length but for a hash collision
         return pd.concat([_block(g, p) for _, g in rows.groupby(rows["unit"].str.len())])
     x = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(len(rows), -1)
-    keys = np.array(rows["keys"].tolist(), dtype=np.int64)[:, :table]
     chunk, copies, cls = rows["c"].to_numpy(), rows["copies"].to_numpy(), rows["cls"].to_numpy()
-    count, ii, jj = np.zeros(len(rows), dtype=np.int64), [], []
+    pairs = []
     for s in range(0, len(rows), 256):
-        cos = np.einsum("id,jd->ij", x[s : s + 256], x)
-        i, j = np.nonzero(cos >= p.cosine)
+        i, j = np.nonzero(x[s : s + 256] @ x.T >= p.cosine)
         i = i + s
         ok = i < j
         if across:
             ok &= chunk[i] != chunk[j]
-        i, j = i[ok], j[ok]
+        pairs.append((i[ok], j[ok]))
+    i, j = (np.concatenate(v) for v in zip(*pairs))
+    if len(i) and table:  # a pair that an earlier table holds was counted there
+        keys = np.array(rows["earlier"].tolist(), dtype=np.int64)
         first = np.ones(len(i), dtype=bool)
         for k in range(0, len(i), 65536):
             first[k : k + 65536] = ~(keys[i[k : k + 65536]] == keys[j[k : k + 65536]]).any(axis=1)
         i, j = i[first], j[first]
-        np.add.at(count, i, copies[j])
-        np.add.at(count, j, copies[i])
-        ii.append(i)
-        jj.append(j)
-    low = smallest_reachable(len(rows), np.concatenate(ii), np.concatenate(jj))
+    count = np.zeros(len(rows), dtype=np.int64)
+    np.add.at(count, i, copies[j])
+    np.add.at(count, j, copies[i])
+    low = smallest_reachable(len(rows), i, j)
     hit = count > 0
     return pd.DataFrame({"cls": cls[hit], "n": count[hit], "low": cls[low[hit]]})
 
 
 def embedding_duplicates(vectors: DataFrame, p: PStable = PStable()) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
-    base = materialize(hashed(vectors, p), "emb")
+    classes = classed(vectors)
+    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    size = shape(p, most or 0)
+    base = materialize(hashed(classes.select("cls", "label", "copies", "e"), p, size), "emb")
     slots = base.select("cls", "label", F.posexplode("keys").alias("t", "key"))
     shared = slots.groupBy("label", "t", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = slots.join(shared, ["label", "t", "key"])
@@ -116,7 +160,9 @@ def embedding_duplicates(vectors: DataFrame, p: PStable = PStable()) -> DataFram
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     met = met.withColumn("bi", F.least("c", "o")).withColumn("bj", F.greatest("c", "o")).drop("o", "size", "chunks")
     block = ["label", "t", "key", "bi", "bj"]
-    full = met.join(base.drop("label"), "cls").repartition(*block).sortWithinPartitions(*block)
+    full = met.join(base.select("cls", "copies", "unit", "keys"), "cls")
+    # A slot carries the keys of the tables before its own, which tell pairs counted there.
+    full = full.withColumn("earlier", F.slice("keys", F.lit(1), F.col("t"))).drop("keys").repartition(*block).sortWithinPartitions(*block)
 
     def run(batches):
         held = None
@@ -132,23 +178,40 @@ def embedding_duplicates(vectors: DataFrame, p: PStable = PStable()) -> DataFram
             yield _block(held, p)
 
     parts = materialize(full.mapInPandas(run, "cls long, n long, low long"), "emb-links")
-    labels = connected_components(parts.select(F.col("cls").alias("u"), F.col("low").alias("v")))
+    forget(base)
+    label = connected_components(parts.select(F.col("cls").alias("u"), F.col("low").alias("v")))
+    # Numbers mean nothing outside: a component is called by its smallest vec_id.
+    label = label.join(classes.select("cls", "low"), F.col("node") == F.col("cls")).select("node", "component", "low")
+    lows = label.groupBy("component").agg(F.min("low").alias("component_id"))
+    label = label.join(lows, "component").select("node", "component_id")
     sums = parts.groupBy("cls").agg(F.sum("n").alias("n"))
-    named = base.select("cls", "label", "copies").join(sums, "cls", "left").join(labels, F.col("cls") == F.col("node"), "left")
-    named = named.select("cls", F.coalesce("component", "cls").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    # Back to rows: by the class of (label, vector), through a hash and the vector itself.
+    named = classes.select("cls", "label", "e", "low", "copies").join(sums, "cls", "left").join(label, F.col("cls") == F.col("node"), "left")
+    found = named.select("label", "e", F.coalesce("component_id", "low").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # Back to rows by label and the vector itself.
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-    usable = rows.where("vec_id is not null and label is not null and e is not null")
-    classes = usable.groupBy("label", "e").agg(F.min("vec_id").alias("cls"))
-    found = classes.join(named, "cls", "left").select("label", "e", "component_id", "n_links")
-    out = rows.join(found, ["label", "e"], "left")
+    out = rows.join(found, ["label", "e"], "left").withColumn("id", F.col("vec_id"))
     return out.select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"),
-        F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"),
+        F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.col("id") == F.coalesce("component_id", "id")).otherwise(True).alias("kept"),
     )
 
 
+def oracle(cosine: float = 0.98) -> str:
+    """All pairs of a label, links, and components by a recursive query."""
+    return f"""WITH RECURSIVE v AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    ok AS (SELECT DISTINCT vec_id, label, e FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    unit AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM ok),
+    link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.u) = len(b.u)
+      WHERE list_inner_product(a.u, b.u) >= {cosine}),
+    reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+    low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), n AS (SELECT x, count(DISTINCT y) AS n FROM link GROUP BY x)
+    SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+    FROM v JOIN low ON low.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -2,13 +2,14 @@
 
 1. Eight labellers vote good, bad or abstain on each whole text. Counts per vote pattern over
    all documents (at most 3^8 of them) reach the driver, where EM estimates the accuracies.
-2. A bounded, seeded sample of documents (``sample_rows``) trains a logistic scorer over hashed
-   word, word-shape and signal-level features, with the pattern's posterior as target.
+2. A seeded sample of documents, bounded in rows (``sample_rows``) and in features
+   (``sample_slots``, four bytes each), trains a logistic scorer over hashed word, word-shape and
+   signal-level features, with the pattern's posterior as target.
 3. The scorer rates every document.
 
 Defined results: null text is empty; an empty text is bad by its length vote and gets a score
-like any other; repeated rows get equal scores; an empty table gives an empty table; extra
-columns are ignored.
+like any other; repeated rows, and equal texts under unlike ids, get equal scores; very long texts
+and words are read whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import documents, id_text
 from .quality_rules import STOP_FORMS
-from .weak_labels import code, decode, estimate
+from .weak_labels import code, decode, estimate, reliability
 
 LABELLERS = ("length", "symbols", "exclamations", "capitals", "pipes", "stop_words", "word_length", "repeats")
 
@@ -33,6 +34,7 @@ LABELLERS = ("length", "symbols", "exclamations", "capitals", "pipes", "stop_wor
 @dataclass(frozen=True)
 class Fit:
     sample_rows: int = 20_000
+    sample_slots: int = 6_000_000
     bits: int = 15
     passes: int = 8
     rate: float = 0.5
@@ -118,7 +120,7 @@ class _Slots(dict):
     def __missing__(self, word: str):
         if len(self) > 200_000:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", word)))[:12]
+        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", word)))
         self[word] = out = (zlib.crc32(b"w" + word.lower().encode()) & self.mask, zlib.crc32(b"s" + shape.encode()) & self.mask)
         return out
 
@@ -131,38 +133,53 @@ def slots(words: list[str], s: list[float], cache: _Slots) -> np.ndarray:
     return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
-def pattern_counts(docs: DataFrame) -> dict[int, int]:
+def pattern_counts(docs: DataFrame) -> dict[int, tuple[int, int]]:
+    """Rows, and distinct words of all of them, per vote pattern."""
+
     def run(batches):
         for pdf in batches:
-            yield pd.Series([code(votes(signals(t)[1])) for t in pdf.text], dtype="int64").value_counts().rename_axis("p").rename("n").reset_index()
+            rows = [signals(t) for t in pdf.text]
+            each = pd.DataFrame({"p": [code(votes(s)) for _, s in rows], "n": 1, "w": [len(set(w)) for w, _ in rows]})
+            yield each.groupby("p", as_index=False).sum()
+
+    counted = id_text(docs).select("text").mapInPandas(run, "p long, n long, w long")
+    return {r["p"]: (r["n"], r["w"]) for r in counted.groupBy("p").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()}
+
 
-    counted = id_text(docs).select("text").mapInPandas(run, "p long, n long")
-    return {r["p"]: r["n"] for r in counted.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+@dataclass
+class Model:
+    #: One weight a slot, the bias last.
+    weights: np.ndarray
+    #: Estimated chance that a labeller's vote is right, where it votes.
+    accuracy: dict[str, float | None]
+    #: Vote pattern -> chance of being good.
+    posterior: dict[int, float]
 
 
-def train(docs: DataFrame, fit: Fit = Fit()) -> tuple[np.ndarray, dict[str, float]]:
-    """(weights with the bias last, estimated accuracy of each labeller)."""
+def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
     counts = pattern_counts(docs)
     codes = np.array(sorted(counts), dtype=np.int64)
     patterns = decode(codes, len(LABELLERS))
-    post, chances, share = estimate(patterns, np.array([counts[c] for c in codes], dtype=float), prior=0.8)
+    post, chances, share = estimate(patterns, np.array([counts[c][0] for c in codes], dtype=float), prior=0.8)
     if not counts:  # an empty table
-        return np.zeros((1 << fit.bits) + 1), {}
-    accuracy = {k: float(share * chances[1, i, 2] + (1 - share) * chances[0, i, 1]) for i, k in enumerate(LABELLERS)}
-    target_of = dict(zip(codes.tolist(), post))
-    total = sum(counts.values())
+        return Model(np.zeros((1 << fit.bits) + 1), {}, {})
+    accuracy = dict(zip(LABELLERS, reliability(chances, share)))
+    target_of = dict(zip(codes.tolist(), post.tolist()))
+    total, words = (sum(v) for v in zip(*counts.values()))
     weights = np.zeros((1 << fit.bits) + 1)
-    part = min(1.0, fit.sample_rows / total)
-    picked = id_text(docs).where(F.pmod(F.xxhash64("doc_id", F.lit(fit.seed)), F.lit(1_000_000)) < int(part * 1_000_000))
+    # A word brings two slots, a text eight more.
+    part = min(1.0, fit.sample_rows / total, fit.sample_slots / (2 * words + 8 * total))
+    picked = id_text(docs).where(F.pmod(F.xxhash64("doc_id", "text", F.lit(fit.seed)), F.lit(1_000_000)) < int(part * 1_000_000))
 
     def run(batches):
         cache = _Slots(fit.bits)
         for pdf in batches:
             rows = [signals(t) for t in pdf.text]
-            yield pd.DataFrame({"p": [code(votes(s)) for _, s in rows], "x": [slots(w, s, cache) for w, s in rows]})
+            xs = [np.sort(slots(w, s, cache)) for w, s in rows]
+            yield pd.DataFrame({"p": [code(votes(s)) for _, s in rows], "h": [zlib.crc32(x.tobytes()) for x in xs], "x": xs})
 
-    sample = picked.select("text").mapInPandas(run, "p long, x array<int>").toPandas()
-    order = np.lexsort((sample["x"].str.len(), sample["p"]))
+    sample = picked.select("doc_id", "text").mapInPandas(run, "p long, h long, x array<int>").toPandas()
+    order = np.lexsort((sample["h"], sample["x"].str.len(), sample["p"]))
     y = np.array([target_of[p] for p in sample["p"]])[order]
     xs = [np.asarray(x, dtype=np.int64) for x in sample["x"].iloc[order]]
     squares, rng = np.full(len(weights), 1e-2), np.random.default_rng(fit.seed)
@@ -179,12 +196,12 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> tuple[np.ndarray, dict[str, floa
             step[-1] = g.sum()
             squares += step * step
             weights -= fit.rate * step / np.sqrt(squares)
-    return weights, accuracy
+    return Model(weights, accuracy, target_of)
 
 
 def score_documents(docs: DataFrame, fit: Fit = Fit()) -> DataFrame:
     """doc_id, score (0 to 1, higher is better), vote pattern and kept, for every row."""
-    weights, _ = train(docs, fit)
+    weights = train(docs, fit).weights
 
     @pandas_udf("struct<score: double, pattern: long>")
     def rate(batches: pd.Series) -> pd.DataFrame:

@@ -52,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": source_mixing.oracle(), "op10_quality_rules": quality_rules.oracle(), "op9_chat_format": chat_format.oracle()}
+    return {"op1_source_mixing": source_mixing.oracle(), "op5_embedding_dedup": embedding_dedup.oracle(), "op6_license_scan": license_scan.oracle(), "op7_set_sketch_dedup": set_sketch.oracle(), "op10_quality_rules": quality_rules.oracle(), "op9_chat_format": chat_format.oracle()}

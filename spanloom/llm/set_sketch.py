@@ -14,10 +14,15 @@ by maximum, and two sets agree in a register with a chance close to their Jaccar
    result makes a link, and again a block emits a spanning forest.
 5. Components of the links, over class representatives.
 
+Classes have numbers of their own, so unlike texts under one id are compared each for itself.
+Shingles are 64-bit hashes and classes 128-bit digests of the sorted hashes: two unlike shingles of
+a pair of sets of n shingles agree with a chance below n^2 / 2^64 (1e-11 at 20,000 words), two
+unlike sets of a corpus of 10^11 with one below 1e-16.
+
 Defined results: null and empty texts have an empty set and link with nothing; rows without id
-are kept alone with a null component; repeated rows share their class; of unlike texts under
-one id, one stands for the id in comparisons; an empty table gives an empty table; extra
-columns are ignored.
+are kept alone with a null component; repeated rows share their class; a row's component holds
+the rows reachable from its own text, whatever other texts its id has; very long texts are read
+whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bounded_broadcast, documents, forget, id_text, materialize
+from .common import bounded_broadcast, documents, forget, id_text, materialize, numbered, row_marks, same
 from .components import connected_components
 
 MASK = (1 << 64) - 1
@@ -48,7 +53,6 @@ class Near:
     rate: float = 20.0
     top: int = 254
     bands: int = 64
-    band_width: int = 10
     #: Pairs whose estimated similarity is this far below the threshold are not intersected:
     #: seven standard errors of the estimate at 256 registers.
     margin: float = 0.17
@@ -56,6 +60,14 @@ class Near:
     chunk: int = 1024
     block_bytes: int = 32 << 20
 
+    @property
+    def band_width(self) -> int:
+        """Registers a band: as many as still agree all with a chance of 0.2 at the threshold, so
+        that 64 bands of unlike registers miss a pair there with a chance of 0.8^64, below 1e-6.
+        (Bands share registers; the tests measure what that costs.)"""
+        j = self.percent / 100
+        return max(1, int(np.log(0.2) / np.log(j + (1 - j) * np.log(self.base) / 4)))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -113,8 +125,14 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the hashes k1, k2 of both."""
+    base = id_text(docs)
+    return base.select("*", *row_marks(base))
+
+
 def features(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, fingerprint and registers of every row, in one pass over the texts."""
+    """doc_id, row hashes, n_shingles, fingerprint and registers of every row, in one pass over the texts."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -123,15 +141,15 @@ def features(docs: DataFrame, near: Near) -> DataFrame:
         last: tuple[bytes, bytes] = (b"", b"")
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf.doc_id, pdf.text):
+            for doc, k1, k2, text in zip(pdf.doc_id, pdf.k1, pdf.k2, pdf.text):
                 s = shingles(text, near.words, cache)
                 mark = xxh3_128_digest(s.tobytes())
                 if mark != last[0]:
                     last = (mark, sketch(s, near, family).tobytes())
-                out.append((doc, len(s), mark, last[1]))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "mark", "regs"]).astype({"doc_id": "Int64"})
+                out.append((doc, k1, k2, len(s), mark, last[1]))
+            yield pd.DataFrame(out, columns=["doc_id", "k1", "k2", "n", "mark", "regs"]).astype({"doc_id": "Int64"})
 
-    return id_text(docs).mapInPandas(run, "doc_id long, n long, mark binary, regs binary")
+    return marked(docs).mapInPandas(run, "doc_id long, k1 long, k2 long, n long, mark binary, regs binary")
 
 
 def _band_keys(near: Near):
@@ -319,9 +337,9 @@ def _sweep(members: DataFrame, payload: DataFrame, near: Near, exact: bool) -> D
     return label
 
 
-def _sets(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
-    """rep, mark, s: the full shingle sets, and their digests, of the documents in ``ids`` (doc_id)."""
-    few = bounded_broadcast(ids, ids.count(), 16)
+def _sets(docs: DataFrame, want: DataFrame, near: Near) -> DataFrame:
+    """rep and s: the full shingle sets of the classes in ``want`` (rep, k1, k2 of one of its rows, mark)."""
+    few = bounded_broadcast(want, want.count(), 48)
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -329,38 +347,60 @@ def _sets(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
         cache = _WordHash()
         for pdf in batches:
             sets = [shingles(t, near.words, cache).tobytes() for t in pdf.text]
-            yield pd.DataFrame({"rep": pdf.doc_id, "mark": [xxh3_128_digest(x) for x in sets], "s": sets})
+            right = [xxh3_128_digest(x) == m for x, m in zip(sets, pdf["mark"])]
+            yield pd.DataFrame({"rep": pdf.rep, "s": sets})[right]
 
-    return id_text(docs).join(few, "doc_id", "left_semi").mapInPandas(run, "rep long, mark binary, s binary")
+    found = marked(docs).join(few, ["k1", "k2"]).select("rep", "mark", "text").mapInPandas(run, "rep long, s binary")
+    return found.groupBy("rep").agg(F.first("s").alias("s"))  # repeated rows give one set
 
 
-def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def near_rows(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """One row per input row: doc_id, hashes k1 and k2 of id and text, n_shingles, component_id, kept."""
     rows = materialize(features(docs, near), "near-rows")
     full = rows.where("doc_id is not null and n > 0")
-    # The representative is the smallest id; its registers are its class's.
-    classes = full.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = materialize(classes, "near-classes")
+    least = F.min(F.struct("doc_id", "k1", "k2")).alias("x")
+    classes = full.groupBy("mark").agg(least, F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = numbered(classes.select("mark", F.col("x.doc_id").alias("low"), "x.k1", "x.k2", "n", "regs"), "near-classes", "rep")
     keyed = materialize(classes.select("rep", F.explode(_band_keys(near)("regs")).alias("key")), "near-keys")
     # Buckets of the same members, by two 64-bit digests, are compared once.
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    shared = shared.where("size > 1").groupBy("size", "low", "x", "y").agg(F.min("key").alias("key")).select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    shared = shared.where("size > 1").groupBy("size", "first", "x", "y").agg(F.min("key").alias("key")).select("key")
     members = materialize(keyed.join(shared, "key").withColumn("w", F.lit(1 / near.chunk)), "near-members")
     forget(keyed)
-    # One id can be the smallest of several classes: the one of the smallest digest stands for it.
-    payload = classes.groupBy("rep").agg(F.min(F.struct("mark", "n", "regs")).alias("x")).select("rep", "x.mark", "x.n", "x.regs")
-    brief = payload.drop("mark")
-    group = materialize(_sweep(members, brief, near, False), "near-groups")
-    weight = F.greatest(F.lit(1 / near.chunk), F.col("n") * 8 / near.block_bytes)
-    grouped = group.join(payload, F.col("node") == F.col("rep")).select(F.col("component").alias("key"), "rep", weight.alias("w"))
-    sets = _sets(docs, group.select(F.col("node").alias("doc_id")), near).groupBy("rep", "mark").agg(F.first("s").alias("s"))
-    label = _sweep(materialize(grouped, "near-grouped"), materialize(payload.join(sets, ["rep", "mark"]).drop("mark"), "near-sets"), near, True)
+    payload = classes.select("rep", "n", "regs")
+    group = materialize(_sweep(members, payload, near, False), "near-groups")
     forget(members)
-    named = classes.select("mark", "rep").join(label, F.col("rep") == F.col("node"), "left").select("mark", F.coalesce("component", "rep").alias("component_id"))
-    out = full.select("doc_id", "n", "mark").join(named, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = out.unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    weight = F.greatest(F.lit(1 / near.chunk), F.col("n") * 8 / near.block_bytes)
+    met = group.join(classes, F.col("node") == F.col("rep"))
+    grouped = materialize(met.select(F.col("component").alias("key"), "rep", weight.alias("w")), "near-grouped")
+    sets = materialize(payload.join(_sets(docs, met.select("rep", "k1", "k2", "mark"), near), "rep"), "near-sets")
+    label = materialize(_sweep(grouped, sets, near, True), "near-label")
+    forget(group, grouped, sets)
+    # Numbers mean nothing outside: a component is called by its smallest doc_id.
+    lows = label.join(classes.select("rep", "low"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("low").alias("component_id"))
+    label = label.join(lows, "component").select("node", "component_id")
+    named = classes.select("mark", "rep", "low").join(label, F.col("rep") == F.col("node"), "left").select("mark", F.coalesce("component_id", "low").alias("component_id"))
+    out = full.select("doc_id", "k1", "k2", "n", "mark").join(named, "mark").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("doc_id is null or n = 0").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return near_rows(docs, near).drop("k1", "k2")
+
+
+def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """The input's rows but for near copies of an earlier document, with the input's columns.
+
+    A row goes by its id and text, so other texts under its id stay. Rows without id or words stay.
+    """
+    found = near_rows(docs, near)
+    gone = found.where(~F.col("kept")).select("k1", "k2").distinct()
+    names = docs.columns
+    packed = docs.select(F.struct(*[same(c).alias(c) for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = packed.select("row", *row_marks(packed, ["doc_id", "text"]))
+    return packed.join(gone, ["k1", "k2"], "left_anti").select(*[F.col("row")[c].alias(c) for c in names])
 
 
 #: The contract's shingles and threshold.
@@ -369,3 +409,23 @@ CONTRACT = Near(words=3, percent=85)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), CONTRACT)
+
+
+def oracle(near: Near = CONTRACT) -> str:
+    """Shingles as joined words, links by counting shared ones, components by a recursive query."""
+    upper, k = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", near.words
+    return f"""WITH RECURSIVE d AS (SELECT doc_id,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) END AS s FROM d),
+    kind AS (SELECT doc_id, len(s) AS n, list_sort(s) AS s FROM s),
+    class AS (SELECT min(doc_id) AS c, n, s FROM kind WHERE n > 0 AND doc_id IS NOT NULL GROUP BY n, s),
+    each_ AS (SELECT c, n, unnest(s) AS x FROM class),
+    pair AS (SELECT a.c AS x, b.c AS y, a.n AS nx, b.n AS ny, count(*) AS held FROM each_ a JOIN each_ b ON a.x = b.x AND a.c < b.c GROUP BY ALL),
+    link AS (SELECT x, y FROM pair WHERE 100 * held >= {near.percent} * (nx + ny - held)),
+    two AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach(x, y) AS (SELECT c, c FROM class UNION SELECT reach.x, two.y FROM reach JOIN two ON two.x = reach.y),
+    low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(low.component_id, k.doc_id) AS component_id,
+      k.doc_id IS NOT DISTINCT FROM coalesce(low.component_id, k.doc_id) AS kept
+    FROM kind k LEFT JOIN class ON k.n = class.n AND k.s = class.s AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN low ON low.x = class.c"""

@@ -6,12 +6,16 @@ share their parent's amount by weight until full. What a full child leaves over
 siblings first and reaches the parent's siblings only when the whole subtree is full. Each
 leaf then reads its documents in a seeded order per epoch and takes a prefix of their tokens.
 
-The order is by md5(seed:epoch:doc_id). Prefix sums over a hot leaf are taken in 4096 hash
-ranges: sums per range, then a running sum over ranges, then rows of the one cut range only.
+The order is by md5(seed:epoch:doc_id), and by hashes of the row among rows of one id. Prefix
+sums over a hot leaf are taken in hash ranges: sums per range, then a running sum over the ranges
+(at most 4096 a leaf), then rows of the one cut range only.
 
 Defined results: null language or source is the node ``unknown``; null or empty texts have no
-tokens and are never drawn; repeated rows are drawn as separate documents; an empty table or a
-zero budget gives an empty result; extra columns are ignored.
+tokens and are never drawn; repeated rows are drawn as separate documents, each as often and as
+far as the budget says; rows of one id and unlike texts are documents of their own; rows without
+doc_id are ordered by their hashes and drawn like others; a very long text is cut like any other;
+an empty table or a zero budget gives an empty result; extra columns are ignored by :func:`draw`
+and kept, whatever their names, by :func:`mix_documents`.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, forget, materialize, row_marks, same
 from .quality_rules import words_of
 
 LEVELS = ("domain", "lang", "source")
@@ -54,7 +58,7 @@ def _weight(node: Column, weights: dict) -> Column:
 
 
 def leaf_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, domain, lang, source and tokens (words) of each document that has any."""
+    """doc_id, domain, lang, source, tokens (words) and row hashes of each document with any."""
     source = F.coalesce(F.col("source"), F.lit("unknown"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -62,6 +66,7 @@ def leaf_rows(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"),
         source.alias("source"),
         F.size(words_of(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("tokens"),
+        *row_marks(docs),
     ).where("tokens > 0")
 
 
@@ -99,45 +104,61 @@ def leaf_budgets(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     tops = materialize(_share(tops, ["_all"], "domain", mix.domain).select("domain", F.col("given").alias("amount")), "mix-domains")
     langs = _share(langs.join(tops, "domain"), ["domain"], "lang", mix.lang).select("domain", "lang", F.col("given").alias("amount"))
     langs = materialize(langs, "mix-langs")
+    forget(tops)
     return _share(have.join(langs, ["domain", "lang"]), ["domain", "lang"], "source", mix.source).select(*LEVELS, "supply", "given")
 
 
-def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row per drawn (document, epoch): leaf, tokens, and take_tokens of its prefix."""
-    rows = materialize(leaf_rows(docs), "mix-rows")
-    # Small by construction (one row per leaf) and read three times: written, so that its
-    # chain of windows is planned and run once.
-    plan = materialize(leaf_budgets(rows, mix), "mix-plan").where("given > 0")
-    plan = plan.withColumn("whole", F.expr("given div supply")).withColumn("rest", F.expr("given % supply"))
+def _drawn(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
+    plan = plan.where("given > 0").withColumn("whole", F.expr("given div supply")).withColumn("rest", F.expr("given % supply"))
     near = rows.join(plan.drop("given", "supply"), list(LEVELS))
     near = near.withColumn("epochs", F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0)).where("epochs > 0")
     each = near.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    whole = each.where("epoch < whole").select("doc_id", *LEVELS, "epoch", "tokens", F.col("tokens").alias("take_tokens"))
-    cut = each.where("epoch >= whole").withColumn("key", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    cols = ["doc_id", "k1", "k2", *LEVELS, "epoch", "tokens", "take_tokens"]
+    whole = each.where("epoch < whole").withColumn("take_tokens", F.col("tokens"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("row"), "k1", "k2"))
+    cut = each.where("epoch >= whole").withColumn("key", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("epoch"), name)))
     cut = cut.withColumn("range", F.substring("key", 1, 3))
     sums = cut.groupBy(*LEVELS, "range", "rest").agg(F.sum("tokens").alias("in_range"))
     along = W.partitionBy(*LEVELS).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("in_range").over(along), F.lit(0))).where("before < rest").drop("rest")
     met = cut.join(sums, [*LEVELS, "range"])
     inside = met.where("before + in_range <= rest").withColumn("take_tokens", F.col("tokens"))
-    order = W.partitionBy(*LEVELS, "range").orderBy("key", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*LEVELS, "range").orderBy("key", "doc_id", "tokens", "k1", "k2").rowsBetween(W.unboundedPreceding, -1)
     edge = met.where("before + in_range > rest").withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     edge = edge.where("at < rest").withColumn("take_tokens", F.least(F.col("tokens"), F.col("rest") - F.col("at")))
-    cols = ["doc_id", *LEVELS, "epoch", "tokens", "take_tokens"]
     return whole.select(*cols).unionByName(inside.select(*cols)).unionByName(edge.select(*cols))
 
 
+def draw_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """One row per drawn (row, epoch): id and hashes, leaf, tokens, and take_tokens of its prefix."""
+    rows = materialize(leaf_rows(docs), "mix-rows")
+    # Small by construction (one row per leaf) and read three times: written, so that its
+    # chain of windows is planned and run once.
+    return _drawn(rows, materialize(leaf_budgets(rows, mix), "mix-plan"), mix)
+
+
+def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    return draw_rows(docs, mix).drop("k1", "k2")
+
+
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The drawn documents with the input's columns, one row per epoch; a document cut by the
-    budget keeps its first words, joined by single spaces. Rows without doc_id are not drawn."""
-    drawn = draw(docs.where("doc_id is not null"), mix).select("doc_id", "tokens", "take_tokens")
-    per_id = drawn.groupBy("doc_id").agg(F.collect_list(F.struct("tokens", "take_tokens")).alias("_draws"))
-    out = docs.where("doc_id is not null").join(per_id, "doc_id").withColumn("_draw", F.explode("_draws"))
-    cut = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("_draw.take_tokens").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("_draw.take_tokens") < F.col("_draw.tokens"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    budget keeps its first words, joined by single spaces.
+
+    Draws find their text by the row's hashes. Rows equal in every column share one text and one
+    hash, so texts are made distinct first, combined before the shuffle, and each draw meets one.
+    """
+    names = docs.columns
+    packed = docs.select(F.struct(*[same(c).alias(c) for c in names]).alias("row"), *row_marks(docs))
+    once = packed.groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    drawn = draw_rows(docs, mix).select("k1", "k2", "tokens", "take_tokens")
+    out = once.join(drawn, ["k1", "k2"])
+    text = F.col("row.text")
+    cut = F.array_join(F.slice(words_of(text), F.lit(1), F.col("take_tokens").cast("int")), " ")
+    new = {"text": F.when(F.col("take_tokens") < F.col("tokens"), cut).otherwise(text)}
+    if "n_chars" in names:
+        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ Features of a whole text: densities of a lexicon, second-person words near its h
 punctuation and obfuscation rates. The lexicon is a small fixed list plus words and word
 beginnings that the labelled training rows show to mark toxic texts. Trees and lexicon are
 fitted on a bounded, seeded sample (``sample_rows``) of labelled rows outside the held-out
-fold; a quarter of that sample only calibrates.
+fold. A quarter of that sample, split off before anything is learnt, only calibrates.
 
 Defined results: null text is empty and gets the score of a text without any hit; without
-labels of both kinds the score is the calibrated lexicon hit alone; a doc_id labelled twice
-counts as toxic if one label says so; repeated rows get equal scores; an empty table gives an
-empty table; extra columns are ignored.
+labels of both kinds the score is a fixed one for texts with and without lexicon hits; a doc_id
+labelled twice counts as toxic if one label says so; unlike texts of one labelled id all carry its
+label; repeated rows get equal scores; rows without doc_id are scored and never held out; very
+long texts are read whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import documents, id_text, materialize
-from .quality_classifier import CAPITALS, SMALL, _drop
+from .common import documents, forget, id_text, materialize
+from .quality_classifier import _drop
 
 #: Insults the lexicon starts from, and second-person words.
 SEEDS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
@@ -80,7 +81,9 @@ def features(text: str, hits: _Hits) -> list[float]:
         plain = re.sub(r"[^a-zß-ÿ]", "", piece.translate(LEET))
         hidden += bool(plain) and hits[plain] and piece.strip(".,!?;:") != plain
     raw = text.encode()
-    upper, lower = _drop(raw, CAPITALS), _drop(raw, SMALL)
+    letters = set(text)
+    upper = sum(text.count(c) for c in letters if c.isupper())
+    lower = sum(text.count(c) for c in letters if c.islower())
     kinds = {words[i] for i in at}
     return [
         float(len(at)), len(at) / n, float(len(kinds)), len(kinds) / n, float(near), near / n,
@@ -199,22 +202,25 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     chance = F.pmod(F.xxhash64("doc_id", F.lit(fit.seed)), F.lit(1_000_000))
     # Bounded by sample_rows (8 to 12 bytes a row), so small enough to send to every task.
     some = materialize(marks.where(chance < int(part * 1_000_000)), "tox-sample")
-    rows = materialize(id_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic"), "tox-texts")
-    narrow = rows.where(chance < int(min(part, fit.lexicon_rows / max(total, 1)) * 1_000_000))
+    rows = id_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(fit.seed))).withColumn("last", F.pmod("h", F.lit(4)) == 0)
+    rows = materialize(rows, "tox-texts")
+    narrow = rows.where(~F.col("last")).where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(min(1.0, fit.lexicon_rows / max(part * total, 1)) * 1_000_000))
     lexicon = learn_lexicon(narrow.select("text", "toxic"), fit.lexicon_size)
 
     def run(batches):
         hits = _Hits(lexicon)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.toxic, "x": [features(t, hits) for t in pdf.text]})
+            yield pd.DataFrame({"h": pdf.h, "last": pdf["last"], "y": pdf.toxic, "x": [features(t, hits) for t in pdf.text]})
 
-    got = rows.mapInPandas(run, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
+    got = rows.mapInPandas(run, "h long, last boolean, y int, x array<double>").toPandas().sort_values(["h", "y"])
+    forget(some, rows)
     x, y = np.array(got["x"].tolist(), dtype=float).reshape(-1, FEATURES), got["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, None)
-    last = np.random.default_rng(fit.seed).random(len(y)) < 0.25
-    if y[last].max(initial=0) == 0 or y[~last].max(initial=0) == 0:
-        last = np.zeros(len(y), dtype=bool)
+    last = got["last"].to_numpy(bool)
+    if y[last].max(initial=0) == y[last].min(initial=1) or y[~last].max(initial=0) == y[~last].min(initial=1):
+        last = np.zeros(len(y), dtype=bool)  # too few rows to split: trees and levels share them
     trees = Boosted(fit.trees, fit.depth, fit.rate).fit(x[~last], y[~last])
     on = last if last.any() else ~last
     return Model(lexicon, trees, *isotonic(trees.raw(x[on]), y[on]))
