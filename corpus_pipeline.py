@@ -8,7 +8,6 @@ lost executor costs a re-read. All stages but the last return the columns of ``d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanloom.llm import packing, pii, quality_rules, set_sketch, source_mixing
 from spanloom.llm.common import documents, forget, materialize
@@ -23,12 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: one document of each group of near copies (five words, 0.8) stays.
 
-    Rows without id or text stay; of rows with one id and one shingle set, all stay or none.
+    Rows without id or words stay; rows of one id and one text all stay or none; an unlike text
+    under the id of a copy stays.
     """
     ship(spark)
-    found = set_sketch.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return set_sketch.keep_one(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
