@@ -3,8 +3,8 @@
 Normalised vectors are projected on seeded Gaussian directions; ``floor((a.x + b) / w)`` of k
 projections makes a table's bucket. For unit vectors cosine c is distance sqrt(2 - 2c), and the
 chance that one projection agrees follows from the distance (:func:`agree`). The number of
-projections follows from the number of vectors of the largest label, so that two unrelated
-vectors share a bucket of a table about once in that number; the number of tables follows from
+projections follows from the number of vectors of the largest label, so that an unrelated vector
+shares a bucket of a table with one of them in about one of ``spare`` cases; the number of tables follows from
 ``miss``, the accepted chance to miss a pair exactly at the threshold. Closer pairs are missed
 far less often. Both numbers are one formula at every size.
 
@@ -39,6 +39,7 @@ class PStable:
     cosine: float = 0.98
     width: float = 2.0
     miss: float = 1e-5
+    spare: int = 16
     chunk: int = 2048
     seed: int = 5
 
@@ -53,7 +54,7 @@ def agree(distance: float, width: float) -> float:
 def shape(p: PStable, vectors: int) -> tuple[int, int]:
     """(projections a table, tables) for labels of at most so many vectors."""
     far, near = agree(sqrt(2), p.width), agree(sqrt(2 - 2 * p.cosine), p.width)
-    k = max(1, ceil(log(max(vectors, 2)) / -log(far)))
+    k = max(1, ceil(log(max(vectors, 2) * p.spare) / -log(far)))
     return k, ceil(log(p.miss) / log(1 - near**k))
 
 
