@@ -1,15 +1,19 @@
-"""Ingestion and chunking: identities, page maps, token windows, sections, sentences, pages."""
+"""Ingestion and chunking of plain texts: identities, page maps, token windows, sections, sentences, pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_id
+from ..functions.arrays import let, running_sums
+from ..functions.text import SPACE, stable_id
 
-BLANK = "[ \\t\\n\\r\\f\\x0B]+"
-WINDOW, OVERLAP = 200, 20
+BLANK = "[ \\t\\n\\r\\f\\x0B]"
+#: Tokens of the default tokenizer: a word with the blanks before it, or the blanks at the end.
+#: Joined they are the text, and none splits a character.
+TOKEN = f"{BLANK}*[^ \\t\\n\\r\\f\\x0B]+|{BLANK}+$"
+WINDOW, OVERLAP = 1200, 120
+MARK = "\u0001"
 
 
 def identities(docs: DataFrame) -> DataFrame:
@@ -21,16 +25,18 @@ def identities(docs: DataFrame) -> DataFrame:
 
 
 #: File suffixes and their formats.
-FORMATS = {"txt": "text", "md": "markdown", "pdf": "pdf", "docx": "docx", "html": "html", "htm": "html", "eml": "email"}
+FORMATS = {".txt": "plain_text", ".text": "plain_text", ".md": "markdown", ".markdown": "markdown", ".pdf": "pdf", ".docx": "docx", ".html": "html", ".htm": "html", ".eml": "email"}
 
 
 def detect_format(paths: DataFrame, col: str) -> DataFrame:
-    """Adds suffix and format; an unknown suffix gives the format ``unknown``, never an error."""
-    suffix = F.regexp_extract(F.lower(F.col(col)), "\\.([a-z0-9]+)$", 1)
-    fmt = F.lit("unknown")
+    """Adds suffix, format and error: a path of unknown suffix has no format but an error, and is
+    for the errors table."""
+    suffix = F.regexp_extract(F.lower(F.col(col)), "([.][^./]+)$", 1)
+    fmt = F.lit(None).cast("string")
     for k, v in FORMATS.items():
         fmt = F.when(suffix == k, v).otherwise(fmt)
-    return paths.withColumn("suffix", suffix).withColumn("format", fmt)
+    out = paths.withColumn("suffix", suffix).withColumn("format", fmt)
+    return out.withColumn("error", F.when(F.col("format").isNull(), F.concat(F.lit("unsupported format: "), "suffix")))
 
 
 def page_map(docs: DataFrame) -> DataFrame:
@@ -43,17 +49,35 @@ def page_map(docs: DataFrame) -> DataFrame:
     )
 
 
-def chunks(docs: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Token windows in closed form: starts are multiples of window - overlap. Nothing shuffles."""
-    toks = F.filter(F.split(F.coalesce("text", F.lit("")), BLANK, -1), lambda x: x != "")
-    base = docs.select("doc_id", toks.alias("tok")).where(F.size("tok") > 0)
+def decode(files: DataFrame) -> DataFrame:
+    """Rows of (path, content) to strict UTF-8 text, or an error."""
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(good, F.col("content").cast("string"))
+    error = F.when(~good, "not UTF-8").when(F.trim(text) == "", "empty text")
+    return files.select("path", text.alias("text"), F.sha2("content", 256).alias("source_sha256"), error.alias("error"))
+
+
+def chunks(docs: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Token windows in closed form: starts are multiples of window - overlap. Nothing shuffles.
+
+    A chunk's text is a slice of its document's, with token, character and byte offsets and an id
+    of the document, its hash, the index and the byte and token ranges.
+    """
+    if not 0 <= overlap < window:
+        raise ValueError("overlap must be less than the window")
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", *keep, F.sha2(text, 256).alias("_hash"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tok")).where(F.size("tok") > 0)
+    base = base.withColumn("cs", running_sums(F.transform("tok", F.length))).withColumn("bs", running_sums(F.transform("tok", F.octet_length)))
     step = window - overlap
     last = F.ceil(F.greatest(F.size("tok") - window, F.lit(0)) / F.lit(step)).cast("int")
     each = base.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
     start, end = F.col("k") * step, F.least(F.col("k") * step + window, F.size("tok"))
-    out = each.select("doc_id", F.col("k").cast("long").alias("chunk_index"), start.cast("long").alias("token_start"), end.cast("long").alias("token_end"),
-                      F.array_join(F.slice("tok", start + 1, end - start), " ").alias("chunk_text"))
-    return out.withColumn("chunk_id", stable_id("chunk-", F.col("doc_id"), F.col("chunk_index"), F.col("token_start"), F.col("token_end"), F.col("chunk_text")))
+    body = F.array_join(F.slice("tok", start + 1, end - start), "")
+    out = each.select("doc_id", *keep, "_hash", F.col("k").cast("long").alias("chunk_index"), start.cast("long").alias("token_start"), end.cast("long").alias("token_end"),
+                      F.get("cs", start).alias("start_char"), F.get("bs", start).alias("start_byte"), body.alias("text"))
+    out = out.withColumn("end_char", F.col("start_char") + F.length("text")).withColumn("end_byte", F.col("start_byte") + F.octet_length("text"))
+    parts = ("doc_id", "_hash", "chunk_index", "start_byte", "end_byte", "token_start", "token_end")
+    return out.withColumn("chunk_id", stable_id("chunk-", *[F.col(c) for c in parts])).drop("_hash")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -61,26 +85,96 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def sections(docs: DataFrame, heading_words: int = 8) -> DataFrame:
-    """Each line with the last short line at or before it: carry-forward within a document."""
-    ls = lines(docs).where("line <> ''")
-    head = F.when(F.size(F.split("line", " ")) <= heading_words, F.col("line"))
-    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    return ls.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.last(head, ignorenulls=True).over(w).alias("section"))
+    """Each line with the last short line at or before it: carry-forward inside the row.
+
+    Headings cut the lines into stretches, and a stretch takes its heading's text.
+    """
+    ls = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+
+    def short(line: Column) -> Column:
+        return (line != "") & (F.size(F.split(line, " ")) <= heading_words)
+
+    def carried(xs: Column) -> Column:
+        places = F.filter(F.transform(xs, lambda x, i: F.when(short(x), i)), lambda i: i.isNotNull())
+        edges = F.array_distinct(F.concat(F.array(F.lit(0)), places, F.array(F.size(xs))))
+
+        def stretch(es: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    F.sequence(F.lit(0), F.size(es) - 2),
+                    lambda k: let(
+                        F.get(es, k),
+                        lambda a: F.transform(
+                            F.slice(xs, a + 1, F.get(es, k + 1) - a),
+                            lambda x, j: F.struct((a + j).cast("long").alias("line_no"), x.alias("line"), F.when(short(F.get(xs, a)), F.get(xs, a)).alias("section")),
+                        ),
+                    ),
+                )
+            )
+
+        return let(edges, stretch)
+
+    each = docs.select("doc_id", F.explode(let(ls, carried)).alias("s")).where("s.line <> ''")
+    return each.select("doc_id", "s.line_no", "s.section")
+
+
+#: Words after which a full stop ends no sentence.
+TITLES = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st")
+#: A sentence ends at . ! or ? before white space or the end, unless a title or initials stand
+#: before it or a small letter follows, and at a blank line.
+TERMINAL = (
+    f"(?U)(?<!(?:^|[ \\n])(?:{'|'.join(''.join(f'[{c.upper()}{c}]' for c in t) for t in TITLES)}))(?<![A-Z][.][A-Z])([.!?])"
+    f"(?={SPACE}|\\z)(?!{SPACE}*\\p{{Ll}})"
+)
+
+
+def sentence_array(text: Column) -> Column:
+    """array<struct<start_char, end_char>> of a text's sentences; headings and lines without a
+    letter or digit are none. Marks are put at the ends, and the pieces' lengths give the offsets."""
+    plain = F.translate(text, MARK, "\u0002")
+    marked = F.regexp_replace(F.regexp_replace(plain, TERMINAL, f"$1{MARK}"), "\n\n", f"{MARK}\n\n")
+
+    def spans(ps: Column) -> Column:
+        def placed(at: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                left = F.length(p) - F.length(F.regexp_replace(p, f"(?U)^{SPACE}+", ""))
+                bare = F.regexp_replace(p, f"(?U)^{SPACE}+|{SPACE}+$", "")
+                start = F.get(at, i) + left
+                keep = (bare != "") & ~bare.startswith("#") & bare.rlike("[\\p{L}\\p{N}]")
+                return F.when(keep, F.struct(start.alias("start_char"), (start + F.length(bare)).alias("end_char")))
+
+            return F.array_compact(F.transform(ps, one))
+
+        return let(running_sums(F.transform(ps, F.length)), placed)
+
+    return let(F.split(marked, MARK, -1), spans)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """Sentence spans: cut after . ! or ? before a blank; offsets are running lengths."""
-    parts = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "([.!?])(?=[ \\n])", "$1\u0001"), "\u0001", -1)
-    each = docs.select("doc_id", F.posexplode(parts).alias("i", "s")).where("s <> ''")
-    w = W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("s")).over(w), F.lit(0))
-    return each.select("doc_id", F.col("i").cast("long").alias("sentence_index"), start.cast("long").alias("start_char"), F.length("s").cast("long").alias("chars"))
+    """doc_id, sentence_index, start_char, end_char."""
+    each = docs.select("doc_id", F.posexplode(sentence_array(F.coalesce("text", F.lit("")))).alias("i", "s"))
+    return each.select("doc_id", F.col("i").cast("long").alias("sentence_index"), "s.start_char", "s.end_char")
 
 
-def overlapping_pages(docs: DataFrame, page_chars: int = 1000, span_chars: int = 700) -> DataFrame:
-    """Range join in closed form: the pages that every span of a fixed length overlaps."""
+def page_numbers(pages: Column, start: Column, end: Column) -> Column:
+    """Numbers of the pages (structs with page_number, start_char, end_char) that a range overlaps."""
+    return F.transform(F.filter(pages, lambda p: (start < p["end_char"]) & (end > p["start_char"])), lambda p: p["page_number"])
+
+
+def paged(docs: DataFrame, page_chars: int = 1000) -> DataFrame:
+    """Documents with a page map of equal pages, for texts that come without one."""
     n = F.length(F.coalesce("text", F.lit("")))
-    span = docs.where(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / span_chars).cast("int"))).alias("k"))
+    pages = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / page_chars).cast("int")),
+        lambda k: F.struct((k + 1).cast("long").alias("page_number"), (k * page_chars).cast("long").alias("start_char"), F.least((k + 1) * page_chars, n).cast("long").alias("end_char")),
+    )
+    return docs.where(n > 0).withColumn("page_map", pages)
+
+
+def overlapping_pages(docs: DataFrame, span_chars: int = 700) -> DataFrame:
+    """The pages that every span of a fixed length overlaps; ``docs`` has a page_map."""
+    n = F.length("text")
+    span = docs.select("doc_id", "page_map", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / span_chars).cast("int"))).alias("k"))
     start, end = F.col("k") * span_chars, F.least((F.col("k") + 1) * span_chars, F.col("n"))
-    pages = F.sequence(F.floor(start / page_chars) + 1, F.floor((end - 1) / page_chars) + 1)
-    return span.select("doc_id", F.col("k").cast("long").alias("span_index"), F.array_join(F.transform(pages, lambda p: p.cast("string")), ",").alias("pages"))
+    numbers = F.transform(page_numbers(F.col("page_map"), start, end), lambda p: p.cast("string"))
+    return span.select("doc_id", F.col("k").cast("long").alias("span_index"), F.array_join(numbers, ",").alias("pages"))

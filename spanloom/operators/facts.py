@@ -1,18 +1,13 @@
-"""Facts: rule lenses, span resolution, support, deduplication, conflicts, cross-document groups."""
+"""Facts: rule lenses over whole texts or chunks, deduplication, conflicts, cross-document groups."""
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from functools import reduce
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import canonical_key, span_matches, stable_id, value_supported
+from ..functions.arrays import running_sums_sql
+from ..functions.text import canonical_key, span_matches, stable_id
 
 MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)[.]?"
 CLOCK = "(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?"
@@ -33,126 +28,99 @@ REFERENCE = (
     "|\\b(?:ISO|IEC|RFC|IEEE|EN|DIN|ANSI|NIST|ASTM)(?:[/ -][A-Z]{2,4})?[ -][0-9]+|§§? ?[0-9]+)(?:[.-][0-9A-Za-z]+)*(?:\\([0-9A-Za-z]+\\))*"
 )
 
-#: Rule lenses: (lens, category, field, pattern). No look-around, so any engine can check them.
+EVENT = "(?:acquired|announced|appointed|approved|began|closed|commenced|completed|launched|merged|opened|resigned|retired|signed|started|terminated)"
+CLAIM = "(?:concluded|expects?|found|indicated?|may|must|reported|requires?|shall|should|shows?|showed)"
+
+#: Rule lenses: (lens, category, field, pattern). No look-around, so any engine can check them. A
+#: fifth entry is a quicker pattern without which the lens cannot match.
 LENSES = (
-    ("number", "Quantity", "number", "[0-9]+(?:[.,][0-9]+)*"),
+    ("number", "Quantity", "number", "[0-9]+(?:[.,][0-9]+)*", "[0-9]"),
     ("citation", "Reference", "license_version", "[Vv]ersion [0-9]+(?:[.][0-9]+)*"),
-    ("citation", "Reference", "reference", REFERENCE),
-    ("entity", "Identifier", "email", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+[a-z]"),
+    ("citation", "Reference", "reference", REFERENCE, "[0-9§]|[a-z] [A-Z]|(?:Sec|Fig)[.] [A-Z]"),
+    ("entity", "Identifier", "email", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+[a-z]", "@"),
     ("entity", "Entity", "name", "[A-Z][a-z]{9,}"),
-    ("temporal", "Time", "clock", TIME),
+    ("temporal", "Time", "clock", TIME, "[0-9]|quarter"),
     ("quantity_with_unit", "Quantity", "with_unit", "[0-9]+ [a-z]{3,}"),
     ("definition", "Definition", "quoted", "\"[^\"]+\""),
+    ("event", "Event", "summary", f"\\b[A-Z][^.!?\n]*\\b{EVENT}\\b[^.!?\n]*[.!?]", f"\\b{EVENT}\\b"),
+    ("claim", "Claim", "statement", f"\\b[A-Z][^.!?\n]*\\b{CLAIM}\\b[^.!?\n]*[.!?]", f"\\b{CLAIM}\\b"),
 )
+#: Every lens by name with the kinds of value it may give; the last four are declared only.
+REGISTRY = (
+    ("entity", "string,identifier", True), ("event", "string,label", True), ("claim", "string", True), ("number", "number", True),
+    ("definition", "string", True), ("citation", "reference", True), ("temporal", "date,duration", True), ("quantity_with_unit", "quantity", True),
+    ("relation", "string", False), ("obligation", "string", False), ("condition", "string", False), ("exception", "string", False),
+)
+MARK = "\u0001"
 
 
-def propose(docs: DataFrame, lenses=LENSES) -> DataFrame:
-    """Candidates of every lens with exact character and byte spans.
+def lens_registry(spark) -> DataFrame:
+    """lens, value_kinds, executable."""
+    return spark.createDataFrame(list(REGISTRY), "lens string, value_kinds string, executable boolean")
 
-    The pieces between matches and the matches themselves rebuild the text, so offsets are
-    running sums: one explode and one window a lens, all inside the JVM.
-    """
-    text = F.coalesce("text", F.lit(""))
-    out = []
-    for lens, category, field, pattern in lenses:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        rows = docs.where(text.rlike(pattern)).select("doc_id", "source", F.posexplode(F.arrays_zip(found.alias("value"), gaps.alias("gap"))).alias("ordinal", "m"))
-        w = W.partitionBy("doc_id").orderBy("ordinal")
-        before = w.rowsBetween(W.unboundedPreceding, -1)
-        value, gap = F.col("m.value"), F.col("m.gap")
-
-        def at(size):
-            return F.coalesce(F.sum(size(value) + size(gap)).over(before), F.lit(0)) + size(gap)
-
-        out.append(rows.select(
-            "doc_id", "source", F.lit(lens).alias("lens"), F.lit(category).alias("category"), F.lit(field).alias("field"), F.col("ordinal").cast("long").alias("ordinal"),
-            value.alias("value"), at(F.length).cast("long").alias("start_char"), (at(F.length) + F.length(value)).cast("long").alias("end_char"),
-            at(F.octet_length).cast("long").alias("start_byte"), (at(F.octet_length) + F.octet_length(value)).cast("long").alias("end_byte"),
-        ))
-    rows = reduce(DataFrame.unionByName, out)
-    rows = rows.withColumn("confidence", F.round((F.pmod(F.col("doc_id") * 7 + F.col("ordinal") * 3, F.lit(100))) / 100, 2))
-    return rows.withColumn("candidate_id", stable_id("cand-", *[F.col(c) for c in ("doc_id", "lens", "category", "field", "value", "start_char")]))
 
-
-def span_check(facts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every fact with whether its two slices equal its quoted value."""
-    joined = facts.join(docs.select("doc_id", "text"), "doc_id")
-    ok = span_matches(F.col("text"), F.col("value"), F.col("start_char"), F.col("end_char"), F.col("start_byte"), F.col("end_byte"))
-    return joined.select("candidate_id", "doc_id", "lens", "ordinal", ok.alias("span_ok"))
+def _literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def loose_matches():
-    """Places of a value by X5's steps after the exact one: stripped, any case, other blanks (a pandas UDF).
+def _pieces(text: str, pattern: str) -> str:
+    """The text cut into gap, match, gap, match and so on: joined, they are the text again.
 
-    A null text, as exact matches get, gives no places.
+    One pass marks the matches and cuts there. A text that holds the mark itself is cut by
+    extracting and splitting, two passes.
     """
+    p, mark = _literal(pattern), _literal(MARK)
+    fast = f"split(regexp_replace({text}, {_literal(f'({pattern})')}, {_literal(f'{MARK}$1{MARK}')}), {mark}, -1)"
+    slow = f"flatten(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> array(g, coalesce(m, ''))))"
+    return f"CASE WHEN contains({text}, {mark}) THEN {slow} ELSE {fast} END"
 
-    @pandas_udf("array<struct<start: long, end: long>>")
-    def places(texts: pd.Series, values: pd.Series) -> pd.Series:
-        def exact(text, value):
-            out, at = [], text.find(value)
-            while at >= 0:
-                out.append((at, at + len(value)))
-                at = text.find(value, at + 1)
-            return out
-
-        def one(text, value):
-            if text is None or not value:
-                return []
-            bare = value.strip()
-            if bare and bare != value and (out := exact(text, bare)):
-                return out
-            if out := [m.span() for m in re.finditer(re.escape(value), text, re.IGNORECASE)]:
-                return out
-            flat = " ".join(value.split())
-            if not flat or not re.search(r"\s", value):
-                return []
-            words = [m.span() for m in re.finditer(r"\S+", text)]
-            starts, size = [], 0
-            for a, b in words:
-                starts.append(size)
-                size += b - a + 1
-
-            def back(k):  # a character of the text with single blanks, in the text itself
-                w = bisect_right(starts, k) - 1
-                return words[w][0] + k - starts[w]
-
-            return [(back(a), back(b - 1) + 1) for a, b in exact(" ".join(text[a:b] for a, b in words), flat)]
-
-        return pd.Series([[{"start": a, "end": b} for a, b in one(t, v)] for t, v in zip(texts, values)], dtype=object)
-
-    return places
-
-
-def resolve_spans(facts: DataFrame, docs: DataFrame, short: int = 24) -> DataFrame:
-    """Claimed offsets (here shifted by doc_id mod 3) repaired when the value is unique.
-
-    Exact matches are counted with overlap, as far as two; only values without any go to the
-    later steps, whose matches may be longer or shorter than the value.
-    """
-    joined = facts.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").withColumn("claimed", F.col("start_char") + F.pmod("doc_id", F.lit(3)))
-    joined = joined.withColumn("first", F.expr("locate(value, text)"))
-    joined = joined.withColumn("loose", loose_matches()(F.when(F.col("first") == 0, F.col("text")), F.col("value")))
-    again = (F.col("first") > 0) & (F.expr("locate(value, text, first + 1)") > 0)
-    n = F.when(again, 2).when(F.col("first") > 0, 1).otherwise(F.size("loose"))
-    exact = F.substring("text", F.col("claimed") + 1, F.length("value")) == F.col("value")
-    state = F.when(exact, "exact").when(n == 1, "repaired").when((F.length("value") <= short) & (n > 1), "ambiguous").otherwise("unsupported")
-    span = lambda a: F.struct(a.cast("long").alias("start"), (a + F.length("value")).cast("long").alias("end"))
-    out = joined.withColumn("resolution", state)
-    place = F.when(F.col("resolution") == "exact", span(F.col("claimed"))).when((F.col("resolution") == "repaired") & (F.col("first") > 0), span(F.col("first") - 1)).when(F.col("resolution") == "repaired", F.get("loose", F.lit(0)))
-    out = out.withColumn("place", place)
-    return out.select("candidate_id", "doc_id", "lens", "ordinal", "claimed", "resolution", F.col("place.start").alias("resolved_start"), F.col("place.end").alias("resolved_end"))
+
+FOUND = "array<struct<lens:string,category:string,field:string,ordinal:bigint,value:string,start_char:bigint,start_byte:bigint>>"
 
 
-def resolve(facts: DataFrame, docs: DataFrame, short: int = 24) -> DataFrame:
-    return resolve_spans(facts, docs, short).drop("resolved_end")
+def _found(text: str, lens: tuple) -> str:
+    """All matches of a lens with their offsets, summed inside the row, as SQL text."""
+    name, category, field, pattern = lens[:4]
+    one = f"""named_struct('lens', {_literal(name)}, 'category', {_literal(category)}, 'field', {_literal(field)}, 'ordinal', cast(k as bigint),
+        'value', get(ps, 2 * k + 1), 'start_char', get(cs, 2 * k + 1), 'start_byte', get(bs, 2 * k + 1))"""
+    each = f"transform(sequence(0, cast(floor((size(ps) - 2) / 2) as int)), k -> {one})"
+    with_bytes = f"transform(array({running_sums_sql('transform(ps, p -> octet_length(p))')}), bs -> filter({each}, m -> m.value <> ''))[0]"
+    with_chars = f"transform(array({running_sums_sql('transform(ps, p -> length(p))')}), cs -> {with_bytes})[0]"
+    placed = f"transform(array({_pieces(text, pattern)}), ps -> CASE WHEN size(ps) >= 2 THEN {with_chars} END)[0]"
+    # Most texts have no match of most lenses: they are passed over by one search.
+    return f"coalesce(CASE WHEN rlike({text}, {_literal(lens[-1])}) THEN {placed} END, cast(array() as {FOUND}))"
 
 
-def supported(docs: DataFrame) -> DataFrame:
-    """Whether a document's last line is supported by its first line."""
-    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return docs.select("doc_id", value_supported(F.element_at(parts, -1), parts[0]).alias("supported"))
+def propose(docs: DataFrame, lenses=LENSES, confidence: float | Column = 1.0) -> DataFrame:
+    """Candidates of every lens with exact character and byte spans.
+
+    ``docs`` has doc_id, text and source, and may have chunk_id, start_char and start_byte: then
+    rows are chunks, and offsets count from their document's start. One scan, no shuffle: offsets
+    are summed inside the row, so rows of one id do not mix. ``confidence`` is what the caller
+    gives these lenses. Null texts have no candidates.
+    """
+    chunked = "chunk_id" in docs.columns
+    zero = F.lit(0).cast("long")
+    # SQL text: as columns, call by call, so wide an expression takes a second to build.
+    found = F.expr(f"concat({', '.join(_found("coalesce(text, '')", x) for x in lenses)})")
+    at = (F.col("start_char"), F.col("start_byte")) if chunked else (zero, zero)
+    keep = ["chunk_id"] if chunked else []
+    rows = docs.select("doc_id", "source", *keep, at[0].alias("_c"), at[1].alias("_b"), F.explode(found).alias("m"))
+    rows = rows.select(
+        "doc_id", "source", *keep, "m.lens", "m.category", "m.field", "m.ordinal", "m.value",
+        (F.col("_c") + F.col("m.start_char")).alias("start_char"), (F.col("_c") + F.col("m.start_char") + F.length("m.value")).alias("end_char"),
+        (F.col("_b") + F.col("m.start_byte")).alias("start_byte"), (F.col("_b") + F.col("m.start_byte") + F.octet_length("m.value")).alias("end_byte"),
+        (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"),
+    )
+    parts = ("doc_id", *keep, "lens", "category", "field", "value", "start_char")
+    return rows.withColumn("candidate_id", stable_id("cand-", *[F.col(c) for c in parts]))
+
+
+def span_check(facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every fact with whether its two slices equal its quoted value."""
+    joined = facts.join(docs.select("doc_id", "text"), "doc_id")
+    ok = span_matches(F.col("text"), F.col("value"), F.col("start_char"), F.col("end_char"), F.col("start_byte"), F.col("end_byte"))
+    return joined.select("candidate_id", "doc_id", "lens", "ordinal", ok.alias("span_ok"))
 
 
 def keyed(facts: DataFrame) -> DataFrame:
@@ -172,10 +140,8 @@ def placed(facts: DataFrame) -> DataFrame:
 
 
 def dedup(facts: DataFrame) -> DataFrame:
-    """Each candidate with the smallest id of its (document, lens, field, key, span) as primary."""
-    k = placed(facts)
-    low = k.groupBy(*PLACE).agg(F.min("candidate_id").alias("primary_id"))
-    return k.join(low, list(PLACE))
+    """Each candidate with the smallest id of its (document, lens, field, key, span) as primary; one shuffle."""
+    return placed(facts).withColumn("primary_id", F.min("candidate_id").over(W.partitionBy(*PLACE)))
 
 
 def survivors(facts: DataFrame) -> DataFrame:
@@ -189,50 +155,76 @@ def rejections(facts: DataFrame) -> DataFrame:
 
 
 def clusters(facts: DataFrame) -> DataFrame:
-    g = placed(facts).groupBy(*PLACE).agg(F.count("*").alias("members"), F.count_distinct("start_char", "end_char").alias("spans"), F.min("candidate_id").alias("primary_id"))
-    return g.where("members >= 2").select(*KEY, "members", "spans", "primary_id")
+    """Groups of two or more: members, distinct spans (with the chunk), primary, and the merged ids."""
+    span = ["chunk_id"] if "chunk_id" in facts.columns else []
+    g = placed(facts).groupBy(*PLACE).agg(
+        F.count("*").alias("members"), F.count_distinct(*span, "start_char", "end_char").alias("spans"), F.min("candidate_id").alias("primary_id"),
+        F.array_join(F.array_sort(F.collect_list("candidate_id")), ",").alias("all_ids"),
+    )
+    return g.where("members >= 2").select(*KEY, "members", "spans", "primary_id", "all_ids")
 
 
 def field_conflicts(facts: DataFrame) -> DataFrame:
-    """(document, category, field) with two or more distinct keys."""
-    g = keyed(facts).groupBy("doc_id", "category", "field").agg(F.count_distinct("key").alias("n_keys"), F.count("*").alias("n_facts"))
-    return g.where("n_keys >= 2")
+    """(document, category, field) with two or more distinct keys; the id names the sorted keys.
+
+    With a column ``status``, only canonicalized facts can conflict.
+    """
+    k = keyed(facts)
+    if "status" in facts.columns:
+        k = k.where(F.col("status") == "canonicalized")
+    # Keys are made distinct before they are collected: a field of one document, not of all.
+    g = k.groupBy("doc_id", "category", "field", "key").agg(F.count("*").alias("n")).groupBy("doc_id", "category", "field")
+    g = g.agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_facts"), F.array_join(F.array_sort(F.collect_list("key")), "\n").alias("keys"))
+    return g.where("n_keys >= 2").withColumn("conflict_id", stable_id("conf-", F.col("doc_id"), F.col("category"), F.col("field"), F.col("keys"))).drop("keys")
 
 
 def crossdoc_groups(facts: DataFrame, least_docs: int = 2) -> DataFrame:
-    """Equal facts across documents. Counts combine before the shuffle; no list per group."""
-    g = keyed(facts).groupBy("category", "field", "key").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_facts"), F.min("candidate_id").alias("first_id"))
-    return g.where(F.col("n_docs") >= least_docs).withColumn("group_id", stable_id("xdg-", F.col("category"), F.col("field"), F.col("key")))
+    """Equal facts across documents, of one schema where the column ``schema`` names it.
+
+    Counts combine before the shuffle; no list per group.
+    """
+    by = [*(["schema"] if "schema" in facts.columns else []), "category", "field", "key"]
+    g = keyed(facts).groupBy(*by).agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_facts"), F.min("candidate_id").alias("first_id"))
+    return g.where(F.col("n_docs") >= least_docs).withColumn("group_id", stable_id("xdg-", *[F.col(c) for c in by]))
 
 
 def crossdoc_conflicts(facts: DataFrame) -> DataFrame:
-    g = crossdoc_groups(facts).groupBy("category", "field").agg(F.count("*").alias("n_groups"), F.sum("n_facts").alias("n_facts"))
-    return g.where("n_groups > 1").withColumn("conflict_id", stable_id("xdc-", F.col("category"), F.col("field")))
+    by = [*(["schema"] if "schema" in facts.columns else []), "category", "field"]
+    g = crossdoc_groups(facts).groupBy(*by).agg(F.count("*").alias("n_groups"), F.sum("n_facts").alias("n_facts"))
+    return g.where("n_groups > 1").withColumn("conflict_id", stable_id("xdc-", *[F.col(c) for c in by]))
 
 
-def crossdoc_skipped(facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """First failing precondition of each fact: no label row, low quality, toxic; kept has none."""
-    l = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    reason = F.when(F.col("quality").isNull(), "missing_manifest").when(F.col("quality") == 0, "run_not_completed").when(F.col("toxic") == 1, "schema_missing")
-    return facts.join(l, "doc_id", "left").withColumn("reason", reason).groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+def crossdoc_inputs(facts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every fact with the first failing precondition of its document's run, null where it is kept.
+
+    ``runs`` has doc_id, completed, has_document and has_schema, one row a document.
+    """
+    reason = (
+        F.when(F.col("completed").isNull(), "missing_manifest").when(~F.col("completed"), "run_not_completed")
+        .when(~F.col("has_document"), "document_missing").when(~F.col("has_schema"), "schema_missing")
+    )
+    return facts.join(runs, "doc_id", "left").select("candidate_id", "doc_id", reason.alias("reason"))
 
 
-def specificity_pick(facts: DataFrame) -> DataFrame:
-    """Best source of each group: shortest span, then shortest value, then id."""
-    order = F.struct((F.col("end_char") - F.col("start_char")).alias("a"), F.length("value").alias("b"), F.col("candidate_id").alias("c"))
-    return keyed(facts).groupBy("category", "field", "key").agg(F.min_by("candidate_id", order).alias("picked_id"))
+def crossdoc_skipped(facts: DataFrame, runs: DataFrame) -> DataFrame:
+    return crossdoc_inputs(facts, runs).groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def review_batches(facts: DataFrame, size: int = 20) -> DataFrame:
-    w = W.partitionBy("doc_id").orderBy("lens", "field", "ordinal")
-    return facts.select("candidate_id", "doc_id", F.floor((F.row_number().over(w) - 1) / size).cast("long").alias("batch"))
+    """Contiguous batches of each chunk's candidates in (lens, field, ordinal) order."""
+    of = ["doc_id", "chunk_id"] if "chunk_id" in facts.columns else ["doc_id"]
+    w = W.partitionBy(*of).orderBy("lens", "field", "ordinal")
+    return facts.select("candidate_id", *of, F.floor((F.row_number().over(w) - 1) / size).cast("long").alias("batch"))
 
 
 def context(facts: DataFrame, docs: DataFrame, radius: int = 30) -> DataFrame:
-    j = facts.join(docs.select("doc_id", "text"), "doc_id")
+    """Prefix, highlight and suffix; status matched, mismatched, or unavailable without a text."""
+    j = facts.join(docs.select("doc_id", "text"), "doc_id", "left")
+    cut = F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    status = F.when(F.col("text").isNull(), "unavailable").when(cut == F.col("value"), "matched").otherwise("mismatched")
     return j.select(
-        "candidate_id", "doc_id", "lens", "ordinal",
+        "candidate_id", "doc_id", "lens", "ordinal", status.alias("status"),
         F.substring("text", F.greatest(F.col("start_char") - radius, F.lit(0)) + 1, F.least(F.lit(radius), F.col("start_char"))).alias("prefix"),
-        F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("highlight"),
+        cut.alias("highlight"),
         F.substring("text", F.col("end_char") + 1, F.lit(radius)).alias("suffix"),
     )

@@ -1,60 +1,28 @@
-"""Replayed review verdicts and what follows from them: reports, complaints, fates, run state."""
+"""What follows from reports: summaries, complaints, mirrored reports, fates, confidence, run state."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import facts as X
 
-#: Titles that may stand before a speaker's name, and words after a role's value.
-TITLES = ("CEO", "CFO", "COO", "Chair", "Director", "President")
-ROLE_WORDS = ("forecast", "margin", "target")
-
-
-def replay(facts: DataFrame) -> DataFrame:
-    """Stand-in for recorded replies: candidate_id, pos, code (a, c or r) and a reject's reason.
-
-    Some candidates have no verdict, some have two, and some verdicts name unknown candidates.
-    """
-    h = F.pmod(F.col("doc_id") * 3 + F.col("ordinal"), F.lit(11))
-    code = F.when(h == 0, "r").when(h == 1, "c").otherwise("a")
-    reason = F.when((h == 0) & (F.col("ordinal") % 2 == 0), "span_mismatch").when(h == 0, "wrong_category")
-    first = facts.where(h != 7).select("candidate_id", F.lit(0).alias("pos"), code.alias("code"), reason.alias("reason"))
-    again = facts.where("ordinal % 5 = 0").select("candidate_id", F.lit(1).alias("pos"), F.lit("r").alias("code"), F.lit("wrong_category").alias("reason"))
-    unknown = facts.where(h == 3).select(F.concat(F.lit("unknown-"), "candidate_id").alias("candidate_id"), F.lit(0).alias("pos"), F.lit("a").alias("code"), F.lit(None).cast("string").alias("reason"))
-    return first.unionByName(again).unionByName(unknown)
-
-
-def first_verdicts(verdicts: DataFrame) -> DataFrame:
-    """The first verdict of each candidate; the minimum is taken before the shuffle."""
-    first = verdicts.groupBy("candidate_id").agg(F.min(F.struct("pos", "code", "reason")).alias("v"))
-    return first.select("candidate_id", "v.code", "v.reason")
-
-
-def reports(facts: DataFrame, verdicts: DataFrame, docs: DataFrame) -> DataFrame:
-    """One report a candidate. No verdict rejects; a reject that a mechanical check contradicts does not."""
-    ok = X.span_check(facts, docs).select("candidate_id", "span_ok")
-    j = facts.join(first_verdicts(verdicts), "candidate_id", "left").join(ok, "candidate_id")
-    against = (F.col("code") == "r") & (F.col("reason") == "span_mismatch") & F.col("span_ok")
-    why = F.when(F.col("code").isNull(), "missing_verdict").when(~F.col("span_ok"), "span_mismatch").when((F.col("code") == "r") & ~against, F.col("reason"))
-    out = j.withColumn("why", why).withColumn("accepted", F.col("why").isNull())
-    return out.select("candidate_id", "doc_id", "lens", "accepted", F.col("why").alias("reason"), F.col("accepted").cast("double").alias("score"))
-
 
 def rejection_summary(reported: DataFrame) -> DataFrame:
-    """Counts by lens and reason, by lens, and over all, in one grouping-sets aggregation."""
-    return reported.where("not accepted").rollup("lens", "reason").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    """Distinct candidates and documents by lens and reason, by lens, and over all."""
+    return reported.where("not accepted").rollup("lens", "reason").agg(F.count_distinct("candidate_id").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def complaints(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Symmetric difference of candidates and verdict ids."""
-    ids, named = facts.select("candidate_id"), verdicts.select("candidate_id").distinct()
+    """Symmetric difference of candidates and verdict ids, and verdicts that say nothing usable
+    (a reject without code, an unknown decision); one row an id and complaint."""
+    ids, named = facts.select("candidate_id").distinct(), verdicts.select("candidate_id").distinct()
     unknown = named.join(ids, "candidate_id", "left_anti").withColumn("complaint", F.lit("unknown_id"))
-    return unknown.unionByName(ids.join(named, "candidate_id", "left_anti").withColumn("complaint", F.lit("missing_id")))
+    missing = ids.join(named, "candidate_id", "left_anti").withColumn("complaint", F.lit("missing_id"))
+    bad = F.when(~F.coalesce(F.col("decision").isin("accept", "reject", "correct"), F.lit(False)), "unknown_decision").when((F.col("decision") == "reject") & F.col("code").isNull(), "no_code")
+    wrong = verdicts.select("candidate_id", bad.alias("complaint")).where("complaint is not null").distinct()
+    return unknown.unionByName(missing).unionByName(wrong)
 
 
 def mirrored(facts: DataFrame, reported: DataFrame) -> DataFrame:
@@ -64,12 +32,22 @@ def mirrored(facts: DataFrame, reported: DataFrame) -> DataFrame:
     return gone.join(of, "primary_id").select("candidate_id", "primary_id", "accepted", "reason")
 
 
-def fates(facts: DataFrame, reported: DataFrame) -> DataFrame:
-    """What became of each candidate, and of the one it was merged into."""
-    end = F.when(F.col("accepted"), "kept").otherwise("rejected")
-    of = reported.select(F.col("candidate_id").alias("primary_id"), end.alias("final_fate"))
-    own = F.when(F.col("candidate_id") != F.col("primary_id"), "merged").otherwise(F.col("final_fate"))
-    return X.dedup(facts).select("candidate_id", "primary_id").join(of, "primary_id").select("candidate_id", own.alias("fate"), "final_fate")
+#: Stages in which a candidate can end, the first that rejects it decides.
+STAGES = ("executor", "critic", "verifier", "reconciler")
+
+
+def fates(candidates: DataFrame, merged: DataFrame, rejections: DataFrame, members: DataFrame) -> DataFrame:
+    """What became of each candidate: data_point, <stage>_rejected, dedup_then_<fate of the survivor>
+    or no_outcome. ``merged`` has candidate_id and primary_id, ``rejections`` candidate_id and stage,
+    ``members`` the candidates in facts. Merging makes one hop: a survivor is not merged itself."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    first = rejections.withColumn("rank", rank).where("rank > 0").groupBy("candidate_id").agg(F.min_by("stage", "rank").alias("stage"))
+    kept = members.select("candidate_id").distinct().withColumn("kept", F.lit(True))
+    own = candidates.select("candidate_id").distinct().join(first, "candidate_id", "left").join(kept, "candidate_id", "left").join(merged.select("candidate_id", "primary_id"), "candidate_id", "left")
+    fate = F.when(F.col("kept"), "data_point").when(F.col("stage").isNotNull(), F.concat("stage", F.lit("_rejected")))
+    own = own.withColumn("own", F.coalesce(fate, F.when(F.col("primary_id").isNull(), "no_outcome")))
+    end = own.select(F.col("candidate_id").alias("primary_id"), F.coalesce("own", F.lit("no_outcome")).alias("end"))
+    return own.join(end, "primary_id", "left").select("candidate_id", F.coalesce("own", F.concat(F.lit("dedup_then_"), F.coalesce("end", F.lit("unknown")))).alias("fate"))
 
 
 def fact_confidence(facts: DataFrame, reported: DataFrame) -> DataFrame:
@@ -79,34 +57,29 @@ def fact_confidence(facts: DataFrame, reported: DataFrame) -> DataFrame:
     return least.join(of, "primary_id").select(F.col("primary_id").alias("candidate_id"), "members", F.least("least", "score").alias("confidence"))
 
 
-def run_status(events: DataFrame) -> DataFrame:
-    """Current state of each run: its latest event by time, then id."""
-    last = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x"))
-    return last.select("user_id", F.col("x.event_type").alias("status"), F.col("x.event_id").alias("last_event"))
+#: Which status may follow which.
+STEPS = {None: ("created",), "created": ("running", "failed"), "running": ("completed", "failed", "refused"), "failed": ("running",), "completed": (), "refused": ()}
 
 
-def boundary_events(facts: DataFrame) -> DataFrame:
-    """Starts and ends of spans in reading order: by place, ends before starts, then id."""
-    start = facts.select("doc_id", F.col("start_char").alias("at"), F.lit(1).alias("priority"), "candidate_id")
-    end = facts.select("doc_id", F.col("end_char").alias("at"), F.lit(0).alias("priority"), "candidate_id")
-    w = W.partitionBy("doc_id").orderBy("at", "priority", "candidate_id")
-    return start.unionByName(end).withColumn("rank", F.row_number().over(w).cast("long"))
+def run_status(events: DataFrame) -> DataFrame:
+    """Current status of each run, its latest event by (time, id), the number of events, and how many
+    were steps that a run may not take. ``events`` has run_id, ts, event_id, status."""
+    w = W.partitionBy("run_id").orderBy("ts", "event_id")
+    before = F.lag("status").over(w)
+    legal = F.lit(False)
+    for a, follow in STEPS.items():
+        here = before.isNull() if a is None else before == a
+        for b in follow:
+            legal = legal | (here & (F.col("status") == b))
+    e = events.withColumn("illegal", (~F.coalesce(legal, F.lit(False))).cast("long"))
+    last = e.groupBy("run_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("x"), F.count("*").alias("n_events"), F.sum("illegal").alias("illegal"))
+    return last.select("run_id", F.col("x.status").alias("status"), F.col("x.event_id").alias("last_event"), "n_events", "illegal")
 
 
 def contiguity(spans: DataFrame) -> DataFrame:
-    """Whether a document's spans (start_char, chars) follow one another without gap from 0."""
-    w = W.partitionBy("doc_id").orderBy("start_char")
-    due = F.coalesce(F.lag(F.col("start_char") + F.col("chars")).over(w), F.lit(0))
-    marked = spans.select("doc_id", "chars", (F.col("start_char") == due).alias("fits"))
+    """Whether a document's spans (start_char, end_char) follow one another without gap from 0, and
+    the characters they cover."""
+    w = W.partitionBy("doc_id").orderBy("start_char", "end_char")
+    due = F.coalesce(F.lag("end_char").over(w), F.lit(0))
+    marked = spans.select("doc_id", (F.col("end_char") - F.col("start_char")).alias("chars"), (F.col("start_char") == due).alias("fits"))
     return marked.groupBy("doc_id").agg(F.bool_and("fits").alias("contiguous"), F.sum("chars").alias("covered"))
-
-
-def expected_calibration_error(bins: DataFrame) -> DataFrame:
-    gap = F.sum(F.col("n") * F.coalesce("gap", F.lit(0.0))) / F.sum("n")
-    return bins.agg(F.sum("n").alias("n"), F.round(gap, 6).alias("ece"))
-
-
-def normalize_value(value: Column) -> Column:
-    """Condition lead-ins, words after a role's value and titles before a speaker's full name go."""
-    steps = (("^with +", ""), (f" +(?:{'|'.join(ROLE_WORDS)})$", ""), (f"^(?:{'|'.join(TITLES)}) +([^ ]+ +[^ ].*)$", "$1"))
-    return reduce(lambda v, s: F.regexp_replace(v, s[0], s[1]), steps, value)

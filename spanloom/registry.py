@@ -1,4 +1,4 @@
-"""Queries of the fact engine and, for each that SQL can express, its oracle."""
+"""Queries of the fact engine. Their SQL is in :mod:`spanloom.oracles`."""
 
 from __future__ import annotations
 
@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import canonical_key
+from . import samples as S
+from .functions.text import canonical_key, value_supported
+from .operators import claims as C
 from .operators import documents as D
 from .operators import facts as X
+from .operators import layout as L
+from .operators import policies as P
+from .operators import reconcile as M
 from .operators import review as R
 from .operators import verdicts as V
 from .session import ship
 from .sources import html
+from .tables import materialize
 
-LEAST = {"precision": 0.9, "recall": 0.9, "f1": 0.9, "provenance_recall": 0.9}
+LENS_NAMES = ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition", "event", "claim")
+LEAST = 0.9
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,21 +34,54 @@ def _docs(f):
 
 
 def _facts(f):
-    return lambda spark, d: f(X.propose(_t(spark, d, "documents")))
+    """Facts of whole documents, read once."""
+    return lambda spark, d: f(S.scored(X.propose(_t(spark, d, "documents"))))
 
 
 def _both(f):
-    return lambda spark, d: f(X.propose(_t(spark, d, "documents")), _t(spark, d, "documents"))
+    return lambda spark, d: f(S.scored(X.propose(_t(spark, d, "documents"))), _t(spark, d, "documents"))
 
 
-def _runs(f):
+def _candidates(f):
+    """Candidates of chunks, read once; overlapping chunks find some facts twice."""
+    return lambda spark, d: f(S.scored(X.propose(S.chunked(_t(spark, d, "documents")))))
+
+
+def _written(f):
+    """Facts written once, for queries that read them more than once."""
+    return lambda spark, d: f(materialize(S.scored(X.propose(_t(spark, d, "documents"))), "facts"))
+
+
+def _checked(f):
+    """Chunk candidates with their checks, written once."""
+
     def run(spark, d):
-        facts = X.propose(_t(spark, d, "documents"))
-        return f(R.expected(facts), R.predictions(facts))
+        chunks = S.chunked(_t(spark, d, "documents"))
+        c = S.scored(X.propose(chunks)).withColumn("source_text", F.col("value"))
+        return f(materialize(P.checked(c, chunks, S.plan_fields(spark)), "candidates"))
 
     return run
 
 
+def _matched(f):
+    def run(facts):
+        labels = S.labels_of(facts)
+        return f(labels, facts, R.match(labels, facts))
+
+    return _written(run)
+
+
+def _events(labels, facts, matched):
+    return R.counts(labels, facts, matched)
+
+
+def _thresholds(facts: DataFrame) -> DataFrame:
+    """Least ratios over all, for two categories of which one has no label, and for a field."""
+    rows = [("suite", None, None), ("category", "Quantity", None), ("category", "Nothing", None), ("field", "Entity", "name")]
+    data = [(s, c, f, m, "min", LEAST) for s, c, f in rows for m in R.RATIOS] + [("suite", None, None, "violations", "max", 0.0)]
+    return facts.sparkSession.createDataFrame(data, "scope string, category string, field string, metric string, comparator string, threshold double")
+
+
 def _pages(f):
     def run(spark, d):
         ship(spark)
@@ -50,21 +90,39 @@ def _pages(f):
     return run
 
 
-def _diff(f):
+def _shipped(f):
     def run(spark, d):
-        p = R.predictions(X.propose(_t(spark, d, "documents")))
-        return f(R.run_diff(p, R.second_run(p)))
+        ship(spark)
+        return f(spark, d)
 
     return run
 
 
+def _diff(f):
+    return _written(lambda facts: f(R.run_diff(*S.reports(facts))))
+
+
 def _reviewed(f):
-    def run(spark, d):
-        docs = _t(spark, d, "documents")
-        facts = X.propose(docs)
-        return f(facts, V.reports(facts, V.replay(facts), docs))
+    def run(c):
+        reported = P.critic_reports(c, S.verdicts(c))
+        return f(c, reported)
 
-    return run
+    return _checked(run)
+
+
+def _reconciled(f):
+    def run(facts):
+        c = facts.withColumn("source_text", F.col("value"))
+        plan = S.plan_fields(facts.sparkSession)
+        groups = materialize(S.groups_of(M.rule_groups(c)), "groups")
+        return f(c, groups, materialize(M.assess_groups(groups, c, plan), "assessed"))
+
+    return _written(run)
+
+
+def _no_rejections(c: DataFrame) -> DataFrame:
+    """Explicit rejections of the sample: short values."""
+    return c.where("length(value) = 1").select("doc_id", "candidate_id", F.lit("invented_span").alias("code"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -76,173 +134,180 @@ def _lens(name: str):
     return lambda spark, d: X.propose(_t(spark, d, "documents"), [x for x in X.LENSES if x[0] == name])
 
 
-def _stage(spark, d):
-    facts = X.propose(_t(spark, d, "documents"))
-    return R.stage_completeness(facts, X.rejections(facts), X.survivors(facts).where("lens <> 'number'"))
+def _stage(c: DataFrame) -> DataFrame:
+    return R.stage_completeness(c.select("candidate_id", "doc_id"), X.rejections(c), X.survivors(c).where("lens <> 'number'"))
+
+
+def _rejected(c: DataFrame, reported: DataFrame) -> DataFrame:
+    """Rejections of three stages as rows (stage, candidate_id, codes)."""
+    ex = c.select(F.lit("executor").alias("stage"), "candidate_id", P.executor_reasons().alias("codes")).where("size(codes) > 0")
+    cr = reported.where("not accepted").select(F.lit("critic").alias("stage"), "candidate_id", F.array("reason").alias("codes"))
+    ve = P.verifier_reports(c, S.verifier_verdicts(c)).where("not accepted").select(F.lit("verifier").alias("stage"), "candidate_id", F.split("codes", ",").alias("codes"))
+    return ex.unionByName(cr).unionByName(ve)
+
+
+def _fates(c: DataFrame, reported: DataFrame) -> DataFrame:
+    merged = X.dedup(c).where("candidate_id <> primary_id").select("candidate_id", "primary_id")
+    first = merged.select("candidate_id")
+    members = reported.where("accepted").select("candidate_id").join(first, "candidate_id", "left_anti")
+    rejections = reported.where("not accepted").select("candidate_id", F.lit("critic").alias("stage")).join(first, "candidate_id", "left_anti")
+    return V.fates(c.select("candidate_id"), merged, rejections, members)
+
+
+def _triage(labels, facts, matched):
+    fate = F.element_at(F.array(*[F.lit(x) for x in R.TRIAGE]), (F.pmod(F.col("ordinal") + F.col("doc_id"), F.lit(7)) + 1).cast("int"))
+    return R.triage_missing(labels, matched, facts.withColumn("fate", fate))
+
+
+def _claims(f):
+    def run(spark, d):
+        chunks = S.chunked(_t(spark, d, "documents"))
+        chunks = materialize(chunks, "chunks")
+        return f(S.claims_of(S.scored(X.propose(chunks))), chunks)
+
+    return run
+
+
+def _resolved(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    out = C.resolve(claims, chunks)
+    return out.select("claim_id", "doc_id", "lens", "ordinal", "start_char", "resolution", "resolved_start", "source_text", F.array_join("codes", ",").alias("codes"))
+
+
+def _materialized(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    out = C.materialize_candidates(C.normalize(C.resolve(claims, chunks)).where("size(codes) = 0"))
+    return out.select("claim_id", "doc_id", "value", "source_text", "start_char", "end_char", "start_byte", "end_byte", "status", "value_canonical", "policy_id")
+
+
+def _value_matches(spark, d):
+    docs = _t(spark, d, "documents")
+    first = X.propose(docs).where("ordinal = 0").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    m = first.withColumn("m", C.value_matches()("text", "value"))
+    return m.select("candidate_id", F.size("m").cast("long").alias("n"), F.col("m")[0]["start"].alias("first_start"))
+
+
+def _supported(docs: DataFrame) -> DataFrame:
+    """Whether each line is supported by the line before it."""
+    ls = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - 1, F.lit(1))), lambda i: F.struct(i.cast("long").alias("line_no"), F.get(ls, i).alias("v"), F.get(ls, i - 1).alias("s")))
+    rows = docs.where(F.size(ls) > 1).select("doc_id", F.explode(each).alias("x")).where("x.v <> ''")
+    return rows.select("doc_id", "x.line_no", value_supported(F.col("x.v"), F.col("x.s")).alias("supported"))
+
+
+def _keys(spark, d):
+    first = lambda t, i, c: _t(spark, d, t).select(F.lit(t).alias("origin"), F.col(i).cast("long").alias("id"), F.substring(F.coalesce(c, F.lit("")), 1, 200).alias("value"))
+    rows = first("benchmark", "item_id", "text").unionByName(first("documents", "doc_id", "text")).unionByName(first("conversations", "conv_id", "text"))
+    return rows.select("origin", "id", canonical_key(F.col("value")).alias("key"))
+
+
+def _tampered(facts: DataFrame) -> DataFrame:
+    """Facts whose spans are off in every way, by residue."""
+    h = F.pmod(F.col("doc_id") + F.col("ordinal"), F.lit(5))
+    end = F.when(h == 1, F.col("end_char") + 10_000_000).otherwise(F.col("end_char"))
+    byte = F.when(h == 2, F.col("start_byte") + 1).otherwise(F.col("start_byte"))
+    value = F.when(h == 3, F.concat("value", F.lit("?"))).otherwise(F.col("value"))
+    return facts.withColumn("end_char", end).withColumn("start_byte", byte).withColumn("value", value)
+
+
+def _joined(spark, d):
+    return L.join_pages(_t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "text"))
+
+
+def _page_join(spark, d):
+    j = _joined(spark, d)
+    each = j.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.explode("page_map").alias("p"))
+    return each.select("doc_id", "text_sha256", "p.*")
+
+
+def _segments(spark, d):
+    each = _joined(spark, d).select("doc_id", F.explode("source_map").alias("s"))
+    return each.select("doc_id", "s.*")
+
+
+def _line_blocks(docs: DataFrame) -> DataFrame:
+    laid = L.line_layout(docs)
+    part = lambda c, i, role: laid.select("doc_id", F.explode(c).alias("s")).select("doc_id", F.col(f"s.{i}").alias("span_id"), role, "s.start_char", "s.end_char", "s.start_byte", "s.end_byte")
+    return part("layout", "span_id", F.col("s.role").alias("role")).unionByName(part("tables", "table_id", F.lit("table").alias("role")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    lenses = {f"lens_{k}": _lens(k) for k in ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition")}
+    lenses = {f"lens_{k}": _lens(k) for k in LENS_NAMES}
     return {
         "doc_identity": _docs(D.identities),
-        "format_detect": lambda s, d: D.detect_format(_t(s, d, "pages").select("page_id", "url"), "url").select("page_id", "suffix", "format"),
+        "format_detect": lambda s, d: D.detect_format(_t(s, d, "pages").select("page_id", "url"), "url").select("page_id", "suffix", "format", "error"),
         "page_and_source_map": _docs(D.page_map),
-        "chunk_token_window": _docs(lambda x: D.chunks(x).drop("chunk_text")),
-        "chunk_pages_overlap": _docs(D.overlapping_pages),
+        "chunk_token_window": _docs(lambda x: D.chunks(x, *S.CHUNK).drop("text")),
+        "chunk_ids": _docs(lambda x: D.chunks(x).select("doc_id", "chunk_index", "chunk_id")),
+        "chunk_pages_overlap": _docs(lambda x: D.overlapping_pages(D.paged(x))),
         "section_carry_forward": _docs(D.sections),
         "sentence_spans": _docs(D.sentences),
+        "layout_blocks": _docs(_line_blocks),
+        "chunk_boundaries": _docs(lambda x: L.boundaries(L.line_layout(x))),
+        "layout_errors": _docs(lambda x: L.layout_errors(L.line_layout(x)).select("doc_id", F.array_join("errors", ",").alias("errors"))),
+        "packed_chunks": _shipped(lambda s, d: L.packed_chunks(L.line_layout(_t(s, d, "documents")), 200)),
+        "page_join": _page_join,
+        "page_segments": _segments,
+        "boundary_contiguity": lambda s, d: V.contiguity(_segments(s, d).select("doc_id", "start_char", "end_char")),
         "html_blocks": _pages(html.blocks),
         "html_headings": _pages(html.headings),
+        "html_title_meta": _pages(html.title_meta),
         "html_tag_counts": lambda s, d: html.block_counts(_t(s, d, "pages")),
         **lenses,
         "span_roundtrip_check": _both(X.span_check),
-        "resolve_claim_offsets": _both(X.resolve),
-        "value_supported": _docs(X.supported),
-        "canonical_key": lambda s, d: _t(s, d, "benchmark").select("item_id", canonical_key(F.col("text")).alias("key")),
-        "dedup_survivors": _facts(X.survivors),
-        "dedup_clusters": _facts(X.clusters),
-        "dedup_rejections": _facts(X.rejections),
+        "span_invariants": _both(lambda f, x: R.violations(_tampered(f), x).select("candidate_id", "code")),
+        "resolve_claim_offsets": _claims(_resolved),
+        "materialized_candidates": _shipped(_claims(_materialized)),
+        "value_matches": _shipped(_value_matches),
+        "value_supported": _docs(_supported),
+        "canonical_key": _keys,
+        "dedup_survivors": _candidates(X.survivors),
+        "dedup_clusters": _candidates(X.clusters),
+        "dedup_rejections": _candidates(X.rejections),
         "field_conflicts": _facts(X.field_conflicts),
         "crossdoc_groups": _facts(X.crossdoc_groups),
         "crossdoc_conflicts": _facts(X.crossdoc_conflicts),
-        "crossdoc_skipped": lambda s, d: X.crossdoc_skipped(X.propose(_t(s, d, "documents")), _t(s, d, "labels")),
-        "source_specificity_pick": _facts(X.specificity_pick),
-        "review_batches": _facts(X.review_batches),
+        "crossdoc_skipped": lambda s, d: X.crossdoc_skipped(X.propose(_t(s, d, "documents")), S.runs_of(_t(s, d, "labels"), _t(s, d, "documents"))),
+        "source_specificity_pick": _facts(M.specificity_pick),
+        "review_batches": _candidates(X.review_batches),
         "source_context": _both(X.context),
-        "usage_by_stage": lambda s, d: R.usage_by_stage(_t(s, d, "events")),
-        "acceptance_checks": lambda s, d: R.acceptance(_t(s, d, "events")),
+        "approved_fields": _checked(lambda c: c.select("candidate_id", F.array_join(P.executor_reasons(), ",").alias("codes"), "valid")),
+        "critic_reports": _reviewed(lambda c, r: r.select("candidate_id", "accepted", "reason", "score", "corrected", "value", "start_char", "end_char")),
+        "corrections": _checked(lambda c: P.correct(c.join(P.first_verdicts(S.verdicts(c)), "candidate_id").where("decision = 'correct'")).select("candidate_id", "outcome", F.array_join("faults", ",").alias("faults"))),
+        "verifier_reports": _checked(lambda c: P.verifier_reports(c, S.verifier_verdicts(c)).drop("report_id")),
+        "rejection_summary": _reviewed(lambda c, r: V.rejection_summary(r.join(c.select("candidate_id", "lens"), "candidate_id"))),
+        "drop_summary": _reviewed(lambda c, r: R.drop_summary(_rejected(c, r))),
+        "rejected_candidates": _reviewed(lambda c, r: R.rejected_candidates(_rejected(c, r))),
+        "verdict_complaints": _checked(lambda c: V.complaints(c, S.verdicts(c))),
+        "mirrored_reports": _reviewed(V.mirrored),
+        "candidate_fates": _reviewed(_fates),
+        "fact_confidence": _reviewed(V.fact_confidence),
+        "reconcile_groups": _reconciled(lambda c, g, a: a),
+        "data_points": _reconciled(lambda c, g, a: M.data_points(a, c, c.select("candidate_id", F.lit(0.8).alias("score"))).drop("decision_id", "data_point_id")),
+        "reconcile_rejections": _reconciled(lambda c, g, a: M.unaccounted(a, _no_rejections(c), c)),
+        "conflict_complaints": _reconciled(lambda c, g, a: M.conflict_complaints(g, c)),
+        "usage_by_stage": lambda s, d: R.usage_by_stage(S.calls(_t(s, d, "events"))),
+        "acceptance_checks": lambda s, d: R.acceptance(R.usage_by_stage(S.calls(_t(s, d, "events")))),
         "confidence_buckets": _facts(R.confidence_buckets),
-        "match_labels": _runs(R.match_labels),
-        "score_by_field": _runs(R.scores),
-        "threshold_failures": _runs(lambda l, f: R.threshold_failures(R.scores(l, f), LEAST)),
-        "calibration_bins": _runs(R.calibration),
-        "run_diff": _diff(lambda x: x),
+        "match_labels": _matched(lambda l, f, m: m),
+        "score_overall": _matched(lambda l, f, m: R.metrics(_events(l, f, m), "fixture")),
+        "score_by_field": _matched(lambda l, f, m: R.metrics(_events(l, f, m))),
+        "threshold_failures": _matched(lambda l, f, m: R.threshold_failures(R.metrics(_events(l, f, m)), _thresholds(f))),
+        "calibration_bins": _matched(lambda l, f, m: R.calibration(m, f)),
+        "calibration_error": _matched(lambda l, f, m: R.expected_calibration_error(R.calibration(m, f))),
+        "triage_missing": _matched(_triage),
+        "span_shapes": _matched(lambda l, f, m: R.span_shapes(l, m, f)),
+        "run_diff": _diff(lambda x: x.drop("entry_id")),
         "diff_summary": _diff(R.diff_summary),
         "integrity_chain": lambda s, d: R.integrity_chain(_t(s, d, "events")),
-        "stage_completeness": _stage,
+        "stage_completeness": _checked(_stage),
         "mutation_sensitivity": lambda s, d: R.mutation_sensitivity(_t(s, d, "benchmark"), _t(s, d, "documents")),
-        "schema_fit": lambda s, d: R.schema_fit(s),
-        "review_reports": _reviewed(lambda facts, reported: reported),
-        "rejection_summary": _reviewed(lambda facts, reported: V.rejection_summary(reported)),
-        "verdict_complaints": _facts(lambda x: V.complaints(x, V.replay(x))),
-        "mirrored_reports": _reviewed(V.mirrored),
-        "candidate_fates": _reviewed(V.fates),
-        "fact_confidence": _reviewed(V.fact_confidence),
-        "run_status": lambda s, d: V.run_status(_t(s, d, "events")),
-        "boundary_events": _facts(V.boundary_events),
-        "boundary_contiguity": _docs(lambda x: V.contiguity(D.sentences(x))),
-        "calibration_error": _runs(lambda l, f: V.expected_calibration_error(R.calibration(l, f))),
-        "normalize_value": lambda s, d: _t(s, d, "benchmark").select("item_id", V.normalize_value(F.col("text")).alias("value")),
+        "mutation_failures": _written(lambda f: R.mutation_failures(*S.mutations(f))),
+        "mutation_suite": _written(lambda f: R.mutation_suite(R.mutation_scores(S.mutations(f)[0], R.mutation_failures(*S.mutations(f))))),
+        "schema_fit": lambda s, d: R.schema_fit(S.classified(_t(s, d, "documents")), S.schemas(s)),
+        "run_status": lambda s, d: V.run_status(S.run_events(_t(s, d, "events"))),
     }
 
 
-def _id(prefix: str, *parts: str) -> str:
-    return f"'{prefix}' || substr(sha256(concat_ws('|', {', '.join(f"coalesce(({p})::VARCHAR, '')" for p in parts)})), 1, 32)"
-
-
-FOLD = "lower(trim(regexp_replace(trim(regexp_replace(translate({v}, '‐‑‒–—−‘’‚“”„', '------''''\"\"\"\"'), '[ \\t\\n\\r]+', ' ', 'g')), '^[[:punct:]]+|[[:punct:]]+$', '', 'g')))"
-
-
-def _facts_sql(lenses=X.LENSES) -> str:
-    parts = []
-    for lens, category, field, pattern in lenses:
-        p = pattern.replace("'", "''")
-        parts.append(
-            f"SELECT doc_id, source, '{lens}' AS lens, '{category}' AS category, '{field}' AS field, i - 1 AS ordinal, ms[i] AS value, gs[i] AS gap"
-            f" FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{p}') AS ms, regexp_split_to_array(coalesce(text, ''), '{p}') AS gs FROM documents), unnest(generate_series(1, len(ms))) AS u(i)"
-        )
-    at = "(coalesce(sum({f}(value) + {f}(gap)) OVER (PARTITION BY doc_id, lens, field ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {f}(gap))::BIGINT"
-    c, b = at.format(f="length"), at.format(f="strlen")
-    return f"""raw_ AS ({' UNION ALL '.join(parts)}),
-    placed AS (SELECT *, {c} AS start_char, {b} AS start_byte FROM raw_),
-    facts AS (SELECT doc_id, source, lens, category, field, ordinal, value, start_char, start_char + length(value) AS end_char, start_byte, start_byte + strlen(value) AS end_byte,
-      round(((doc_id * 7 + ordinal * 3) % 100) / 100.0, 2)::DOUBLE AS confidence, {_id('cand-', 'doc_id', 'lens', 'category', 'field', 'value', 'start_char')} AS candidate_id FROM placed),
-    keyed AS (SELECT *, {FOLD.format(v='value')} AS key FROM facts),
-    dd AS (SELECT *, min(candidate_id) OVER (PARTITION BY doc_id, lens, category, field, key) AS primary_id FROM keyed),
-    pred AS (SELECT doc_id, category, field, arg_min(value, {{'c': -confidence, 'i': candidate_id}}) AS value, max(confidence) AS confidence, arg_min(start_char, {{'c': -confidence, 'i': candidate_id}}) AS start_char FROM facts GROUP BY ALL),
-    want AS (SELECT doc_id, category, field, CASE WHEN doc_id % 5 = 0 THEN arg_min(value, ordinal) || 'x' ELSE arg_min(value, ordinal) END AS value, min(start_char) AS start_char FROM facts GROUP BY doc_id, category, field),
-    groups_ AS (SELECT category, field, key, count(DISTINCT doc_id) AS n_docs, count(*) AS n_facts, min(candidate_id) AS first_id, {_id('xdg-', 'category', 'field', 'key')} AS group_id FROM keyed GROUP BY category, field, key HAVING count(DISTINCT doc_id) >= 2)"""
-
-
 def oracle_sql() -> dict[str, str]:
-    w = "WITH " + _facts_sql()
-    hits = """, hit AS (SELECT w.doc_id, w.category, w.field, w.value, w.start_char = p.start_char AS exact_place FROM want w JOIN pred p USING (doc_id, category, field, value))"""
-    score = w + hits + """, ev AS (SELECT category, field, 1 AS e, 0 AS a, 0 AS h, 0 AS x FROM want UNION ALL SELECT category, field, 0, 1, 0, 0 FROM pred UNION ALL SELECT category, field, 0, 0, 1, exact_place::INT FROM hit),
-    s AS (SELECT category, field, sum(e)::BIGINT AS expected, sum(a)::BIGINT AS actual, sum(h)::BIGINT AS hits, sum(x)::BIGINT AS exact FROM ev GROUP BY ROLLUP (category, field)),
-    sc AS (SELECT *, round(hits / actual, 6) AS precision, round(hits / expected, 6) AS recall, round(exact / expected, 6) AS provenance_recall, CASE WHEN hits = 0 THEN 0.0 ELSE round(2 * (hits / actual) * (hits / expected) / (hits / actual + hits / expected), 6) END AS f1 FROM s)"""
-    diff = w + """, p2 AS (SELECT doc_id, category, field, CASE WHEN doc_id % 7 = 1 THEN upper(value) ELSE value END AS value, CASE WHEN doc_id % 7 = 2 THEN start_char + 1 ELSE start_char END AS start_char, CASE WHEN doc_id % 7 = 3 THEN round(confidence / 2, 3) ELSE confidence END AS confidence FROM pred WHERE doc_id % 7 <> 0),
-    df AS (SELECT p.doc_id, p.category, p.field, CASE WHEN q.doc_id IS NULL THEN 'removed' WHEN p.value <> q.value THEN 'value_changed' WHEN p.start_char <> q.start_char THEN 'span_changed' WHEN p.confidence <> q.confidence THEN 'confidence_changed' ELSE 'unchanged' END AS kind FROM pred p LEFT JOIN p2 q USING (doc_id, category, field))"""
-    lens = {f"lens_{k}": "WITH " + _facts_sql([x for x in X.LENSES if x[0] == k]) + " SELECT doc_id, source, lens, category, field, ordinal, value, start_char, end_char, start_byte, end_byte, confidence, candidate_id FROM facts" for k in ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition")}
-    text = "coalesce(text, '')"
-    kinds = " UNION ALL ".join(f"SELECT {i}::INT AS ord, '{k}' AS kind" for i, k in enumerate(R.DIFF_KINDS))
-    made = {
-        "doc_identity": f"SELECT doc_id, 'doc-' || substr(sha256({text}), 1, 32) AS doc_key, sha256({text}) AS text_sha256, length({text}) AS chars, strlen({text}) AS bytes FROM documents",
-        "format_detect": "WITH s AS (SELECT page_id, regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS suffix FROM pages) SELECT page_id, suffix, CASE " + " ".join(f"WHEN suffix = '{k}' THEN '{v}'" for k, v in D.FORMATS.items()) + " ELSE 'unknown' END AS format FROM s",
-        "page_and_source_map": f"SELECT doc_id, 1::BIGINT AS page_number, 'source' AS kind, 0::BIGINT AS start_char, length({text}) AS end_char, 0::BIGINT AS start_byte, strlen({text}) AS end_byte FROM documents WHERE length({text}) > 0",
-        "chunk_token_window": f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS tok FROM documents),
-          c AS (SELECT doc_id, tok, k FROM t, unnest(generate_series(0, ceil(greatest(len(tok) - {D.WINDOW}, 0) / {D.WINDOW - D.OVERLAP}.0)::BIGINT)) AS u(k) WHERE len(tok) > 0),
-          e AS (SELECT doc_id, k AS chunk_index, k * {D.WINDOW - D.OVERLAP} AS token_start, least(k * {D.WINDOW - D.OVERLAP} + {D.WINDOW}, len(tok)) AS token_end, tok FROM c)
-          SELECT doc_id, chunk_index, token_start, token_end, {_id('chunk-', 'doc_id', 'chunk_index', 'token_start', 'token_end', "array_to_string(tok[token_start + 1:token_end], ' ')")} AS chunk_id FROM e""",
-        "chunk_pages_overlap": f"""WITH s AS (SELECT doc_id, length({text}) AS n, k FROM documents, unnest(generate_series(0, (length({text}) - 1) // 700)) AS u(k) WHERE length({text}) > 0)
-          SELECT doc_id, k AS span_index, array_to_string(generate_series(k * 700 // 1000 + 1, (least((k + 1) * 700, n) - 1) // 1000 + 1), ',') AS pages FROM s""",
-        "section_carry_forward": f"""WITH l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split({text}, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS u(i))
-          SELECT doc_id, line_no, last_value(CASE WHEN len(string_split(line, ' ')) <= 8 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM l WHERE line <> ''""",
-        "sentence_spans": f"""WITH l AS (SELECT doc_id, i - 1 AS sentence_index, ls[i] AS s FROM (SELECT doc_id, string_split(regexp_replace({text}, '([.!?])([ \\n])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS u(i))
-          SELECT doc_id, sentence_index, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY sentence_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char, length(s) AS chars FROM l WHERE s <> ''""",
-        "html_tag_counts": "SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '<h[1-6][ >]'))::BIGINT AS headings, len(regexp_extract_all(coalesce(html, ''), '<p[ >]'))::BIGINT AS paragraphs, len(regexp_extract_all(coalesce(html, ''), '<li[ >]'))::BIGINT AS items, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title FROM pages",
-        **lens,
-        "span_roundtrip_check": w + " SELECT candidate_id, f.doc_id, lens, ordinal, substr(text, start_char + 1, end_char - start_char) = value AS span_ok FROM facts f JOIN documents d USING (doc_id)",
-        "resolve_claim_offsets": w + """, j AS (SELECT f.*, text, start_char + f.doc_id % 3 AS claimed, (length(text) - length(replace(text, value, ''))) // length(value) AS n FROM facts f JOIN documents d USING (doc_id)),
-          r AS (SELECT *, CASE WHEN substr(text, claimed + 1, length(value)) = value THEN 'exact' WHEN n = 1 THEN 'repaired' WHEN length(value) <= 24 AND n > 1 THEN 'ambiguous' ELSE 'unsupported' END AS resolution FROM j)
-          SELECT candidate_id, doc_id, lens, ordinal, claimed, resolution, CASE resolution WHEN 'exact' THEN claimed WHEN 'repaired' THEN instr(text, value) - 1 END AS resolved_start FROM r""",
-        "canonical_key": f"SELECT item_id, {FOLD.format(v='text')} AS key FROM benchmark",
-        "dedup_survivors": w + " SELECT candidate_id, doc_id, lens, category, field, key FROM dd WHERE candidate_id = primary_id",
-        "dedup_rejections": w + f" SELECT {_id('rej-', 'candidate_id', 'primary_id', chr(39) + 'duplicate_candidate' + chr(39))} AS rejection_id, candidate_id, primary_id, 'merged_into:' || primary_id AS message FROM dd WHERE candidate_id <> primary_id",
-        "dedup_clusters": w + " SELECT doc_id, lens, category, field, key, count(*) AS members, count(DISTINCT (start_char, end_char)) AS spans, min(candidate_id) AS primary_id FROM keyed GROUP BY ALL HAVING count(*) >= 2",
-        "field_conflicts": w + " SELECT doc_id, category, field, count(DISTINCT key) AS n_keys, count(*) AS n_facts FROM keyed GROUP BY doc_id, category, field HAVING count(DISTINCT key) >= 2",
-        "crossdoc_groups": w + " SELECT * FROM groups_",
-        "crossdoc_conflicts": w + f" SELECT category, field, count(*) AS n_groups, sum(n_facts)::BIGINT AS n_facts, {_id('xdc-', 'category', 'field')} AS conflict_id FROM groups_ GROUP BY category, field HAVING count(*) > 1",
-        "crossdoc_skipped": w + ", l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) SELECT CASE WHEN quality IS NULL THEN 'missing_manifest' WHEN quality = 0 THEN 'run_not_completed' WHEN toxic = 1 THEN 'schema_missing' END AS reason, count(*) AS n, count(DISTINCT f.doc_id) AS n_docs FROM facts f LEFT JOIN l USING (doc_id) GROUP BY 1",
-        "source_specificity_pick": w + " SELECT category, field, key, arg_min(candidate_id, {'a': end_char - start_char, 'b': length(value), 'c': candidate_id}) AS picked_id FROM keyed GROUP BY category, field, key",
-        "review_batches": w + " SELECT candidate_id, doc_id, ((row_number() OVER (PARTITION BY doc_id ORDER BY lens, field, ordinal) - 1) // 20)::BIGINT AS batch FROM facts",
-        "source_context": w + " SELECT candidate_id, f.doc_id, lens, ordinal, substr(text, greatest(start_char - 30, 0) + 1, least(30, start_char)) AS prefix, substr(text, start_char + 1, end_char - start_char) AS highlight, substr(text, end_char + 1, 30) AS suffix FROM facts f JOIN documents d USING (doc_id)",
-        "usage_by_stage": "SELECT event_type AS stage, count(*) AS calls, round(sum(value), 2) AS tokens, count(DISTINCT user_id) AS runs FROM events GROUP BY 1",
-        "acceptance_checks": "SELECT event_type AS stage, count(*) <= 1000 AS calls_ok, sum(value) > 0 AS tokens_ok FROM events GROUP BY 1",
-        "confidence_buckets": w + " SELECT bucket::INT AS bucket, lo::DOUBLE AS lo, hi::DOUBLE AS hi, count(candidate_id) AS n, round(avg(confidence), 6) AS mean FROM (VALUES (0, 0.0, 0.5), (1, 0.5, 0.8), (2, 0.8, 0.95), (3, 0.95, 1.01)) AS b(bucket, lo, hi) LEFT JOIN facts ON confidence >= lo AND confidence < hi GROUP BY ALL",
-        "match_labels": w + hits + " SELECT * FROM hit",
-        "score_by_field": score + " SELECT category, field, expected, actual, hits, exact, precision, recall, provenance_recall, f1 FROM sc",
-        "threshold_failures": score + ", u AS (" + " UNION ALL ".join(f"SELECT category, field, '{k}' AS metric, {k}::DOUBLE AS value, {v}::DOUBLE AS least FROM sc" for k, v in sorted(LEAST.items())) + ") SELECT * FROM u WHERE value < least",
-        "calibration_bins": w + """, g AS (SELECT least(floor(p.confidence * 5), 4)::INT AS bin, count(*) AS n, avg(p.confidence) AS c, avg(coalesce((p.value = w.value)::INT::DOUBLE, 0.0)) AS a FROM pred p LEFT JOIN want w USING (doc_id, category, field) GROUP BY 1)
-          SELECT b::INT AS bin, coalesce(n, 0)::BIGINT AS n, round(c, 6) AS mean_confidence, round(a, 6) AS accuracy, round(abs(c - a), 6) AS gap FROM generate_series(0, 4) AS s(b) LEFT JOIN g ON g.bin = b""",
-        "run_diff": diff + " SELECT * FROM df",
-        "diff_summary": diff + f" SELECT ord, k.kind, count(df.kind) AS n FROM ({kinds}) k LEFT JOIN df ON df.kind = k.kind GROUP BY ord, k.kind",
-        "integrity_chain": "WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, sha256(event_id || '|' || event_type) AS h FROM events), c AS (SELECT user_id, i, sha256(repeat('0', 64) || h) AS x FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, sha256(c.x || e.h) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1) SELECT user_id, max(i) AS n_events, arg_max(x, i) AS chain_hash FROM c GROUP BY user_id",
-        "stage_completeness": w + ", k AS (SELECT candidate_id FROM dd WHERE candidate_id <> primary_id OR lens <> 'number') SELECT doc_id, count(*) AS expected, count(k.candidate_id) AS accounted, CASE WHEN count(k.candidate_id) = 0 THEN 'pending' WHEN count(k.candidate_id) = count(*) THEN 'complete' ELSE 'partial' END AS state FROM facts f LEFT JOIN k USING (candidate_id) GROUP BY doc_id",
-        "mutation_sensitivity": f"WITH b AS (SELECT item_id, regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') AS w FROM benchmark), h AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all({text}, '[^ \\n]+ [^ \\n]+ [^ \\n]+'))) AS w FROM documents) GROUP BY w) SELECT item_id, coalesce(n, 0) AS kept_in FROM b LEFT JOIN h USING (w) WHERE w <> ''",
-        "schema_fit": "SELECT * FROM (VALUES ('d1', 'reuse', 's1'), ('d2', 'ambiguous', NULL), ('d3', 'refuse', NULL)) AS t(doc, decision, schema)",
-    }
-    h = "((doc_id * 3 + ordinal) % 11)"
-    reviewed = w + f""", said AS (
-        SELECT candidate_id, 0 AS pos, CASE {h} WHEN 0 THEN 'r' WHEN 1 THEN 'c' ELSE 'a' END AS code, CASE WHEN {h} = 0 THEN CASE ordinal % 2 WHEN 0 THEN 'span_mismatch' ELSE 'wrong_category' END END AS reason FROM facts WHERE {h} <> 7
-        UNION ALL SELECT candidate_id, 1, 'r', 'wrong_category' FROM facts WHERE ordinal % 5 = 0
-        UNION ALL SELECT 'unknown-' || candidate_id, 0, 'a', NULL FROM facts WHERE {h} = 3),
-      verdict AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY pos) = 1),
-      checked AS (SELECT candidate_id, substr(text, start_char + 1, end_char - start_char) = value AS span_ok FROM facts f JOIN documents d USING (doc_id)),
-      judged AS (SELECT f.candidate_id, doc_id, lens, CASE WHEN code IS NULL THEN 'missing_verdict' WHEN NOT span_ok THEN 'span_mismatch' WHEN code = 'r' AND NOT (v.reason = 'span_mismatch' AND span_ok) THEN v.reason END AS reason
-        FROM facts f JOIN checked USING (candidate_id) LEFT JOIN verdict v ON v.candidate_id = f.candidate_id),
-      report AS (SELECT candidate_id, doc_id, lens, reason IS NULL AS accepted, reason, CASE WHEN reason IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM judged)"""
-    titles, words = "|".join(V.TITLES), "|".join(V.ROLE_WORDS)
-    made |= {
-        "review_reports": reviewed + " SELECT * FROM report",
-        "rejection_summary": reviewed + " SELECT lens, reason, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM report WHERE NOT accepted GROUP BY ROLLUP (lens, reason)",
-        "verdict_complaints": reviewed + " SELECT DISTINCT candidate_id, 'unknown_id' AS complaint FROM said WHERE candidate_id NOT IN (SELECT candidate_id FROM facts) UNION ALL SELECT candidate_id, 'missing_id' FROM facts WHERE candidate_id NOT IN (SELECT candidate_id FROM said)",
-        "mirrored_reports": reviewed + " SELECT dd.candidate_id, primary_id, accepted, r.reason FROM dd JOIN report r ON r.candidate_id = primary_id WHERE dd.candidate_id <> primary_id",
-        "candidate_fates": reviewed + " SELECT dd.candidate_id, CASE WHEN dd.candidate_id <> primary_id THEN 'merged' WHEN accepted THEN 'kept' ELSE 'rejected' END AS fate, CASE WHEN accepted THEN 'kept' ELSE 'rejected' END AS final_fate FROM dd JOIN report r ON r.candidate_id = primary_id",
-        "fact_confidence": reviewed + " SELECT primary_id AS candidate_id, count(*) AS members, least(min(confidence), any_value(score)) AS confidence FROM dd JOIN report r ON r.candidate_id = primary_id GROUP BY primary_id",
-        "run_status": "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS status, arg_max(event_id, {'t': ts, 'e': event_id}) AS last_event FROM events GROUP BY user_id",
-        "boundary_events": w + ", b AS (SELECT doc_id, start_char AS at_, 1 AS priority, candidate_id FROM facts UNION ALL SELECT doc_id, end_char, 0, candidate_id FROM facts) SELECT doc_id, at_ AS at, priority, candidate_id, row_number() OVER (PARTITION BY doc_id ORDER BY at_, priority, candidate_id) AS rank FROM b",
-        "boundary_contiguity": f"WITH s AS ({made['sentence_spans']}), m AS (SELECT doc_id, chars, start_char = coalesce(lag(start_char + chars) OVER (PARTITION BY doc_id ORDER BY start_char), 0) AS fits FROM s) SELECT doc_id, bool_and(fits) AS contiguous, sum(chars)::BIGINT AS covered FROM m GROUP BY doc_id",
-        "calibration_error": f"SELECT sum(n)::BIGINT AS n, round(sum(n * coalesce(gap, 0.0)) / sum(n), 6) AS ece FROM ({made['calibration_bins']})",
-        "normalize_value": f"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '^with +', ''), ' +(?:{words})$', ''), '^(?:{titles}) +([^ ]+ +[^ ].*)$', '\\1') AS value FROM benchmark",
-    }
-    return made
+    from .oracles import oracle_sql as made
+
+    return made()

@@ -3,6 +3,7 @@
 from conftest import SF
 
 from spanloom import registry
+from spanloom.operators import claims as C
 from spanloom.operators import facts as X
 from spanloom.operators import review as R
 
@@ -60,9 +61,16 @@ def test_candidates_merge_at_one_place_or_canonicalized(spark):
     assert sorted(r["candidate_id"] for r in X.rejections(facts).collect()) == ["b", "e"]
 
 
-def test_no_fact_of_the_tables_is_a_duplicate(spark):
-    facts = X.propose(spark.read.parquet(f"{SF}/documents.parquet"))
-    assert registry.queries()["dedup_survivors"](spark, SF).count() == facts.select("candidate_id").distinct().count()
+def test_overlapping_chunks_find_facts_twice(spark):
+    """Each fact of a document survives once, though chunks that overlap propose it twice."""
+    from spanloom import samples
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lens = [x for x in X.LENSES if x[0] == "number"]
+    whole = {(r["doc_id"], r["value"], r["start_char"]) for r in X.propose(docs, lens).collect()}
+    c = X.propose(samples.chunked(docs), lens)
+    kept = X.dedup(c).where("candidate_id = primary_id").collect()
+    assert {(r["doc_id"], r["value"], r["start_char"]) for r in kept} == whole and len(kept) == len(whole)
 
 
 def _values(spark, lens, text):
@@ -84,18 +92,13 @@ def test_citation_lens_takes_references(spark):
     assert _values(spark, "citation", "this section is a table of parts, Table Also, Section Beta, Parts 4th") == []
 
 
-def test_claims_resolve_by_all_four_steps(spark):
+def test_values_are_found_by_all_four_steps():
     text = "é The  Quick\tBrown fox\n ran. aXa Xa\u2003end abab ababa Net  Sales net sales"
     at = text.index
     cases = {
-        " fox ": ("repaired", at("fox"), at("fox") + 3), "quick\tbrown": ("repaired", at("Quick"), at("Quick") + 11),
-        "The Quick Brown": ("repaired", at("The"), at("Brown") + 5), "Xa end": ("repaired", at("Xa\u2003"), at("end") + 3),
-        "ababa": ("repaired", at("ababa"), at("ababa") + 5), "aba": ("ambiguous", None, None), "axa": ("repaired", at("aXa"), at("aXa") + 3),
-        "NET SALES": ("repaired", at("net sales"), at("net sales") + 9), "missing": ("unsupported", None, None), "": ("exact", 4, 4), "   ": ("unsupported", None, None),
-        "the quick brown": ("unsupported", None, None),
+        " fox ": [(at("fox"), at("fox") + 3)], "quick\tbrown": [(at("Quick"), at("Quick") + 11)], "The Quick Brown": [(at("The"), at("Brown") + 5)],
+        "Xa end": [(at("Xa\u2003"), at("end") + 3)], "ababa": [(at("ababa"), at("ababa") + 5)], "axa": [(at("aXa"), at("aXa") + 3)],
+        "NET SALES": [(at("net sales"), at("net sales") + 9)], "missing": [], "": [], "   ": [], "the quick brown": [],
     }
-    docs = spark.createDataFrame([(1, text), (2, "ababa"), (4, None)], "doc_id long, text string")
-    rows = [(str(i), 1, "entity", i, v, 3) for i, v in enumerate(cases)] + [("o", 2, "entity", 0, "aba", 3), ("z", 4, "entity", 0, "v", 3)]
-    claims = spark.createDataFrame(rows, "candidate_id string, doc_id long, lens string, ordinal long, value string, start_char long")
-    got = {r["candidate_id"]: (r["resolution"], r["resolved_start"], r["resolved_end"]) for r in X.resolve_spans(claims, docs).collect()}
-    assert got == {**{str(i): want for i, want in enumerate(cases.values())}, "o": ("ambiguous", None, None), "z": ("unsupported", None, None)}
+    assert {v: C.find_matches(text, v) for v in cases} == cases
+    assert [a for a, _ in C.find_matches("ababa", "aba")] == [0, 2] and C.find_matches(None, "a") == []
