@@ -24,12 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from spanloom.functions.arrays import let, running_sums
 
 #: The template's marks: before and behind a block's role, before a part, behind a block.
 HEAD, OPEN, PART, END = "### ", ":", "<part>", "</turn>\n"
-#: Pieces whose offsets are summed in one stretch.
-STRETCH = 256
 
 
 def escape(text: Column) -> Column:
@@ -47,26 +45,6 @@ def unescape(text: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
-def _offsets(lengths: Column) -> Column:
-    """Running sums before each element. Appending in a fold copies the array each time, so sums
-    are taken within stretches of a fixed length, then over the stretches."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("sum"), F.array().cast("array<long>").alias("at"))
-
-    def fold(xs: Column) -> Column:
-        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["at"], F.array(acc["sum"])).alias("at")))
-
-    def over(stretches: Column) -> Column:
-        bases = fold(F.transform(stretches, lambda s: s["sum"]))["at"]
-        return let(bases, lambda bs: F.flatten(F.transform(stretches, lambda s, i: F.transform(s["at"], lambda x: x + F.get(bs, i)))))
-
-    def cut(xs: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int"))
-        return F.transform(numbers, lambda k: fold(F.slice(xs, k * STRETCH + 1, F.lit(STRETCH))))
-
-    return let(lengths, lambda xs: let(cut(xs), over))
-
-
 def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, formatted string, and loss_spans: [start, end) code points of trained texts."""
     rows = turns.select(
@@ -98,7 +76,7 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     )
     laid = sorted_turns.select("conv_id", pieces.alias("ps"))
     size = lambda p: (F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("long")
-    laid = laid.withColumn("at", _offsets(F.transform("ps", size)))
+    laid = laid.withColumn("at", running_sums(F.transform("ps", size)))
 
     def span(p: Column, i: Column) -> Column:
         start = F.get(F.col("at"), i) + F.length(p["before"])
