@@ -117,35 +117,55 @@ def hashed(classes: DataFrame, p: PStable, size: tuple[int, int]) -> DataFrame:
     return classes.mapInPandas(run, "cls long, label long, copies long, unit binary, keys array<long>")
 
 
-def _block(rows: pd.DataFrame, p: PStable) -> pd.DataFrame:
-    rows = rows.sort_values("cls", ignore_index=True)
-    table, across = int(rows["t"].iloc[0]), rows["bi"].iloc[0] != rows["bj"].iloc[0]
-    lengths = {len(u) for u in rows["unit"]}
+def _block(unit, earlier, chunk, copies, cls, table: int, across: bool, p: PStable) -> list[tuple]:
+    """(cls, n, low) arrays of the linked rows of a block, given as arrays. Most blocks are tiny, so
+    nothing here makes a frame."""
+    lengths = {len(u) for u in unit}
     if len(lengths) > 1:  # a bucket holds vectors of one length but for a hash collision
-        return pd.concat([_block(g, p) for _, g in rows.groupby(rows["unit"].str.len())])
-    x = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(len(rows), -1)
-    chunk, copies, cls = rows["c"].to_numpy(), rows["copies"].to_numpy(), rows["cls"].to_numpy()
+        out = []
+        for n in lengths:
+            at = np.array([k for k, u in enumerate(unit) if len(u) == n])
+            out += _block(unit[at], earlier[at], chunk[at], copies[at], cls[at], table, across, p)
+        return out
+    x = np.frombuffer(b"".join(unit), dtype=np.float64).reshape(len(unit), -1)
     pairs = []
-    for s in range(0, len(rows), 256):
+    for s in range(0, len(x), 256):
         i, j = np.nonzero(x[s : s + 256] @ x.T >= p.cosine)
         i = i + s
         ok = i < j
         if across:
             ok &= chunk[i] != chunk[j]
-        pairs.append((i[ok], j[ok]))
+        if ok.any():
+            pairs.append((i[ok], j[ok]))
+    if not pairs:
+        return []
     i, j = (np.concatenate(v) for v in zip(*pairs))
-    if len(i) and table:  # a pair that an earlier table holds was counted there
-        keys = np.array(rows["earlier"].tolist(), dtype=np.int64)
+    if table:  # a pair that an earlier table holds was counted there
+        keys = np.stack([earlier[k] for k in range(len(x))])
         first = np.ones(len(i), dtype=bool)
         for k in range(0, len(i), 65536):
             first[k : k + 65536] = ~(keys[i[k : k + 65536]] == keys[j[k : k + 65536]]).any(axis=1)
         i, j = i[first], j[first]
-    count = np.zeros(len(rows), dtype=np.int64)
+        if not len(i):
+            return []
+    count = np.zeros(len(x), dtype=np.int64)
     np.add.at(count, i, copies[j])
     np.add.at(count, j, copies[i])
-    low = smallest_reachable(len(rows), i, j)
+    low = smallest_reachable(len(x), i, j)
     hit = count > 0
-    return pd.DataFrame({"cls": cls[hit], "n": count[hit], "low": cls[low[hit]]})
+    return [(cls[hit], count[hit], cls[low[hit]])]
+
+
+def _blocks(pdf: pd.DataFrame, cuts: np.ndarray, p: PStable) -> pd.DataFrame | None:
+    """Links of the blocks between the cuts of a sorted frame."""
+    unit, earlier = pdf["unit"].to_numpy(), pdf["earlier"].to_numpy()
+    chunk, copies, cls, table = (pdf[c].to_numpy() for c in ("c", "copies", "cls", "t"))
+    across = pdf["bi"].to_numpy() != pdf["bj"].to_numpy()
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a > 1:
+            out += _block(unit[a:b], earlier[a:b], chunk[a:b], copies[a:b], cls[a:b], int(table[a]), bool(across[a]), p)
+    return pd.DataFrame(dict(zip(("cls", "n", "low"), map(np.concatenate, zip(*out))))) if out else None
 
 
 def embedding_duplicates(vectors: DataFrame, p: PStable = PStable()) -> DataFrame:
@@ -169,14 +189,18 @@ def embedding_duplicates(vectors: DataFrame, p: PStable = PStable()) -> DataFram
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            marks = pdf[block].ne(pdf[block].shift()).any(axis=1).cumsum()
-            tail = marks == marks.iloc[-1] if len(marks) else marks.astype(bool)
-            parts = [_block(g, p) for _, g in pdf[~tail].groupby(marks[~tail], sort=False)]
-            held = pdf[tail]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            if not len(pdf):
+                continue
+            ids = pdf[block].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1])
+            found = _blocks(pdf, cuts, p)  # the last block may go on in the next batch
+            held = pdf.iloc[cuts[-1] :]
+            if found is not None:
+                yield found
         if held is not None and len(held):
-            yield _block(held, p)
+            found = _blocks(held, np.array([0, len(held)]), p)
+            if found is not None:
+                yield found
 
     parts = materialize(full.mapInPandas(run, "cls long, n long, low long"), "emb-links")
     forget(base)
