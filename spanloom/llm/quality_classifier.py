@@ -34,7 +34,7 @@ LABELLERS = ("length", "symbols", "exclamations", "capitals", "pipes", "stop_wor
 @dataclass(frozen=True)
 class Fit:
     sample_rows: int = 20_000
-    sample_slots: int = 6_000_000
+    sample_slots: int = 10_000_000
     bits: int = 15
     passes: int = 8
     rate: float = 0.5
@@ -110,36 +110,52 @@ def votes(s: list[float]) -> list[int]:
     ]
 
 
+MARKS = frozenset(",.;:!?")
+
+
+def _shape(word: str) -> str:
+    """Letters as x or X, digits as 9, runs of one character squeezed."""
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", word)))
+
+
 class _Slots(dict):
-    """Feature slots of a word and of its shape (letter cases, digits, marks, runs squeezed)."""
+    """Feature slots of a word and of its shape (letter cases, digits, marks, runs squeezed), both in
+    one number, so that a text's words become an array at C speed."""
 
     def __init__(self, bits: int):
         super().__init__()
-        self.mask = (1 << bits) - 1
+        self.bits, self.mask = bits, (1 << bits) - 1
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", re.sub(r"\d", "9", word)))
-        self[word] = out = (zlib.crc32(b"w" + word.lower().encode()) & self.mask, zlib.crc32(b"s" + shape.encode()) & self.mask)
+        # Most words are small letters, perhaps with a capital first or a mark behind.
+        core, mark = (word[:-1], word[-1]) if word[-1] in MARKS else (word, "")
+        shape = mark
+        if core.isalpha():
+            shape = ("x" if core.islower() else "X" if core.isupper() else "Xx" if core[0].isupper() and core[1:].islower() else _shape(core)) + mark
+        elif core:
+            shape = _shape(word)
+        own, like = zlib.crc32(b"w" + word.lower().encode()) & self.mask, zlib.crc32(b"s" + shape.encode()) & self.mask
+        self[word] = out = own << self.bits | like
         return out
 
 
 def slots(words: list[str], s: list[float], cache: _Slots) -> np.ndarray:
-    found = {k for pair in map(cache.__getitem__, set(words)) for k in pair}
-    for i, x in enumerate(s):
-        level = int(np.log2(x + 1)) if i == 0 else int(min(x, 1.5) * 12)
-        found.add(zlib.crc32(b"l%d:%d" % (i, level)) & cache.mask)
-    return np.fromiter(found, dtype=np.int64, count=len(found))
+    """The text's slots, each once, in order."""
+    kinds = set(words)
+    both = np.fromiter(map(cache.__getitem__, kinds), dtype=np.int64, count=len(kinds))
+    levels = [zlib.crc32(b"l%d:%d" % (i, int(np.log2(x + 1)) if i == 0 else int(min(x, 1.5) * 12))) & cache.mask for i, x in enumerate(s)]
+    return np.unique(np.concatenate([both >> cache.bits, both & cache.mask, levels]))
 
 
 def pattern_counts(docs: DataFrame) -> dict[int, tuple[int, int]]:
-    """Rows, and distinct words of all of them, per vote pattern."""
+    """Rows, and words of all of them, per vote pattern."""
 
     def run(batches):
         for pdf in batches:
             rows = [signals(t) for t in pdf.text]
-            each = pd.DataFrame({"p": [code(votes(s)) for _, s in rows], "n": 1, "w": [len(set(w)) for w, _ in rows]})
+            each = pd.DataFrame({"p": [code(votes(s)) for _, s in rows], "n": 1, "w": [len(w) for w, _ in rows]})
             yield each.groupby("p", as_index=False).sum()
 
     counted = id_text(docs).select("text").mapInPandas(run, "p long, n long, w long")
@@ -167,7 +183,7 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
     target_of = dict(zip(codes.tolist(), post.tolist()))
     total, words = (sum(v) for v in zip(*counts.values()))
     weights = np.zeros((1 << fit.bits) + 1)
-    # A word brings two slots, a text eight more.
+    # A word brings two slots at most, a text eight more.
     part = min(1.0, fit.sample_rows / total, fit.sample_slots / (2 * words + 8 * total))
     picked = id_text(docs).where(F.pmod(F.xxhash64("doc_id", "text", F.lit(fit.seed)), F.lit(1_000_000)) < int(part * 1_000_000))
 
@@ -175,7 +191,7 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
         cache = _Slots(fit.bits)
         for pdf in batches:
             rows = [signals(t) for t in pdf.text]
-            xs = [np.sort(slots(w, s, cache)) for w, s in rows]
+            xs = [slots(w, s, cache) for w, s in rows]
             yield pd.DataFrame({"p": [code(votes(s)) for _, s in rows], "h": [zlib.crc32(x.tobytes()) for x in xs], "x": xs})
 
     sample = picked.select("doc_id", "text").mapInPandas(run, "p long, h long, x array<int>").toPandas()
