@@ -206,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
         "layout_blocks": f"WITH {block} SELECT * FROM b",
         "layout_errors": f"SELECT doc_id, '' AS errors FROM documents WHERE length({TEXT}) > 0",
         "chunk_boundaries": f"""WITH {block}, d AS (SELECT doc_id, length({TEXT}) AS n, strlen({TEXT}) AS m FROM documents WHERE length({TEXT}) > 0),
-          e AS (SELECT doc_id, 0 AS char_offset, 0 AS byte_offset, 0 AS priority, 'document:start' AS boundary_id, 'document_start' AS kind, NULL AS page_number FROM d UNION ALL SELECT doc_id, n, m, 0, 'document:end', 'document_end', NULL FROM d
+          e AS (SELECT doc_id, 0 AS char_offset, 0 AS byte_offset, 0 AS priority, 'document:start' AS boundary_id, 'document_start' AS kind, NULL::BIGINT AS page_number FROM d UNION ALL SELECT doc_id, n, m, 0, 'document:end', 'document_end', NULL FROM d
             UNION ALL SELECT doc_id, 0, 0, 10, 'page:1:start', 'page_start', 1 FROM d UNION ALL SELECT doc_id, n, m, 10, 'page:1:end', 'page_end', 1 FROM d
             UNION ALL SELECT doc_id, start_char, start_byte, CASE role WHEN 'table' THEN 30 ELSE 20 END, CASE role WHEN 'table' THEN 'table:' ELSE 'layout:' END || span_id || ':start', CASE role WHEN 'table' THEN 'table_start' ELSE 'layout_start' END, 1 FROM b
             UNION ALL SELECT doc_id, end_char, end_byte, CASE role WHEN 'table' THEN 30 ELSE 20 END, CASE role WHEN 'table' THEN 'table:' ELSE 'layout:' END || span_id || ':end', CASE role WHEN 'table' THEN 'table_end' ELSE 'layout_end' END, 1 FROM b)
