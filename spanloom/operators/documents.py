@@ -65,16 +65,30 @@ def chunks(docs: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, keep:
     """
     if not 0 <= overlap < window:
         raise ValueError("overlap must be less than the window")
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", *keep, F.sha2(text, 256).alias("_hash"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tok")).where(F.size("tok") > 0)
-    base = base.withColumn("cs", running_sums(F.transform("tok", F.length))).withColumn("bs", running_sums(F.transform("tok", F.octet_length)))
-    step = window - overlap
-    last = F.ceil(F.greatest(F.size("tok") - window, F.lit(0)) / F.lit(step)).cast("int")
-    each = base.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
-    start, end = F.col("k") * step, F.least(F.col("k") * step + window, F.size("tok"))
-    body = F.array_join(F.slice("tok", start + 1, end - start), "")
-    out = each.select("doc_id", *keep, "_hash", F.col("k").cast("long").alias("chunk_index"), start.cast("long").alias("token_start"), end.cast("long").alias("token_end"),
-                      F.get("cs", start).alias("start_char"), F.get("bs", start).alias("start_byte"), body.alias("text"))
+    text, step = F.coalesce("text", F.lit("")), window - overlap
+
+    def cut(tok: Column) -> Column:
+        # Windows start where strides of tokens do, so offsets are sums over strides, not tokens.
+        numbers = F.sequence(F.lit(0), F.ceil(F.greatest(F.size(tok) - window, F.lit(0)) / F.lit(step)).cast("int"))
+        strides = F.transform(numbers, lambda k: F.array_join(F.slice(tok, k * step + 1, F.lit(step)), ""))
+
+        def placed(ss: Column) -> Column:
+            chars, octets = running_sums(F.transform(ss, F.length)), running_sums(F.transform(ss, F.octet_length))
+
+            def one(k: Column, cs: Column, bs: Column) -> Column:
+                start, end = k * step, F.least(k * step + window, F.size(tok))
+                body = F.array_join(F.slice(tok, start + 1, end - start), "")
+                return F.struct(
+                    k.cast("long").alias("chunk_index"), start.cast("long").alias("token_start"), end.cast("long").alias("token_end"),
+                    F.get(cs, k).alias("start_char"), F.get(bs, k).alias("start_byte"), body.alias("text"),
+                )
+
+            return let(chars, lambda cs: let(octets, lambda bs: F.transform(numbers, lambda k: one(k, cs, bs))))
+
+        return F.when(F.size(tok) > 0, let(strides, placed))
+
+    each = F.explode(let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), cut)).alias("c")
+    out = docs.select("doc_id", *keep, F.sha2(text, 256).alias("_hash"), each).select("doc_id", *keep, "_hash", "c.*")
     out = out.withColumn("end_char", F.col("start_char") + F.length("text")).withColumn("end_byte", F.col("start_byte") + F.octet_length("text"))
     parts = ("doc_id", "_hash", "chunk_index", "start_byte", "end_byte", "token_start", "token_end")
     return out.withColumn("chunk_id", stable_id("chunk-", *[F.col(c) for c in parts])).drop("_hash")
