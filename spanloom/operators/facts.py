@@ -36,10 +36,10 @@ CLAIM = "(?:concluded|expects?|found|indicated?|may|must|reported|requires?|shal
 LENSES = (
     ("number", "Quantity", "number", "[0-9]+(?:[.,][0-9]+)*", "[0-9]"),
     ("citation", "Reference", "license_version", "[Vv]ersion [0-9]+(?:[.][0-9]+)*"),
-    ("citation", "Reference", "reference", REFERENCE, "[0-9§]|[a-z] [A-Z]|(?:Sec|Fig)[.] [A-Z]"),
+    ("citation", "Reference", "reference", REFERENCE, "[0-9§ ](?:(?<=[0-9§])|(?<=(?:[a-z]|Sec[.]|Fig[.]) )[A-Z])"),
     ("entity", "Identifier", "email", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+[a-z]", "@"),
     ("entity", "Entity", "name", "[A-Z][a-z]{9,}"),
-    ("temporal", "Time", "clock", TIME, "[0-9]|quarter"),
+    ("temporal", "Time", "clock", TIME, "[0-9q](?:(?<=[0-9])|uarter)"),
     ("quantity_with_unit", "Quantity", "with_unit", "[0-9]+ [a-z]{3,}"),
     ("definition", "Definition", "quoted", "\"[^\"]+\""),
     ("event", "Event", "summary", f"\\b[A-Z][^.!?\n]*\\b{EVENT}\\b[^.!?\n]*[.!?]", f"\\b{EVENT}\\b"),
