@@ -19,7 +19,7 @@ from .operators import review as R
 from .operators import verdicts as V
 from .session import ship
 from .sources import html
-from .tables import materialize
+from .tables import materialize, spread
 
 LENS_NAMES = ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition", "event", "claim")
 LEAST = 0.9
@@ -33,30 +33,35 @@ def _docs(f):
     return lambda spark, d: f(_t(spark, d, "documents"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for the lenses, which are heavy per byte: over all cores."""
+    return spread(_t(spark, d, "documents"), "doc_id")
+
+
 def _facts(f):
     """Facts of whole documents, read once."""
-    return lambda spark, d: f(S.scored(X.propose(_t(spark, d, "documents"))))
+    return lambda spark, d: f(S.scored(X.propose(_texts(spark, d))))
 
 
 def _both(f):
-    return lambda spark, d: f(S.scored(X.propose(_t(spark, d, "documents"))), _t(spark, d, "documents"))
+    return lambda spark, d: f(S.scored(X.propose(_texts(spark, d))), _t(spark, d, "documents"))
 
 
 def _candidates(f):
     """Candidates of chunks, read once; overlapping chunks find some facts twice."""
-    return lambda spark, d: f(S.scored(X.propose(S.chunked(_t(spark, d, "documents")))))
+    return lambda spark, d: f(S.scored(X.propose(S.chunked(_texts(spark, d)))))
 
 
 def _written(f):
     """Facts written once, for queries that read them more than once."""
-    return lambda spark, d: f(materialize(S.scored(X.propose(_t(spark, d, "documents"))), "facts"))
+    return lambda spark, d: f(materialize(S.scored(X.propose(_texts(spark, d))), "facts"))
 
 
 def _checked(f):
     """Chunk candidates with their checks, written once."""
 
     def run(spark, d):
-        chunks = S.chunked(_t(spark, d, "documents"))
+        chunks = S.chunked(_texts(spark, d))
         c = S.scored(X.propose(chunks)).withColumn("source_text", F.col("value"))
         return f(materialize(P.checked(c, chunks, S.plan_fields(spark)), "candidates"))
 
@@ -127,11 +132,11 @@ def _no_rejections(c: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to facts to cross-document groups, in report order."""
-    return X.crossdoc_groups(X.propose(_t(spark, d, "documents"))).orderBy("category", "field", "key")
+    return X.crossdoc_groups(X.propose(_texts(spark, d))).orderBy("category", "field", "key")
 
 
 def _lens(name: str):
-    return lambda spark, d: X.propose(_t(spark, d, "documents"), [x for x in X.LENSES if x[0] == name])
+    return lambda spark, d: X.propose(_texts(spark, d), [x for x in X.LENSES if x[0] == name])
 
 
 def _stage(c: DataFrame) -> DataFrame:

@@ -93,3 +93,13 @@ def numbered(df: DataFrame, name: str, by: str) -> DataFrame:
     otherwise, but every reader sees the committed ones.
     """
     return materialize(df.withColumn(by, F.monotonically_increasing_id()), name)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores, for work that costs far more per byte than a shuffle does.
+
+    A table of fewer splits than the cluster has cores leaves some idle; its rows are dealt by a hash
+    of ``key``. Larger tables, whose splits are many, are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, key)
