@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.arrays import let
-from spanloom.tables import forget, materialize, numbered, row_marks, same, shared_dir, table_path
+from spanloom.tables import forget, materialize, numbered, row_marks, same, shared_dir, spread, table_path
 
 __all__ = ["bounded_broadcast", "documents", "forget", "id_text", "let", "lower_ascii", "materialize", "numbered", "row_marks", "same", "shared_dir", "table_path"]
 
@@ -20,7 +20,8 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, its rows over all cores where its splits are fewer."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
