@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.session import ship
 
-from . import chat_format, embedding_dedup, license_scan, packing, pii, quality_classifier, quality_rules, set_sketch, source_mixing, toxicity
+from . import chat_format, embedding_dedup, fill_middle, lexical_search, license_scan, packing, pii, quality_classifier, quality_rules, set_sketch, sharding, source_mixing, toxicity
 from .common import documents
 
 
@@ -46,10 +46,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_chat_format": _chat,
         "op10_quality_rules": _rules,
+        "op11_lexical_search": lexical_search.query,
+        "op12_sharding": sharding.query,
+        "op13_fill_middle": fill_middle.query,
         "pipeline": _pipeline,
     }
     return {k: _shipped(f) for k, f in plain.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": source_mixing.oracle(), "op5_embedding_dedup": embedding_dedup.oracle(), "op6_license_scan": license_scan.oracle(), "op7_set_sketch_dedup": set_sketch.oracle(), "op10_quality_rules": quality_rules.oracle(), "op9_chat_format": chat_format.oracle()}
+    return {"op1_source_mixing": source_mixing.oracle(), "op5_embedding_dedup": embedding_dedup.oracle(), "op6_license_scan": license_scan.oracle(), "op7_set_sketch_dedup": set_sketch.oracle(), "op10_quality_rules": quality_rules.oracle(), "op9_chat_format": chat_format.oracle(), "op11_lexical_search": lexical_search.oracle()}
