@@ -89,8 +89,6 @@ class Block:
         self.fall = -self.gain
         self.terms, first = np.unique(term[by_impact], return_index=True)
         self.first = np.append(first, len(term))
-        # The forward index, for scores to complete.
-        self.edges, self.term, self.exact = edges, term, gain
         self.size = len(n)
 
     def best(self, query: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +115,12 @@ class Block:
                 least = max(least, int(np.partition(scores, -k)[-k]))
         may = np.flatnonzero((scores > 0) & (scores + bound >= max(least, 1)))
         if bound:
-            for d in may:
-                part = slice(self.edges[d], self.edges[d + 1])
-                scores[d] = self.exact[part][np.isin(self.term[part], query)].sum()
+            # What is left of the postings adds to those documents only.
+            open_ = np.zeros(self.size, bool)
+            open_[may] = True
+            for a, b in zip(at, end):
+                rest = np.flatnonzero(open_[self.doc[a:b]])
+                scores[self.doc[a:b][rest]] += self.gain[a:b][rest]
         found = scores[may]
         may = may[found >= max(least, 1)]
         return may, scores[may]
