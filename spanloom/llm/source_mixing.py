@@ -13,7 +13,8 @@ sums over a hot leaf are taken in hash ranges: sums per range, then a running su
 Defined results: null language or source is the node ``unknown``; null or empty texts have no
 tokens and are never drawn; repeated rows are drawn as separate documents, each as often and as
 far as the budget says; rows of one id and unlike texts are documents of their own; rows without
-doc_id are ordered by their hashes and drawn like others; a very long text is cut like any other;
+doc_id are ordered by their hashes and drawn like others; a very long text is cut like any other; a
+weight of 0 shuts its node out, and siblings take its share;
 an empty table or a zero budget gives an empty result; extra columns are ignored by :func:`draw`
 and kept, whatever their names, by :func:`mix_documents`.
 """
@@ -77,7 +78,7 @@ def _share(children: DataFrame, parents: list[str], node: str, weights: dict) ->
     share of what is left. Whole tokens: the rounded-down rest stays undistributed.
     """
     c = children.withColumn("w", _weight(F.col(node), weights))
-    order = W.partitionBy(*parents).orderBy((F.col("have") / F.col("w")), F.col(node))
+    order = W.partitionBy(*parents).orderBy(F.try_divide("have", "w"), F.col(node))
     upto, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
     c = c.withColumn("full_before", F.coalesce(F.sum("have").over(upto), F.lit(0))).withColumn("w_left", F.sum("w").over(after))
     c = c.withColumn("is_full", F.col("have") * F.col("w_left") <= (F.col("amount") - F.col("full_before")) * F.col("w"))
@@ -94,7 +95,9 @@ def leaf_budgets(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Each level is written: it is tiny, and the next level's plan then stays as small.
     """
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"))
-    have = materialize(leaves.withColumn("have", F.col("supply") * mix.max_epochs), "mix-leaves")
+    # What a weight of 0 shuts out has no capacity, so its parents hand nothing down to it.
+    shut = (_weight(F.col("domain"), mix.domain) == 0) | (_weight(F.col("lang"), mix.lang) == 0) | (_weight(F.col("source"), mix.source) == 0)
+    have = materialize(leaves.withColumn("have", F.when(shut, 0).otherwise(F.col("supply") * mix.max_epochs)), "mix-leaves")
     langs = have.groupBy("domain", "lang").agg(F.sum("have").alias("have"))
     tops = have.groupBy("domain").agg(F.sum("have").alias("have"))
     total = have.agg(F.sum("have").alias("h"), F.sum("supply").alias("n")).first()
