@@ -249,7 +249,7 @@ def _passes_check(name: str, s: str, digits: str) -> bool | None:
 
 def judge(text: str, kind: int, a: int, b: int) -> tuple[int, list[float]]:
     """The six votes, coded, and the span's shape."""
-    s, before, name = text[a : min(b, a + 4096)], text[max(0, a - 32) : a].lower(), KINDS[kind]
+    s, before, name = text[a:b], text[max(0, a - 32) : a].lower(), KINDS[kind]
     digits = _digits(s)
     vote = lambda yes: 0 if yes is None else 2 if yes else 1
     cue, against = any(c in before for c in CUES[name]), any(c in before for c in COUNTER)
