@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, slice_bytes, slice_chars, stable_id
+from .occurrences import documents_with
 
 #: Kinds of change between two reports, in the order they are listed and counted.
 DIFF_ORDER = ("changed_value", "changed_provenance", "changed_confidence", "removed", "added", "ambiguous_match", "unchanged")
@@ -277,25 +278,16 @@ def mutation_sensitivity(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
 
     A passage is one mutation with one change, an x after its first character (at its end, the
     old passage would still stand in the new one). The share is 1 where the passage is gone and
-    the changed form is there. Words 2 to 4 of a value, at every word offset, find the documents
-    to search; values under five words search all. The passages are the caller's benchmark.
+    the changed form is there. All forms, of any length, are one automaton streamed past the texts.
+    Each row of ``docs`` counts; rows of one item_id and text are one passage, and those of one
+    item_id and unlike texts add up. Null and empty passages have no row.
     """
     forms = F.array(F.struct(F.lit("kept").alias("form"), F.col("text").alias("t")), F.struct(F.lit("changed").alias("form"), F.concat(F.substring("text", 1, 1), F.lit("x"), F.expr("substring(text, 2)")).alias("t")))
     items = benchmark.select("item_id", folded(F.col("text")).alias("text")).where("text <> ''").distinct()
     needles = items.select("item_id", F.explode(forms).alias("f")).select("item_id", "f.form", F.col("f.t").alias("needle"))
-    needles = needles.withColumn("w", F.split("needle", " "))
-    keyed = needles.where(F.size("w") >= 5).select("item_id", "form", "needle", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("h"))
-    short = needles.where(F.size("w") < 5).select("item_id", "form", "needle")
-    row = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 256)
-    held = docs.select(row.alias("row"), folded(F.col("text")).alias("t"))
-    words = docs.select(row.alias("row"), F.split(folded(F.col("text")), " ").alias("w")).where(F.size("w") >= 3)
-    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    likely = words.select("row", F.explode(F.array_distinct(windows)).alias("h")).join(keyed, "h").select("row", "item_id", "form", "needle").distinct()
-    found = held.join(likely, "row").where(F.contains("t", "needle")).select("item_id", "form")
-    found = found.unionByName(held.join(short, F.contains("t", "needle")).select("item_id", "form"))
-    n = lambda form: F.sum((F.col("form") == form).cast("long")).alias(f"{form}_in")
-    counts = found.groupBy("item_id").agg(n("kept"), n("changed"))
-    out = items.select("item_id").distinct().join(counts, "item_id", "left").na.fill(0, ["kept_in", "changed_in"])
+    met = needles.join(documents_with(needles, docs.select(folded(F.col("text")).alias("text"))), "needle", "left")
+    n = lambda form: F.sum(F.when(F.col("form") == form, F.coalesce("n", F.lit(0))).otherwise(0)).alias(f"{form}_in")
+    out = met.groupBy("item_id").agg(n("kept"), n("changed"))
     return out.select("item_id", "kept_in", "changed_in", ((F.col("kept_in") == 0) & (F.col("changed_in") > 0)).cast("double").alias("sensitivity"))
 
 

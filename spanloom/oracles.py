@@ -77,6 +77,24 @@ def _facts_sql(lenses=X.LENSES, table: str = "documents", name: str = "facts") -
       round(((doc_id * 7 + ordinal * 3) % 100) / 100.0, 2)::DOUBLE AS confidence, {_id('cand-', *ids)} AS candidate_id, {_key('value')} AS key FROM placed_{name})"""
 
 
+def _claim_sql() -> str:
+    """The sample's claims beside their chunks, with every place of every value by trying each start."""
+    headed = "WITH headed AS (SELECT doc_id, source, regexp_replace(text, '(?m)^([^\\n]{1,60})$', '# \\1', 'g') AS text FROM documents), "
+    w = headed + _chunk_sql(*S.CHUNK).replace("FROM documents)", "FROM headed)", 1) + ", " + _facts_sql(table="chunk")
+    at = lambda test, size: f"list_transform(list_filter(generate_series(1, length(t)), lambda i: {test}), lambda i: {{'a': i - 1, 'z': i - 1 + {size}}})"
+    upper = f"translate(f.value, '{S.LETTERS}', '{S.LETTERS.upper()}')"
+    same = lambda v: at(f"substr(t, i, length({v})) = {v}", f"length({v})")
+    return w + f""", kind AS (SELECT f.*, k.text AS t, k.start_char AS k0, (f.doc_id + f.ordinal) % 8 AS h FROM facts f JOIN chunk k USING (chunk_id)),
+      said AS (SELECT candidate_id, doc_id, chunk_id, lens, ordinal, t, k0, h, CASE WHEN h = 5 THEN 'metric_name' ELSE field END AS field, f.value AS plain, CASE WHEN h = 7 THEN 0 ELSE length(f.value) END AS n,
+          CASE h WHEN 1 THEN ' ' || f.value || ' ' WHEN 2 THEN {upper} WHEN 3 THEN replace(f.value, ' ', '  ') WHEN 4 THEN f.value || 'zq' ELSE f.value END AS value,
+          CASE h WHEN 5 THEN start_char - 40 WHEN 6 THEN start_char + 1000000 ELSE start_char + doc_id % 3 END AS claim FROM kind f),
+      one AS (SELECT *, {_strip('value')} AS bare, {same('value')} AS s1 FROM said),
+      two AS (SELECT *, CASE WHEN len(s1) > 0 THEN s1 WHEN bare <> value AND bare <> '' THEN {same('bare')} ELSE [] END AS s2 FROM one),
+      three AS (SELECT *, CASE WHEN len(s2) > 0 THEN s2 ELSE {at("lower(substr(t, i, length(value))) = lower(value)", "length(value)")} END AS s3,
+          '^' || array_to_string(list_transform(list_filter(regexp_split_to_array(value, '{WS}+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '{WS}+') AS pattern FROM two),
+      place AS (SELECT *, CASE WHEN len(s3) > 0 THEN s3 WHEN NOT regexp_matches(value, '{WS}') THEN [] ELSE {at("regexp_matches(substr(t, i), pattern)", "length(regexp_extract(substr(t, i), pattern))")} END AS spots FROM three)"""
+
+
 DEDUP = "dd AS (SELECT *, min(candidate_id) OVER (PARTITION BY doc_id, lens, category, field, key, start_char, end_char) AS primary_id FROM facts)"
 SLOTS = "plan(category, field) AS (VALUES {})".format(", ".join(f"('{c}', '{f}')" for c, f in S.PLAN))
 
@@ -148,6 +166,7 @@ def oracle_sql() -> dict[str, str]:
     w = "WITH " + _facts_sql()
     c = chunk + ", " + _facts_sql(table="chunk")
     dd = c + ", " + DEDUP
+    claim = _claim_sql()
     review = _review_sql(c)
     cross = "groups_ AS (SELECT category, field, key, count(DISTINCT doc_id) AS n_docs, count(*) AS n_facts, min(candidate_id) AS first_id, " + _id("xdg-", "category", "field", "key") + " AS group_id FROM facts GROUP BY category, field, key HAVING count(DISTINCT doc_id) >= 2)"
     match, score, group = _match_sql(w), _score_sql(w), _group_sql(w)
@@ -220,16 +239,17 @@ def oracle_sql() -> dict[str, str]:
         "span_invariants": w + f""", j AS (SELECT candidate_id, (f.doc_id + ordinal) % 5 AS h, {TEXT} AS t, start_char FROM facts f JOIN documents USING (doc_id))
           SELECT candidate_id, 'source_span_out_of_bounds' AS code FROM j WHERE h = 1 UNION ALL SELECT candidate_id, 'source_span_byte_offset_mismatch' FROM j WHERE h = 2 UNION ALL SELECT candidate_id, 'source_span_byte_mismatch' FROM j WHERE h = 2
           UNION ALL SELECT candidate_id, 'source_span_text_mismatch' FROM j WHERE h = 3 UNION ALL SELECT candidate_id, 'source_span_byte_mismatch' FROM j WHERE h = 3""",
-        "resolve_claim_offsets": c + f""", j AS (SELECT f.*, k.text AS t, k.start_char AS k0, f.start_char + f.doc_id % 3 AS claim, length(value) AS n FROM facts f JOIN chunk k USING (chunk_id)),
-          s AS (SELECT *, claim - k0 AS p, CASE WHEN claim - k0 + n <= length(t) THEN substr(t, (claim - k0 + 1)::BIGINT, n) END AS cut FROM j),
-          x AS (SELECT *, instr(t, value) AS i, instr(t, cut) AS ci FROM s),
-          y AS (SELECT *, contains({_folded('cut')}, {_folded('value')}) AS holds, CASE WHEN instr(substr(t, i + 1), value) > 0 THEN 2 ELSE 1 END AS m, n <= 24 AND instr(substr(t, ci + 1), cut) > 0 AS vague FROM x),
-          z AS (SELECT *, CASE WHEN (cut IS NULL OR NOT holds) AND m = 1 THEN 'repaired' WHEN cut IS NULL OR vague OR NOT holds THEN 'rejected' ELSE 'claimed' END AS resolution FROM y)
-          SELECT candidate_id AS claim_id, doc_id, lens, ordinal, claim AS start_char, resolution, (CASE WHEN resolution = 'repaired' THEN i - 1 + k0 WHEN cut IS NULL THEN k0 ELSE claim END)::BIGINT AS resolved_start,
-            CASE WHEN resolution = 'repaired' THEN value WHEN cut IS NULL THEN left(t, 1) ELSE cut END AS source_text,
-            CASE WHEN resolution <> 'rejected' THEN '' WHEN cut IS NOT NULL AND vague THEN 'ambiguous_source_span' ELSE 'invalid_source_offsets,ambiguous_source_span' END AS codes FROM z""",
-        "value_matches": w + f""", j AS (SELECT candidate_id, value, {TEXT} AS t FROM facts f JOIN documents USING (doc_id) WHERE ordinal = 0)
-          SELECT candidate_id, len(list_filter(generate_series(1, length(t) - length(value) + 1), lambda i: substr(t, i, length(value)) = value))::BIGINT AS n, (instr(t, value) - 1)::BIGINT AS first_start FROM j""",
+        "resolve_claim_offsets": claim + f""", s AS (SELECT *, claim - k0 AS p, CASE WHEN claim >= k0 AND n > 0 AND claim - k0 + n <= length(t) THEN substr(t, (claim - k0 + 1)::BIGINT, n) END AS cut FROM place),
+          y AS (SELECT *, contains(cut, value) OR (bare <> '' AND contains(cut, bare)) OR contains({_folded('cut')}, {_folded('value')}) AS holds, coalesce(n <= 24 AND len(list_filter(generate_series(1, length(t)), lambda i: substr(t, i, n) = cut)) > 1, false) AS vague,
+            len(spots) AS m, list_filter(spots, lambda x: NOT regexp_matches(regexp_extract(left(t, x.a::BIGINT), '([^\n]*)$', 1), '^{WS}*#')) AS body FROM s),
+          r AS (SELECT *, CASE WHEN (cut IS NULL OR NOT holds) AND m = 1 THEN spots[1]
+              WHEN cut IS NOT NULL AND NOT holds AND m > 1 AND field = 'metric_name' THEN coalesce(list_filter(body, lambda x: x.a >= p)[1], CASE WHEN len(body) = 1 THEN body[1] END) END AS fix FROM y)
+          SELECT candidate_id AS claim_id, doc_id, lens, ordinal, claim AS start_char,
+            CASE WHEN fix IS NOT NULL THEN 'repaired' WHEN cut IS NULL OR vague OR (NOT holds AND m > 1) THEN 'rejected' ELSE 'claimed' END AS resolution,
+            (CASE WHEN fix IS NOT NULL THEN fix.a + k0 WHEN cut IS NULL THEN k0 ELSE claim END)::BIGINT AS resolved_start,
+            CASE WHEN fix IS NOT NULL THEN substr(t, (fix.a + 1)::BIGINT, (fix.z - fix.a)::BIGINT) WHEN cut IS NULL THEN left(t, 1) ELSE cut END AS source_text,
+            CASE WHEN fix IS NOT NULL THEN '' WHEN cut IS NULL AND m = 0 THEN 'invalid_source_offsets' WHEN cut IS NOT NULL AND vague THEN 'ambiguous_source_span' WHEN cut IS NULL OR (NOT holds AND m > 1) THEN 'invalid_source_offsets,ambiguous_source_span' ELSE '' END AS codes FROM r""",
+        "value_matches": claim + " SELECT candidate_id AS claim_id, len(spots)::BIGINT AS n, spots[1].a::BIGINT AS first_start, spots[len(spots)].z::BIGINT AS last_end FROM place",
         "value_supported": f"""WITH l AS ({lines}), j AS (SELECT doc_id, line_no, {_folded('line')} AS a, {_folded('prev')} AS b, {_stems('line')} AS x, {_stems('prev')} AS y FROM l WHERE line_no > 0 AND line <> '')
           SELECT doc_id, line_no, contains(b, a) OR (len(x) > 0 AND len(list_filter(x, lambda q: NOT list_contains(y, q))) = 0) AS supported FROM j""",
         "canonical_key": f"""WITH v AS (SELECT 'benchmark' AS origin, item_id AS id, left({TEXT}, 200) AS value FROM benchmark UNION ALL SELECT 'documents', doc_id, left({TEXT}, 200) FROM documents UNION ALL SELECT 'conversations', conv_id, left({TEXT}, 200) FROM conversations)

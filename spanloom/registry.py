@@ -13,6 +13,7 @@ from .operators import claims as C
 from .operators import documents as D
 from .operators import facts as X
 from .operators import layout as L
+from .operators import occurrences as O
 from .operators import policies as P
 from .operators import reconcile as M
 from .operators import review as R
@@ -166,8 +167,7 @@ def _triage(labels, facts, matched):
 
 def _claims(f):
     def run(spark, d):
-        chunks = S.chunked(_t(spark, d, "documents"))
-        chunks = materialize(chunks, "chunks")
+        chunks = materialize(S.chunked(S.headed(_texts(spark, d))), "chunks")
         return f(S.claims_of(S.scored(X.propose(chunks))), chunks)
 
     return run
@@ -179,15 +179,14 @@ def _resolved(claims: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _materialized(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    out = C.materialize_candidates(C.normalize(C.resolve(claims, chunks)).where("size(codes) = 0"))
+    out = C.materialize_candidates(C.normalize(C.resolve(claims, chunks), chunks).where("size(codes) = 0"))
     return out.select("claim_id", "doc_id", "value", "source_text", "start_char", "end_char", "start_byte", "end_byte", "status", "value_canonical", "policy_id")
 
 
-def _value_matches(spark, d):
-    docs = _t(spark, d, "documents")
-    first = X.propose(docs).where("ordinal = 0").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
-    m = first.withColumn("m", C.value_matches()("text", "value"))
-    return m.select("candidate_id", F.size("m").cast("long").alias("n"), F.col("m")[0]["start"].alias("first_start"))
+def _value_matches(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    m = O.value_places(claims.select("claim_id", "chunk_id", "value"), chunks, ["chunk_id"])
+    ends = F.transform("places", lambda p: p["end"])
+    return m.select("claim_id", F.size("places").cast("long").alias("n"), F.get("places", F.lit(0))["start"].alias("first_start"), F.array_max(ends).alias("last_end"))
 
 
 def _supported(docs: DataFrame) -> DataFrame:
@@ -259,9 +258,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         **lenses,
         "span_roundtrip_check": _both(X.span_check),
         "span_invariants": _both(lambda f, x: R.violations(_tampered(f), x).select("candidate_id", "code")),
-        "resolve_claim_offsets": _claims(_resolved),
+        "resolve_claim_offsets": _shipped(_claims(_resolved)),
         "materialized_candidates": _shipped(_claims(_materialized)),
-        "value_matches": _shipped(_value_matches),
+        "value_matches": _shipped(_claims(_value_matches)),
         "value_supported": _docs(_supported),
         "canonical_key": _keys,
         "dedup_survivors": _candidates(X.survivors),
@@ -304,7 +303,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "diff_summary": _diff(R.diff_summary),
         "integrity_chain": lambda s, d: R.integrity_chain(_t(s, d, "events")),
         "stage_completeness": _checked(_stage),
-        "mutation_sensitivity": lambda s, d: R.mutation_sensitivity(_t(s, d, "benchmark"), _t(s, d, "documents")),
+        "mutation_sensitivity": _shipped(lambda s, d: R.mutation_sensitivity(_t(s, d, "benchmark"), _texts(s, d))),
         "mutation_failures": _written(lambda f: R.mutation_failures(*S.mutations(f))),
         "mutation_suite": _written(lambda f: R.mutation_suite(R.mutation_scores(S.mutations(f)[0], R.mutation_failures(*S.mutations(f))))),
         "schema_fit": lambda s, d: R.schema_fit(S.classified(_t(s, d, "documents")), S.schemas(s)),

@@ -107,11 +107,27 @@ def groups_of(rule: DataFrame) -> DataFrame:
     )
 
 
+def headed(docs: DataFrame) -> DataFrame:
+    """Documents whose short lines are headings with a mark."""
+    return docs.withColumn("text", F.regexp_replace("text", "(?m)^([^\n]{1,60})$", "# $1"))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def claims_of(facts: DataFrame) -> DataFrame:
-    """Claims of what facts say, with starts moved by the document's number modulo 3."""
+    """Claims of what facts say, eight kinds by document and ordinal: moved by the document's number
+    modulo 3; with outer blanks; in capitals; with two blanks for one; of a value that stands nowhere;
+    of a field that headings decide, from 40 characters before; far out of the chunk; without length."""
+    h = F.pmod(F.col("doc_id") + F.col("ordinal"), F.lit(8))
+    value = (
+        F.when(h == 1, F.concat(F.lit(" "), "value", F.lit(" "))).when(h == 2, F.translate("value", LETTERS, LETTERS.upper()))
+        .when(h == 3, F.replace("value", F.lit(" "), F.lit("  "))).when(h == 4, F.concat("value", F.lit("zq"))).otherwise(F.col("value"))
+    )
+    start = F.when(h == 5, F.col("start_char") - 40).when(h == 6, F.col("start_char") + 1_000_000).otherwise(F.col("start_char") + F.pmod("doc_id", F.lit(3)))
     return facts.select(
-        F.col("candidate_id").alias("claim_id"), "chunk_id", "doc_id", "lens", "category", "field", "ordinal", "value",
-        (F.col("start_char") + F.pmod("doc_id", F.lit(3))).alias("start_char"), F.length("value").cast("long").alias("length"), "confidence",
+        F.col("candidate_id").alias("claim_id"), "chunk_id", "doc_id", "lens", "category", F.when(h == 5, "metric_name").otherwise(F.col("field")).alias("field"), "ordinal", value.alias("value"),
+        start.alias("start_char"), F.when(h == 7, 0).otherwise(F.length("value")).cast("long").alias("length"), "confidence",
     )
 
 

@@ -91,13 +91,13 @@ def test_normalizers(spark, field, value, source, want, span):
     chunks = spark.createDataFrame([("c", 1, text, 10, 20)], CHUNK)
     row = C.resolve(spark.createDataFrame([("k", "c", "claim", "K", field, value, a + 10, len(source), 1.0)], CLAIM), chunks)
     row = row.withColumn("codes", row["codes"].cast("array<string>"))
-    got = C.materialize_candidates(C.normalize(row)).first()
+    got = C.materialize_candidates(C.normalize(row, chunks)).first()
     if want is None:
         assert got["value"] == value and got["source_text"] == source
         return
     assert (got["value"], got["source_text"]) == (want, span)
     assert text[got["start_char"] - 10 : got["end_char"] - 10] == span and text.encode()[got["start_byte"] - 20 : got["end_byte"] - 20] == span.encode()
-    assert got["status"] == ("verbatim_only" if want == span else "canonicalized") and C.normalization_errors(C.materialize_candidates(C.normalize(row))).first()["error"] is None
+    assert got["status"] == ("verbatim_only" if want == span else "canonicalized") and C.normalization_errors(C.materialize_candidates(C.normalize(row, chunks))).first()["error"] is None
 
 
 def test_events_are_expanded_once(spark):

@@ -3,8 +3,8 @@
 from conftest import SF
 
 from spanloom import registry
-from spanloom.operators import claims as C
 from spanloom.operators import facts as X
+from spanloom.operators import occurrences as O
 from spanloom.operators import review as R
 
 
@@ -100,5 +100,6 @@ def test_values_are_found_by_all_four_steps():
         "Xa end": [(at("Xa\u2003"), at("end") + 3)], "ababa": [(at("ababa"), at("ababa") + 5)], "axa": [(at("aXa"), at("aXa") + 3)],
         "NET SALES": [(at("net sales"), at("net sales") + 9)], "missing": [], "": [], "   ": [], "the quick brown": [],
     }
-    assert {v: C.find_matches(text, v) for v in cases} == cases
-    assert [a for a, _ in C.find_matches("ababa", "aba")] == [0, 2] and C.find_matches(None, "a") == []
+    assert dict(zip(cases, O.locate(text, list(cases)))) == cases
+    assert all(O.locate(text, [v]) == [spans] for v, spans in cases.items())
+    assert O.locate("ababa", ["aba", "aba", None]) == [[(0, 3), (2, 5)], [(0, 3), (2, 5)], []] and O.locate(None, ["a"]) == [[]]
