@@ -96,8 +96,9 @@ def propose(docs: DataFrame, lenses=LENSES, confidence: float | Column = 1.0) ->
 
     ``docs`` has doc_id, text and source, and may have chunk_id, start_char and start_byte: then
     rows are chunks, and offsets count from their document's start. One scan, no shuffle: offsets
-    are summed inside the row, so rows of one id do not mix. ``confidence`` is what the caller
-    gives these lenses. Null texts have no candidates.
+    are summed inside the row, so rows of one id do not mix: ``text_key``, a hash of the row's text,
+    tells them apart later. ``confidence`` is what the caller gives these lenses. Null texts have no
+    candidates. Repeated rows give repeated candidates, of equal ids.
     """
     chunked = "chunk_id" in docs.columns
     zero = F.lit(0).cast("long")
@@ -105,9 +106,9 @@ def propose(docs: DataFrame, lenses=LENSES, confidence: float | Column = 1.0) ->
     found = F.expr(f"concat({', '.join(_found("coalesce(text, '')", x) for x in lenses)})")
     at = (F.col("start_char"), F.col("start_byte")) if chunked else (zero, zero)
     keep = ["chunk_id"] if chunked else []
-    rows = docs.select("doc_id", "source", *keep, at[0].alias("_c"), at[1].alias("_b"), F.explode(found).alias("m"))
+    rows = docs.select("doc_id", "source", *keep, text_key().alias("text_key"), at[0].alias("_c"), at[1].alias("_b"), F.explode(found).alias("m"))
     rows = rows.select(
-        "doc_id", "source", *keep, "m.lens", "m.category", "m.field", "m.ordinal", "m.value",
+        "doc_id", "source", *keep, "text_key", "m.lens", "m.category", "m.field", "m.ordinal", "m.value",
         (F.col("_c") + F.col("m.start_char")).alias("start_char"), (F.col("_c") + F.col("m.start_char") + F.length("m.value")).alias("end_char"),
         (F.col("_b") + F.col("m.start_byte")).alias("start_byte"), (F.col("_b") + F.col("m.start_byte") + F.octet_length("m.value")).alias("end_byte"),
         (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"),
@@ -116,9 +117,22 @@ def propose(docs: DataFrame, lenses=LENSES, confidence: float | Column = 1.0) ->
     return rows.withColumn("candidate_id", stable_id("cand-", *[F.col(c) for c in parts]))
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def with_texts(facts: DataFrame, docs: DataFrame, name: str = "text", how: str = "inner") -> DataFrame:
+    """Facts with the text they were found in, under ``name``: by document and text_key, so unlike texts
+    of one id do not mix and repeated rows of a document are one. Facts of another maker, without the
+    column, meet every unlike text of their document."""
+    by = ["doc_id", "text_key"] if "text_key" in facts.columns else ["doc_id"]
+    texts = docs.select("doc_id", text_key().alias("text_key"), F.col("text").alias(name)).dropDuplicates(["doc_id", "text_key"])
+    return facts.join(texts if "text_key" in by else texts.drop("text_key"), by, how)
+
+
 def span_check(facts: DataFrame, docs: DataFrame) -> DataFrame:
     """Every fact with whether its two slices equal its quoted value."""
-    joined = facts.join(docs.select("doc_id", "text"), "doc_id")
+    joined = with_texts(facts, docs)
     ok = span_matches(F.col("text"), F.col("value"), F.col("start_char"), F.col("end_char"), F.col("start_byte"), F.col("end_byte"))
     return joined.select("candidate_id", "doc_id", "lens", "ordinal", ok.alias("span_ok"))
 
@@ -219,7 +233,7 @@ def review_batches(facts: DataFrame, size: int = 20) -> DataFrame:
 
 def context(facts: DataFrame, docs: DataFrame, radius: int = 30) -> DataFrame:
     """Prefix, highlight and suffix; status matched, mismatched, or unavailable without a text."""
-    j = facts.join(docs.select("doc_id", "text"), "doc_id", "left")
+    j = with_texts(facts, docs, how="left")
     cut = F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
     status = F.when(F.col("text").isNull(), "unavailable").when(cut == F.col("value"), "matched").otherwise("mismatched")
     return j.select(

@@ -33,10 +33,15 @@ def approved(candidates: DataFrame, plan_fields: DataFrame) -> DataFrame:
 
 
 def checked(candidates: DataFrame, chunks: DataFrame, plan_fields: DataFrame) -> DataFrame:
-    """Adds the chunk (null where there is none), category_ok, field_ok, span_ok, supported and valid."""
+    """Adds the chunk (null where there is none), category_ok, field_ok, span_ok, supported and valid.
+
+    A chunk's id names its document, text and place, and a candidate's its chunk and span: rows that
+    share one are one. So a table that holds a document twice gives the reports of one, and each
+    candidate gets one report. Both are made distinct by chunk, which is one shuffle for the join, too.
+    """
     c = chunks.select("chunk_id", F.col("text").alias("chunk_text"), F.col("start_char").alias("chunk_start"), F.col("start_byte").alias("chunk_byte"))
-    j = approved(candidates, plan_fields).join(c, "chunk_id", "left")
-    return with_checks(j)
+    j = approved(candidates, plan_fields).join(c.dropDuplicates(["chunk_id"]), "chunk_id", "left")
+    return with_checks(j.dropDuplicates(["chunk_id", "candidate_id"]))
 
 
 def with_checks(j: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, slice_bytes, slice_chars, stable_id
+from .facts import with_texts
 from .occurrences import documents_with
 
 #: Kinds of change between two reports, in the order they are listed and counted.
@@ -101,7 +102,8 @@ def violations(facts: DataFrame, docs: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.lit("source_span").alias("kind"), *SPAN, F.col("value").alias("text")))
     if "supporting" in facts.columns:
         own = F.concat(own, F.transform("supporting", lambda s: F.struct(F.lit("supporting_source_span").alias("kind"), *[s[c].alias(c) for c in SPAN], s["text"].alias("text"))))
-    each = facts.select("candidate_id", "doc_id", F.explode(own).alias("s")).join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("doc")), "doc_id")
+    key = ["text_key"] if "text_key" in facts.columns else []
+    each = with_texts(facts.select("candidate_id", "doc_id", *key, F.explode(own).alias("s")), docs, "doc").withColumn("doc", F.coalesce("doc", F.lit("")))
     s, doc = F.col("s"), F.col("doc")
     beyond = (s["end_char"] > F.length(doc)) | (s["end_byte"] > F.octet_length(doc))
     before = lambda n: F.octet_length(F.substring(doc, F.lit(1), n.cast("int")))

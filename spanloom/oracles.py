@@ -252,8 +252,8 @@ def oracle_sql() -> dict[str, str]:
         "value_matches": claim + " SELECT candidate_id AS claim_id, len(spots)::BIGINT AS n, spots[1].a::BIGINT AS first_start, spots[len(spots)].z::BIGINT AS last_end FROM place",
         "value_supported": f"""WITH l AS ({lines}), j AS (SELECT doc_id, line_no, {_folded('line')} AS a, {_folded('prev')} AS b, {_stems('line')} AS x, {_stems('prev')} AS y FROM l WHERE line_no > 0 AND line <> '')
           SELECT doc_id, line_no, contains(b, a) OR (len(x) > 0 AND len(list_filter(x, lambda q: NOT list_contains(y, q))) = 0) AS supported FROM j""",
-        "canonical_key": f"""WITH v AS (SELECT 'benchmark' AS origin, item_id AS id, left({TEXT}, 200) AS value FROM benchmark UNION ALL SELECT 'documents', doc_id, left({TEXT}, 200) FROM documents UNION ALL SELECT 'conversations', conv_id, left({TEXT}, 200) FROM conversations)
-          SELECT origin, id, {_key('value')} AS key FROM v""",
+        "canonical_key": f"""WITH v AS (SELECT 'benchmark' AS origin, item_id AS id, {TEXT} AS value FROM benchmark UNION ALL SELECT 'documents', doc_id, {TEXT} FROM documents UNION ALL SELECT 'conversations', conv_id, {TEXT} FROM conversations),
+          k AS (SELECT origin, id, {_key('value')} AS key FROM v) SELECT origin, id, length(key) AS key_chars, sha256(key) AS key_sha256 FROM k""",
         "dedup_survivors": dd + " SELECT candidate_id, doc_id, lens, category, field, key FROM dd WHERE candidate_id = primary_id",
         "dedup_rejections": dd + f" SELECT {_id('rej-', 'candidate_id', 'primary_id', chr(39) + 'duplicate_candidate' + chr(39))} AS rejection_id, candidate_id, primary_id, 'merged_into:' || primary_id AS message FROM dd WHERE candidate_id <> primary_id",
         "dedup_clusters": c + " SELECT doc_id, lens, category, field, key, count(*) AS members, count(DISTINCT chunk_id) AS spans, min(candidate_id) AS primary_id, string_agg(candidate_id, ',' ORDER BY candidate_id) AS all_ids FROM facts GROUP BY doc_id, lens, category, field, key, start_char, end_char HAVING count(*) >= 2",

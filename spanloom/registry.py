@@ -137,7 +137,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lens(name: str):
-    return lambda spark, d: X.propose(_texts(spark, d), [x for x in X.LENSES if x[0] == name])
+    return lambda spark, d: X.propose(_texts(spark, d), [x for x in X.LENSES if x[0] == name]).drop("text_key")
 
 
 def _stage(c: DataFrame) -> DataFrame:
@@ -198,9 +198,11 @@ def _supported(docs: DataFrame) -> DataFrame:
 
 
 def _keys(spark, d):
-    first = lambda t, i, c: _t(spark, d, t).select(F.lit(t).alias("origin"), F.col(i).cast("long").alias("id"), F.substring(F.coalesce(c, F.lit("")), 1, 200).alias("value"))
-    rows = first("benchmark", "item_id", "text").unionByName(first("documents", "doc_id", "text")).unionByName(first("conversations", "conv_id", "text"))
-    return rows.select("origin", "id", canonical_key(F.col("value")).alias("key"))
+    """Keys of whole texts; long ones as a hash."""
+    whole = lambda t, i: _t(spark, d, t).select(F.lit(t).alias("origin"), F.col(i).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("value"))
+    rows = whole("benchmark", "item_id").unionByName(whole("documents", "doc_id")).unionByName(whole("conversations", "conv_id"))
+    key = canonical_key(F.col("value"))
+    return rows.select("origin", "id", F.length(key).cast("long").alias("key_chars"), F.sha2(key, 256).alias("key_sha256"))
 
 
 def _tampered(facts: DataFrame) -> DataFrame:

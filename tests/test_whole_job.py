@@ -1,6 +1,8 @@
 """Cases that queries once did in part only, against plain versions."""
 
-from conftest import SF
+import pandas as pd
+import pytest
+from conftest import SF, rows
 
 from spanloom import registry
 from spanloom.operators import facts as X
@@ -103,3 +105,40 @@ def test_values_are_found_by_all_four_steps():
     assert dict(zip(cases, O.locate(text, list(cases)))) == cases
     assert all(O.locate(text, [v]) == [spans] for v, spans in cases.items())
     assert O.locate("ababa", ["aba", "aba", None]) == [[(0, 3), (2, 5)], [(0, 3), (2, 5)], []] and O.locate(None, ["a"]) == [[]]
+
+
+REVIEWS = ["approved_fields", "critic_reports", "corrections", "verifier_reports", "mirrored_reports", "candidate_fates", "stage_completeness"]
+SPANS = ["span_roundtrip_check", "span_invariants", "source_context"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Three folders: some rows; the same rows twice; and other texts under ids of theirs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 12 = 0")
+    other = docs.where("doc_id % 24 = 0").selectExpr("doc_id", "concat('In 2023, 12 and 345 ', text) as text", "lang", "source", "n_chars")
+    out = {}
+    for name, df in {"one": docs, "two": docs.unionByName(docs), "other": other, "both": docs.unionByName(other)}.items():
+        out[name] = str(tmp_path_factory.mktemp(name))
+        df.coalesce(1).write.parquet(f"{out[name]}/documents.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", REVIEWS)
+def test_repeated_documents_are_reviewed_once(spark, tables, name):
+    q = registry.queries()[name]
+    assert rows(q(spark, tables["two"]).toPandas()) == rows(q(spark, tables["one"]).toPandas())
+
+
+@pytest.mark.parametrize("name", SPANS)
+def test_repeated_documents_repeat_their_facts(spark, tables, name):
+    q = registry.queries()[name]
+    one, two = q(spark, tables["one"]).toPandas(), q(spark, tables["two"]).toPandas()
+    assert rows(two) == rows(pd.concat([one, one]))
+
+
+@pytest.mark.parametrize("name", [*SPANS, "critic_reports", "approved_fields", "resolve_claim_offsets", "value_matches"])
+def test_unlike_texts_of_one_id_do_not_mix(spark, tables, name):
+    q = registry.queries()[name]
+    one, other, both = (q(spark, tables[k]).toPandas() for k in ("one", "other", "both"))
+    assert rows(both) == rows(pd.concat([one, other]))
+    assert name != "span_roundtrip_check" or both["span_ok"].all()
