@@ -28,6 +28,7 @@ REFERENCE = (
     "|\\b(?:ISO|IEC|RFC|IEEE|EN|DIN|ANSI|NIST|ASTM)(?:[/ -][A-Z]{2,4})?[ -][0-9]+|§§? ?[0-9]+)(?:[.-][0-9A-Za-z]+)*(?:\\([0-9A-Za-z]+\\))*"
 )
 
+MEANS = "(?:means|shall mean|(?:is|are) defined as|refers? to)"
 EVENT = "(?:acquired|announced|appointed|approved|began|closed|commenced|completed|launched|merged|opened|resigned|retired|signed|started|terminated)"
 CLAIM = "(?:concluded|expects?|found|indicated?|may|must|reported|requires?|shall|should|shows?|showed)"
 
@@ -41,17 +42,19 @@ LENSES = (
     ("entity", "Entity", "name", "[A-Z][a-z]{9,}"),
     ("temporal", "Time", "clock", TIME, "[0-9q](?:(?<=[0-9])|uarter)"),
     ("quantity_with_unit", "Quantity", "with_unit", "[0-9]+ [a-z]{3,}"),
-    ("definition", "Definition", "quoted", "\"[^\"]+\""),
+    ("definition", "Definition", "meaning", f"(?:\"[^\"\n]+\"|\\b[A-Z][A-Za-z]+) {MEANS} [^.;\n]+", MEANS),
     ("event", "Event", "summary", f"\\b[A-Z][^.!?\n]*\\b{EVENT}\\b[^.!?\n]*[.!?]", f"\\b{EVENT}\\b"),
     ("claim", "Claim", "statement", f"\\b[A-Z][^.!?\n]*\\b{CLAIM}\\b[^.!?\n]*[.!?]", f"\\b{CLAIM}\\b"),
 )
-#: Every lens by name with the kinds of value it may give; the last four are declared only.
+#: Every lens by name with the kinds of value it may give. The last four read sentences: see clauses.py.
 REGISTRY = (
     ("entity", "string,identifier", True), ("event", "string,label", True), ("claim", "string", True), ("number", "number", True),
     ("definition", "string", True), ("citation", "reference", True), ("temporal", "date,duration", True), ("quantity_with_unit", "quantity", True),
-    ("relation", "string", False), ("obligation", "string", False), ("condition", "string", False), ("exception", "string", False),
+    ("relation", "string", True), ("obligation", "string", True), ("condition", "string", True), ("exception", "string", True),
 )
 MARK = "\u0001"
+#: How the patterns begin whose matches are whole stretches.
+STRETCH = "\\b[A-Z][^.!?\n]*"
 
 
 def lens_registry(spark) -> DataFrame:
@@ -63,6 +66,20 @@ def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _stretches(text: str, word: str) -> str:
+    """As :func:`_pieces` for the lenses that take a stretch between sentence ends from its first capital
+    to its end mark, if a word follows that capital. Searched as one pattern, every capital of a long
+    stretch would read it to its end. Here each stretch is read a few times, however long it is.
+
+    A stretch without a match gives an empty one.
+    """
+    at = "regexp_instr(s, '\\\\b[A-Z]')"
+    tail = f"substring(s, {at})"
+    hit = f"{at} > 0 AND rlike(s, '[.!?]$') AND rlike({tail}, {_literal(f'^[A-Z][^.!?' + chr(10) + f']*{word}')})"
+    pair = f"CASE WHEN {hit} THEN array(substring(s, 1, {at} - 1), {tail}) ELSE array(s, '') END"
+    return f"flatten(transform(split({text}, {_literal('(?<=[.!?' + chr(10) + '])')}, -1), s -> {pair}))"
+
+
 def _pieces(text: str, pattern: str) -> str:
     """The text cut into gap, match, gap, match and so on: joined, they are the text again.
 
@@ -86,7 +103,12 @@ def _found(text: str, lens: tuple) -> str:
     each = f"transform(sequence(0, cast(floor((size(ps) - 2) / 2) as int)), k -> {one})"
     with_bytes = f"transform(array({running_sums_sql('transform(ps, p -> octet_length(p))')}), bs -> filter({each}, m -> m.value <> ''))[0]"
     with_chars = f"transform(array({running_sums_sql('transform(ps, p -> length(p))')}), cs -> {with_bytes})[0]"
-    placed = f"transform(array({_pieces(text, pattern)}), ps -> CASE WHEN size(ps) >= 2 THEN {with_chars} END)[0]"
+    cut = _stretches(text, lens[4]) if pattern.startswith(STRETCH) else _pieces(text, pattern)
+    placed = f"transform(array({cut}), ps -> CASE WHEN size(ps) >= 2 THEN {with_chars} END)[0]"
+    if pattern.startswith(STRETCH):
+        # Matches are numbered without the empty ones.
+        fields = ", ".join(f"'{f}', {'cast(k as bigint)' if f == 'ordinal' else f'm.{f}'}" for f in ("lens", "category", "field", "ordinal", "value", "start_char", "start_byte"))
+        placed = f"transform({placed}, (m, k) -> named_struct({fields}))"
     # Most texts have no match of most lenses: they are passed over by one search.
     return f"coalesce(CASE WHEN rlike({text}, {_literal(lens[-1])}) THEN {placed} END, cast(array() as {FOUND}))"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import samples as S
 from .functions import text as T
+from .operators import clauses as K
 from .operators import documents as D
 from .operators import facts as X
 from .operators import review as R
@@ -161,6 +162,51 @@ def _score_sql(w: str) -> str:
       sc AS (SELECT *, {ratios} FROM sums)"""
 
 
+def _sentence_sql() -> str:
+    """CTEs from ``d`` (doc_id, t) to ``sentence``."""
+    titles = "', '".join(t + "." for t in D.TITLES)
+    return f"""ms AS (SELECT doc_id, t, regexp_extract_all(t, '[.!?]|\\n\\n') AS m, regexp_split_to_array(t, '[.!?]|\\n\\n') AS g FROM d),
+    at_ AS (SELECT doc_id, t, i, m[i] AS x, (sum(length(g[i])) OVER w + coalesce(sum(length(m[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS p
+      FROM ms, unnest(generate_series(1, len(m))) AS u(i) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    look AS (SELECT *, right(substr(t, 1, p), 80) AS before, substr(t, p + 2, 200) AS rest FROM at_),
+    cut AS (SELECT doc_id, t, p, CASE WHEN x = chr(10) || chr(10) THEN p ELSE p + 1 END AS e, CASE WHEN x = chr(10) || chr(10) THEN p + 2 ELSE p + 1 END AS s FROM look
+      WHERE x = chr(10) || chr(10) OR (regexp_matches(rest, '^({WS}|$)') AND lower(regexp_extract(before, '([^ \\n]*)$', 1) || '.') NOT IN ('{titles}') AND NOT regexp_matches(regexp_extract(before, '([^ \\n]*)$', 1) || '.', '(?:[A-Z]\\.)+[A-Z]\\.$')
+        AND NOT regexp_matches(rest, '^{WS}*\\p{{Ll}}'))),
+    ends AS (SELECT doc_id, t, p, e, s FROM cut UNION ALL SELECT doc_id, t, length(t) + 1, length(t), length(t) FROM d),
+    seg AS (SELECT doc_id, t, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY p), 0) AS a, e FROM ends),
+    txt AS (SELECT doc_id, a, substr(t, a + 1, e - a) AS q FROM seg WHERE e > a),
+    ok AS (SELECT doc_id, a + length(q) - length(regexp_replace(q, '^{WS}+', '')) AS start_char, {_strip('q')} AS z FROM txt),
+    sentence AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1 AS sentence_index, start_char, start_char + length(z) AS end_char FROM ok WHERE z <> '' AND NOT starts_with(z, '#') AND regexp_matches(z, '[\\p{{L}}\\p{{N}}]'))"""
+
+
+def _deal_sql() -> str:
+    """The sample's documents with sentences of a contract behind their text."""
+    who = "CASE doc_id % 3 WHEN 1 THEN 'Contractor' ELSE 'Manufacturer' END"
+    more = (
+        f"chr(10) || chr(10) || 'This is agreed; the ' || {who} || ' must deliver ' || doc_id || ' units to Wholesalers, unless ' || coalesce(source, 'nobody') || ' is closed; it shall pay 5 € é. Notwithstanding this, ' || {who} || 's of ' || coalesce(lang, 'xx')"
+        " || ' work with Wholesalers and Distributors, Electricians, except for holidays. \"Units\" means goods of ' || coalesce(source, 'nobody') || '; on 5 May 2026 the Board approved them at 10:30 am. Report of it! Éa began'"
+    )
+    return f"deal AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN text ELSE {TEXT} || {more} END AS text FROM documents)"
+
+
+def _clause_sql(lens: str) -> str:
+    """A lens over sentences, each cue or entity tried against each sentence of its document."""
+    base = f"WITH {_deal_sql()}, d AS (SELECT doc_id, {TEXT} AS t FROM deal WHERE length({TEXT}) > 0), " + _sentence_sql()
+    lenses = [x for x in X.LENSES if x[0] == "entity"] if lens == "relation" else [x for x in K.CUES if x[0] == lens]
+    inside = "inside AS (SELECT f.*, s.start_char AS s0, s.end_char AS s1, d.t FROM facts f JOIN d USING (doc_id) JOIN sentence s ON s.doc_id = f.doc_id AND f.start_char >= s.start_char AND f.end_char <= s.end_char)"
+    w = f"{base}, {_facts_sql(lenses, 'deal')}, {inside}"
+    if lens == "relation":
+        w += """, pair AS (SELECT *, lag(start_char) OVER p AS a0, lag(end_char) OVER p AS a1, lag(start_byte) OVER p AS ab, lag(s0) OVER p AS as0 FROM inside WINDOW p AS (PARTITION BY doc_id ORDER BY start_char, end_char DESC, field)),
+          good AS (SELECT * FROM pair WHERE as0 = s0 AND a1 <= start_char AND start_char - a1 <= 80 AND regexp_matches(substr(t, a1 + 1, start_char - a1), '[a-z]')),
+          made AS (SELECT doc_id, source, 'relation' AS lens, 'Relation' AS category, 'related' AS field, row_number() OVER (PARTITION BY doc_id ORDER BY start_char, end_char DESC, field) - 1 AS ordinal, substr(t, a0 + 1, end_char - a0) AS value, a0 AS start_char, ab AS start_byte FROM good)"""
+    else:
+        head, rest = "substr(t, s0 + 1, start_char - s0)", "substr(t, end_char + 1, s1 - end_char)"
+        before = f"regexp_replace(regexp_extract({head}, '([^,;]*)$', 1), '^\\s+', '')" if lens == "obligation" else "''"
+        stop = "^[^;]*" if lens == "obligation" else "^[^,;]*"
+        w += f", bite AS (SELECT *, {before} AS before, regexp_extract({rest}, '{stop}') AS after FROM inside), made AS (SELECT doc_id, source, lens, category, field, ordinal, before || value || after AS value, start_char - length(before) AS start_char, start_byte - strlen(before) AS start_byte FROM bite)"
+    return w + f" SELECT *, start_char + length(value) AS end_char, start_byte + strlen(value) AS end_byte, 1.0::DOUBLE AS confidence, {_id('cand-', 'doc_id', 'lens', 'category', 'field', 'value', 'start_char')} AS candidate_id FROM made"
+
+
 def oracle_sql() -> dict[str, str]:
     chunk = "WITH " + _chunk_sql(*S.CHUNK)
     w = "WITH " + _facts_sql()
@@ -171,26 +217,13 @@ def oracle_sql() -> dict[str, str]:
     cross = "groups_ AS (SELECT category, field, key, count(DISTINCT doc_id) AS n_docs, count(*) AS n_facts, min(candidate_id) AS first_id, " + _id("xdg-", "category", "field", "key") + " AS group_id FROM facts GROUP BY category, field, key HAVING count(DISTINCT doc_id) >= 2)"
     match, score, group = _match_sql(w), _score_sql(w), _group_sql(w)
     lens_cols = "doc_id, source, lens, category, field, ordinal, value, start_char, end_char, start_byte, end_byte, 1.0::DOUBLE AS confidence, candidate_id"
-    lens = {f"lens_{k}": "WITH " + _facts_sql([x for x in X.LENSES if x[0] == k]) + f" SELECT {lens_cols} FROM facts" for k in ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition", "event", "claim")}
+    lens = {f"lens_{k}": f"WITH {_deal_sql()}, " + _facts_sql([x for x in X.LENSES if x[0] == k], "deal") + f" SELECT {lens_cols} FROM facts" for k in ("number", "citation", "entity", "temporal", "quantity_with_unit", "definition", "event", "claim")}
     fmt = " ".join(f"WHEN suffix = '{k}' THEN '{v}'" for k, v in D.FORMATS.items())
     lines = f"SELECT doc_id, i - 1 AS line_no, ls[i] AS line, ls[i - 1] AS prev, length(array_to_string(ls[1:i - 1], chr(10))) + (i > 1)::INT AS c0, strlen(array_to_string(ls[1:i - 1], chr(10))) + (i > 1)::INT AS b0 FROM (SELECT doc_id, string_split({TEXT}, chr(10)) AS ls FROM documents WHERE length({TEXT}) > 0), unnest(generate_series(1, len(ls))) AS u(i)"
     role = "CASE WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table' WHEN regexp_matches(line, '^(?:[-*]|[0-9]+[.)]) ') THEN 'list_item' WHEN len(string_split(line, ' ')) <= 8 THEN 'heading' ELSE 'paragraph' END"
     block = f"b AS (SELECT doc_id, 'line:' || line_no AS span_id, {role} AS role, c0 AS start_char, c0 + length(line) AS end_char, b0 AS start_byte, b0 + strlen(line) AS end_byte FROM ({lines}) WHERE line <> '')"
-    titles = "', '".join(t + "." for t in D.TITLES)
     tables_text = f"(SELECT doc_id, {TEXT} AS t FROM documents WHERE length({TEXT}) > 0)"
-    sentence = f"""WITH d AS {tables_text},
-      ms AS (SELECT doc_id, t, regexp_extract_all(t, '[.!?]|\\n\\n') AS m, regexp_split_to_array(t, '[.!?]|\\n\\n') AS g FROM d),
-      at_ AS (SELECT doc_id, t, i, m[i] AS x, (sum(length(g[i])) OVER w + coalesce(sum(length(m[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS p
-        FROM ms, unnest(generate_series(1, len(m))) AS u(i) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-      look AS (SELECT *, right(substr(t, 1, p), 80) AS before, substr(t, p + 2, 200) AS rest FROM at_),
-      cut AS (SELECT doc_id, t, p, CASE WHEN x = chr(10) || chr(10) THEN p ELSE p + 1 END AS e, CASE WHEN x = chr(10) || chr(10) THEN p + 2 ELSE p + 1 END AS s FROM look
-        WHERE x = chr(10) || chr(10) OR (regexp_matches(rest, '^({WS}|$)') AND lower(regexp_extract(before, '([^ \\n]*)$', 1) || '.') NOT IN ('{titles}') AND NOT regexp_matches(regexp_extract(before, '([^ \\n]*)$', 1) || '.', '(?:[A-Z]\\.)+[A-Z]\\.$')
-          AND NOT regexp_matches(rest, '^{WS}*\\p{{Ll}}'))),
-      ends AS (SELECT doc_id, t, p, e, s FROM cut UNION ALL SELECT doc_id, t, length(t) + 1, length(t), length(t) FROM d),
-      seg AS (SELECT doc_id, t, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY p), 0) AS a, e FROM ends),
-      txt AS (SELECT doc_id, a, substr(t, a + 1, e - a) AS q FROM seg WHERE e > a),
-      ok AS (SELECT doc_id, a + length(q) - length(regexp_replace(q, '^{WS}+', '')) AS start_char, {_strip('q')} AS z FROM txt)
-      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1 AS sentence_index, start_char, start_char + length(z) AS end_char FROM ok WHERE z <> '' AND NOT starts_with(z, '#') AND regexp_matches(z, '[\\p{{L}}\\p{{N}}]')"""
+    sentence = f"""WITH d AS {tables_text}, {_sentence_sql()} SELECT doc_id, sentence_index, start_char, end_char FROM sentence"""
     kinds = " UNION ALL ".join(f"SELECT {i}::INT AS ord, '{k}' AS kind" for i, k in enumerate(R.SUMMARY_ORDER))
     order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(R.DIFF_ORDER)) + " END"
     diff = w + f""", p1 AS (SELECT * FROM facts WHERE ordinal = 0 OR doc_id % 7 = 5),
@@ -235,6 +268,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, text_sha256, page_number, start_char, start_char + length(t) AS end_char, start_byte, start_byte + strlen(t) AS end_byte FROM p JOIN h USING (doc_id)""",
         "html_tag_counts": "SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '<h[1-6][ >]'))::BIGINT AS headings, len(regexp_extract_all(coalesce(html, ''), '<p[ >]'))::BIGINT AS paragraphs, len(regexp_extract_all(coalesce(html, ''), '<li[ >]'))::BIGINT AS items, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title FROM pages",
         **lens,
+        **{f"lens_{k}": _clause_sql(k) for k in ("relation", "obligation", "condition", "exception")},
         "span_roundtrip_check": w + " SELECT candidate_id, f.doc_id, lens, ordinal, substr(text, start_char + 1, end_char - start_char) = value AND decode(encode(text)[start_byte + 1:end_byte]) = value AS span_ok FROM facts f JOIN documents d USING (doc_id)",
         "span_invariants": w + f""", j AS (SELECT candidate_id, (f.doc_id + ordinal) % 5 AS h, {TEXT} AS t, start_char FROM facts f JOIN documents USING (doc_id))
           SELECT candidate_id, 'source_span_out_of_bounds' AS code FROM j WHERE h = 1 UNION ALL SELECT candidate_id, 'source_span_byte_offset_mismatch' FROM j WHERE h = 2 UNION ALL SELECT candidate_id, 'source_span_byte_mismatch' FROM j WHERE h = 2

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import samples as S
 from .functions.text import canonical_key, value_supported
 from .operators import claims as C
+from .operators import clauses as K
 from .operators import documents as D
 from .operators import facts as X
 from .operators import layout as L
@@ -137,7 +138,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lens(name: str):
-    return lambda spark, d: X.propose(_texts(spark, d), [x for x in X.LENSES if x[0] == name]).drop("text_key")
+    return lambda spark, d: X.propose(S.contracted(_texts(spark, d)), [x for x in X.LENSES if x[0] == name]).drop("text_key")
 
 
 def _stage(c: DataFrame) -> DataFrame:
@@ -258,6 +259,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_title_meta": _pages(html.title_meta),
         "html_tag_counts": lambda s, d: html.block_counts(_t(s, d, "pages")),
         **lenses,
+        "lens_relation": lambda s, d: K.relations(S.contracted(_texts(s, d))),
+        **{f"lens_{x[0]}": (lambda s, d, lens=x[0]: K.clauses(S.contracted(_texts(s, d)), lens)) for x in K.CUES},
         "span_roundtrip_check": _both(X.span_check),
         "span_invariants": _both(lambda f, x: R.violations(_tampered(f), x).select("candidate_id", "code")),
         "resolve_claim_offsets": _shipped(_claims(_resolved)),

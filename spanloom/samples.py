@@ -112,6 +112,18 @@ def headed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.regexp_replace("text", "(?m)^([^\n]{1,60})$", "# $1"))
 
 
+def contracted(docs: DataFrame) -> DataFrame:
+    """Two documents of three with sentences of a contract behind their text, made from their row."""
+    k = F.pmod("doc_id", F.lit(3))
+    who = F.when(k == 1, "Contractor").otherwise("Manufacturer")
+    more = F.concat(
+        F.lit("\n\nThis is agreed; the "), who, F.lit(" must deliver "), F.col("doc_id").cast("string"), F.lit(" units to Wholesalers, unless "), F.coalesce("source", F.lit("nobody")),
+        F.lit(" is closed; it shall pay 5 € é. Notwithstanding this, "), who, F.lit("s of "), F.coalesce("lang", F.lit("xx")), F.lit(" work with Wholesalers and Distributors, Electricians, except for holidays. \"Units\" means goods of "),
+        F.coalesce("source", F.lit("nobody")), F.lit("; on 5 May 2026 the Board approved them at 10:30 am. Report of it! Éa began"),
+    )
+    return docs.withColumn("text", F.when(k == 0, F.col("text")).otherwise(F.concat(F.coalesce("text", F.lit("")), more)))
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
