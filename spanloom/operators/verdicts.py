@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import forget, materialize
 from . import facts as X
 
 
@@ -32,22 +33,45 @@ def mirrored(facts: DataFrame, reported: DataFrame) -> DataFrame:
     return gone.join(of, "primary_id").select("candidate_id", "primary_id", "accepted", "reason")
 
 
+def merge_ends(merged: DataFrame) -> DataFrame:
+    """candidate_id, survivor_id, in_cycle: where each candidate's chain of merges comes to rest.
+
+    By pointer jumping: each round joins every pointer to its target's, so chains of n steps rest after
+    log2(n) rounds; each round is written. A chain that leads into a cycle never rests: what still moves
+    after as many rounds as the longest chain could need has no survivor and is marked. A candidate
+    merged into itself rests; of several targets the smallest counts; null ids are left out.
+    """
+    at = merged.where("candidate_id <> primary_id").groupBy("candidate_id").agg(F.min("primary_id").alias("primary_id"))
+    at = materialize(at, "merges")
+    rounds = at.count().bit_length() + 1
+    for k in range(rounds + 1):
+        step = at.select(F.col("candidate_id").alias("primary_id"), F.col("primary_id").alias("next"))
+        moved = at.select("candidate_id", "primary_id").join(step, "primary_id", "left")
+        new = materialize(moved.select("candidate_id", F.coalesce("next", "primary_id").alias("primary_id"), F.col("next").isNotNull().alias("moves")), "merges")
+        forget(at)
+        at = new
+        if at.where("moves").isEmpty():
+            break
+    return at.select("candidate_id", F.when(~F.col("moves"), F.col("primary_id")).alias("survivor_id"), F.col("moves").alias("in_cycle"))
+
+
 #: Stages in which a candidate can end, the first that rejects it decides.
 STAGES = ("executor", "critic", "verifier", "reconciler")
 
 
 def fates(candidates: DataFrame, merged: DataFrame, rejections: DataFrame, members: DataFrame) -> DataFrame:
-    """What became of each candidate: data_point, <stage>_rejected, dedup_then_<fate of the survivor>
-    or no_outcome. ``merged`` has candidate_id and primary_id, ``rejections`` candidate_id and stage,
-    ``members`` the candidates in facts. Merging makes one hop: a survivor is not merged itself."""
+    """What became of each candidate: data_point, <stage>_rejected, dedup_then_<fate of the survivor>,
+    merge_cycle or no_outcome. ``merged`` has candidate_id and primary_id, ``rejections`` candidate_id and
+    stage, ``members`` the candidates in facts. Merges may form chains of any length; the survivor is
+    the candidate in which the chain rests (:func:`merge_ends`)."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
     first = rejections.withColumn("rank", rank).where("rank > 0").groupBy("candidate_id").agg(F.min_by("stage", "rank").alias("stage"))
     kept = members.select("candidate_id").distinct().withColumn("kept", F.lit(True))
-    own = candidates.select("candidate_id").distinct().join(first, "candidate_id", "left").join(kept, "candidate_id", "left").join(merged.select("candidate_id", "primary_id"), "candidate_id", "left")
-    fate = F.when(F.col("kept"), "data_point").when(F.col("stage").isNotNull(), F.concat("stage", F.lit("_rejected")))
-    own = own.withColumn("own", F.coalesce(fate, F.when(F.col("primary_id").isNull(), "no_outcome")))
-    end = own.select(F.col("candidate_id").alias("primary_id"), F.coalesce("own", F.lit("no_outcome")).alias("end"))
-    return own.join(end, "primary_id", "left").select("candidate_id", F.coalesce("own", F.concat(F.lit("dedup_then_"), F.coalesce("end", F.lit("unknown")))).alias("fate"))
+    own = candidates.select("candidate_id").distinct().join(first, "candidate_id", "left").join(kept, "candidate_id", "left").join(merge_ends(merged), "candidate_id", "left")
+    fate = F.when(F.col("kept"), "data_point").when(F.col("stage").isNotNull(), F.concat("stage", F.lit("_rejected"))).when(F.col("in_cycle"), "merge_cycle")
+    own = own.withColumn("own", F.coalesce(fate, F.when(F.col("survivor_id").isNull(), "no_outcome")))
+    end = own.select(F.col("candidate_id").alias("survivor_id"), F.coalesce("own", F.lit("no_outcome")).alias("end"))
+    return own.join(end, "survivor_id", "left").select("candidate_id", F.coalesce("own", F.concat(F.lit("dedup_then_"), F.coalesce("end", F.lit("unknown")))).alias("fate"))
 
 
 def fact_confidence(facts: DataFrame, reported: DataFrame) -> DataFrame:

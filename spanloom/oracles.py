@@ -307,7 +307,7 @@ def oracle_sql() -> dict[str, str]:
         "rejected_candidates": review + ", e AS (SELECT stage, candidate_id, unnest(codes) AS code FROM drops) SELECT stage, code, count(DISTINCT candidate_id) AS n FROM e GROUP BY stage, code",
         "verdict_complaints": review + " SELECT DISTINCT candidate_id, 'unknown_id' AS complaint FROM said WHERE candidate_id NOT IN (SELECT candidate_id FROM facts) UNION ALL SELECT candidate_id, 'missing_id' FROM facts WHERE candidate_id NOT IN (SELECT candidate_id FROM said)",
         "mirrored_reports": review + f", {DEDUP} SELECT dd.candidate_id, primary_id, accepted, reason FROM dd JOIN critic r ON r.candidate_id = primary_id WHERE dd.candidate_id <> primary_id",
-        "candidate_fates": review + f", {DEDUP} SELECT dd.candidate_id, CASE WHEN dd.candidate_id <> primary_id THEN 'dedup_then_' ELSE '' END || CASE WHEN accepted THEN 'data_point' ELSE 'critic_rejected' END AS fate FROM dd JOIN critic r ON r.candidate_id = primary_id",
+        "candidate_fates": review + f", {DEDUP}, s AS (SELECT *, min(primary_id) OVER (PARTITION BY doc_id, lens, category, field, key) AS rest FROM dd) SELECT s.candidate_id, CASE WHEN s.candidate_id <> rest THEN 'dedup_then_' ELSE '' END || CASE WHEN accepted THEN 'data_point' ELSE 'critic_rejected' END AS fate FROM s JOIN critic r ON r.candidate_id = rest",
         "fact_confidence": review + f", {DEDUP}, r AS (SELECT candidate_id AS primary_id, accepted::INT::DOUBLE AS score FROM critic) SELECT primary_id AS candidate_id, count(*) AS members, least(min(confidence), any_value(score)) AS confidence FROM dd JOIN r USING (primary_id) GROUP BY primary_id",
         "reconcile_groups": group + " SELECT doc_id, group_pos, candidate_id, best_id, category, field, first_pos, fault FROM assessed",
         "data_points": group + """, dp AS (SELECT doc_id, group_pos, best_id, category, field, least(min(confidence), 0.8::DOUBLE) AS confidence, array_to_string(list_sort(list(candidate_id)), ',') AS members FROM assessed WHERE fault IS NULL GROUP BY doc_id, group_pos, best_id, category, field)

@@ -154,7 +154,8 @@ def _rejected(c: DataFrame, reported: DataFrame) -> DataFrame:
 
 
 def _fates(c: DataFrame, reported: DataFrame) -> DataFrame:
-    merged = X.dedup(c).where("candidate_id <> primary_id").select("candidate_id", "primary_id")
+    reported = materialize(reported.select("candidate_id", "accepted"), "reports")
+    merged = materialize(S.chained(c), "chains")
     first = merged.select("candidate_id")
     members = reported.where("accepted").select("candidate_id").join(first, "candidate_id", "left_anti")
     rejections = reported.where("not accepted").select("candidate_id", F.lit("critic").alias("stage")).join(first, "candidate_id", "left_anti")

@@ -4,6 +4,7 @@ second runs. All follow from row values, so that SQL can make the same; no opera
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .operators import documents as D
@@ -143,6 +144,14 @@ def claims_of(facts: DataFrame) -> DataFrame:
     )
 
 
+def chained(c: DataFrame) -> DataFrame:
+    """Merges of duplicates, and of survivors of one document, lens, field and key into the one before."""
+    twice = X.dedup(c).where("candidate_id <> primary_id").select("candidate_id", "primary_id")
+    before = F.lag("candidate_id").over(W.partitionBy(*X.KEY).orderBy("candidate_id"))
+    again = X.survivors(c).withColumn("primary_id", before).where("primary_id is not null").select("candidate_id", "primary_id")
+    return twice.unionByName(again)
+
+
 def mutations(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changes and report values: documents as mutations; each first fact of a field is retired in
     favour of the same with an x, and the report has changed where the ordinal count says so."""

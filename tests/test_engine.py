@@ -385,6 +385,17 @@ def test_fates_follow_the_merge(spark):
     assert got == {"a": "data_point", "b": "dedup_then_data_point", "c": "critic_rejected", "d": "dedup_then_critic_rejected", "e": "executor_rejected", "f": "dedup_then_unknown", "g": "no_outcome"}
 
 
+def test_chains_of_merges_come_to_rest(spark):
+    """Chains of any length, branches, a chain into a cycle, a loop on itself, and repeated merges."""
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(37)] + [("b", "c3"), ("x", "y"), ("y", "z"), ("z", "y"), ("s", "s"), ("c5", "c6"), ("c5", "zz"), (None, "c1")]
+    got = {r["candidate_id"]: (r["survivor_id"], r["in_cycle"]) for r in V.merge_ends(spark.createDataFrame(pairs, "candidate_id string, primary_id string")).collect()}
+    assert got == {**{f"c{i}": ("c37", False) for i in range(37)}, "b": ("c37", False), **{k: (None, True) for k in "xyz"}}
+    ids = spark.createDataFrame([(k,) for k in ("c0", "c37", "x", "s")], "candidate_id string")
+    fates = V.fates(ids, spark.createDataFrame(pairs, "candidate_id string, primary_id string"), spark.createDataFrame([], "candidate_id string, stage string"), ids.where("candidate_id = 'c37'"))
+    assert {r["candidate_id"]: r["fate"] for r in fates.collect()} == {"c0": "dedup_then_data_point", "c37": "data_point", "x": "merge_cycle", "s": "no_outcome"}
+    assert V.merge_ends(spark.createDataFrame([], "candidate_id string, primary_id string")).count() == 0
+
+
 def test_violations_of_supporting_spans(spark):
     r = lambda a, b, c, d, t: {"start_char": a, "end_char": b, "start_byte": c, "end_byte": d, "text": t}
     s = "candidate_id string, doc_id long, value string, start_char long, end_char long, start_byte long, end_byte long, supporting array<struct<start_char: bigint, end_char: bigint, start_byte: bigint, end_byte: bigint, text: string>>"
