@@ -207,6 +207,16 @@ def _clause_sql(lens: str) -> str:
     return w + f" SELECT *, start_char + length(value) AS end_char, start_byte + strlen(value) AS end_byte, 1.0::DOUBLE AS confidence, {_id('cand-', 'doc_id', 'lens', 'category', 'field', 'value', 'start_char')} AS candidate_id FROM made"
 
 
+#: Stored chains of users' events (``stored``), and the same as the sample alters them (``x``).
+CHAIN = """ev AS (SELECT user_id, event_id || '|' || event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+  stored AS (SELECT user_id, seq, payload, sha256(payload) AS payload_hash, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || sha256(payload)) AS chain_hash FROM ev WHERE seq = 0
+    UNION ALL SELECT ev.user_id, ev.seq, ev.payload, sha256(ev.payload), s.chain_hash, sha256(s.chain_hash || sha256(ev.payload)) FROM stored s JOIN ev ON ev.user_id = s.user_id AND ev.seq = s.seq + 1),
+  m AS (SELECT *, (seq * 7 + user_id) % 61 AS m FROM stored),
+  x AS (SELECT user_id, CASE WHEN m <> 40 THEN seq END AS seq, payload || CASE WHEN m = 17 THEN 'x' ELSE '' END AS payload, payload_hash || CASE WHEN m = 23 THEN 'x' ELSE '' END AS payload_hash,
+    CASE WHEN seq = 0 AND user_id % 9 = 4 THEN repeat('1', 64) ELSE previous_hash END AS previous_hash, chain_hash || CASE WHEN m = 29 THEN 'x' ELSE '' END AS chain_hash
+    FROM m, range(CASE WHEN m = 11 THEN 2 ELSE 1 END) WHERE m <> 3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     chunk = "WITH " + _chunk_sql(*S.CHUNK)
     w = "WITH " + _facts_sql()
@@ -330,6 +340,17 @@ def oracle_sql() -> dict[str, str]:
         "run_diff": diff + f" SELECT *, ({order})::INT AS ord FROM df",
         "diff_summary": diff + f" SELECT ord, k.kind, count(df.kind) AS n FROM ({kinds}) k LEFT JOIN df ON df.kind = k.kind GROUP BY ord, k.kind",
         "integrity_chain": "WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, sha256(event_id || '|' || event_type) AS h FROM events), c AS (SELECT user_id, i, sha256(repeat('0', 64) || h) AS x FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, sha256(c.x || e.h) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1) SELECT user_id, max(i) AS n_events, arg_max(x, i) AS chain_hash FROM c GROUP BY user_id",
+        "chain_breaks": f"""WITH RECURSIVE {CHAIN}, own AS (SELECT *, coalesce(seq >= 0, false) AS placed FROM x),
+          seen AS (SELECT user_id, seq, count(*) AS n, list(chain_hash) AS hs FROM own WHERE placed GROUP BY ALL),
+          j AS (SELECT o.*, coalesce(a.n, 0) AS alike, coalesce(b.n, 0) AS before, coalesce(list_contains(b.hs, o.previous_hash), false) AS met FROM own o LEFT JOIN seen a ON a.user_id = o.user_id AND a.seq = o.seq LEFT JOIN seen b ON b.user_id = o.user_id AND b.seq = o.seq - 1),
+          c AS (SELECT user_id, seq, chain_hash, concat_ws(',', CASE WHEN sha256(payload) <> payload_hash THEN 'payload_changed' END, CASE WHEN sha256(previous_hash || payload_hash) <> chain_hash THEN 'hash_wrong' END,
+            CASE WHEN alike > 1 THEN 'repeated' END, CASE WHEN placed AND seq > 0 AND before = 0 THEN 'missing_before' END,
+            CASE WHEN placed AND (CASE WHEN seq = 0 THEN previous_hash <> repeat('0', 64) ELSE before > 0 AND NOT met END) THEN 'link_broken' END, CASE WHEN NOT placed THEN 'unplaced' END) AS codes FROM j)
+          SELECT * FROM c WHERE codes <> ''""",
+        "chain_digests": f"WITH RECURSIVE {CHAIN} SELECT user_id, (seq // 16)::BIGINT AS stretch, count(*) AS n, sha256(string_agg(seq || ':' || payload_hash || ':' || chain_hash, ',' ORDER BY seq, payload_hash, chain_hash)) AS digest FROM x WHERE seq >= 0 GROUP BY 1, 2",
+        "chain_divergence": f"""WITH RECURSIVE {CHAIN}, u AS (SELECT user_id, seq, payload_hash, chain_hash, 1 AS side FROM stored UNION ALL SELECT user_id, seq, payload_hash, chain_hash, -1 FROM x WHERE seq >= 0),
+          g AS (SELECT user_id, seq, sum(side) AS more FROM u GROUP BY user_id, seq, payload_hash, chain_hash HAVING sum(side) <> 0)
+          SELECT user_id, min(seq) AS first_seq, sum(greatest(more, 0))::BIGINT AS n_only, sum(greatest(-more, 0))::BIGINT AS n_replica_only FROM g GROUP BY user_id""",
         "stage_completeness": dd + ", k AS (SELECT candidate_id FROM dd WHERE candidate_id <> primary_id OR lens <> 'number') SELECT doc_id, count(*) AS expected, count(k.candidate_id) AS accounted, CASE WHEN count(k.candidate_id) = 0 THEN 'pending' WHEN count(k.candidate_id) = count(*) THEN 'complete' ELSE 'partial' END AS state FROM facts f LEFT JOIN k USING (candidate_id) GROUP BY doc_id",
         "mutation_sensitivity": f"""WITH b AS (SELECT item_id, {_folded(TEXT)} AS t FROM benchmark), n AS (SELECT item_id, t, left(t, 1) || 'x' || substr(t, 2) AS x FROM b WHERE t <> ''), d AS (SELECT {_folded(TEXT)} AS t FROM documents),
           k AS (SELECT item_id, count(*) FILTER (contains(d.t, n.t)) AS kept_in, count(*) FILTER (contains(d.t, n.x)) AS changed_in FROM n, d GROUP BY item_id) SELECT *, (kept_in = 0 AND changed_in > 0)::INT::DOUBLE AS sensitivity FROM k""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import samples as S
 from .functions.text import canonical_key, value_supported
+from .operators import chains as H
 from .operators import claims as C
 from .operators import clauses as K
 from .operators import documents as D
@@ -237,6 +238,16 @@ def _line_blocks(docs: DataFrame) -> DataFrame:
     return part("layout", "span_id", F.col("s.role").alias("role")).unionByName(part("tables", "table_id", F.lit("table").alias("role")))
 
 
+def _chains(f):
+    """Stored chains of the users' events, and the same with changes; both are read more than once."""
+
+    def run(spark, d):
+        stored = materialize(H.link(S.chain_rows(_t(spark, d, "events")), "user_id", ["ts", "event_id"]), "chains")
+        return f(stored, S.tampered_chain(stored))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     lenses = {f"lens_{k}": _lens(k) for k in LENS_NAMES}
     return {
@@ -308,6 +319,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_diff": _diff(lambda x: x.drop("entry_id")),
         "diff_summary": _diff(R.diff_summary),
         "integrity_chain": lambda s, d: R.integrity_chain(_t(s, d, "events")),
+        "chain_breaks": _chains(lambda c, x: H.breaks(x, "user_id", 16).select("user_id", "seq", "chain_hash", F.array_join("codes", ",").alias("codes"))),
+        "chain_digests": _chains(lambda c, x: H.digests(x, "user_id", 16)),
+        "chain_divergence": _chains(lambda c, x: H.divergence(c, x, "user_id", 16)),
         "stage_completeness": _checked(_stage),
         "mutation_sensitivity": _shipped(lambda s, d: R.mutation_sensitivity(_t(s, d, "benchmark"), _texts(s, d))),
         "mutation_failures": _written(lambda f: R.mutation_failures(*S.mutations(f))),

@@ -174,3 +174,20 @@ def classified(docs: DataFrame) -> DataFrame:
     kind = F.when(F.col("lang") == "es", "unknown_document").otherwise(F.coalesce("lang", F.lit("unknown_document")))
     sure = F.when(F.pmod("doc_id", F.lit(10)) == 3, 0.5).otherwise(0.9)
     return docs.select("doc_id", kind.alias("document_class"), F.array("source", F.lit("any")).alias("hints"), sure.alias("confidence"))
+
+
+def chain_rows(events: DataFrame) -> DataFrame:
+    """Events as payloads of one chain a user."""
+    return events.select("user_id", "ts", "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("payload"))
+
+
+def tampered_chain(records: DataFrame) -> DataFrame:
+    """Stored records as they were written, but for changes by seq and user: payloads, hashes of payloads and
+    chain hashes altered, records taken out or given twice, seqs lost, and chains begun elsewhere."""
+    m = F.pmod(F.col("seq") * 7 + F.col("user_id"), F.lit(61))
+    x = lambda c, hit: F.when(hit, F.concat(F.col(c), F.lit("x"))).otherwise(F.col(c)).alias(c)
+    start = F.when((F.col("seq") == 0) & (F.col("user_id") % 9 == 4), "1" * 64).otherwise(F.col("previous_hash")).alias("previous_hash")
+    kept = records.where(m != 3).withColumn("m", m)
+    copies = kept.select("*", F.explode(F.when(F.col("m") == 11, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    m = F.col("m")
+    return copies.select("user_id", F.when(m != 40, F.col("seq")).alias("seq"), x("payload", m == 17), x("payload_hash", m == 23), start, x("chain_hash", m == 29))
