@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_key, folded, has_qualifier, is_label_field, stable_id, stems, tokens, value_supported
+from ..functions.arrays import let
+from ..functions.text import canonical_key, folded, has_qualifier, is_label_field, stable_id, stems, strip, tokens, value_supported
+from .policies import CODES
 
 #: Tokens that scope a metric's name, and names of its role only.
 SCOPED = ("annual", "fy", "full", "full-year", "fullyear", "q1", "q2", "q3", "q4", "quarter", "quarterly", "year", "year-end", "yearend")
@@ -62,6 +64,80 @@ def short_id(candidate_id: Column) -> Column:
     return F.substring(F.regexp_replace(candidate_id, "^[a-z]+-", ""), 1, 12)
 
 
+def decode_batches(replies: DataFrame, col: str = "payload", default_code: str = "reconciler_rejected") -> DataFrame:
+    """A model's replies to whole batches: the rows with ``groups`` (source_id, member_ids), ``rejected``
+    (candidate_id, code) and ``error``; a batch with an error has neither.
+
+    A reply is an object with the lists ``groups`` and ``rejected``, and no other key. A reply, or
+    either list, may be given as a JSON string. A group is ``[source, members]``, one member may
+    stand without its list; a rejection is ``[id, code]``, or an id, alone or in a list, which takes
+    the default code. Ids are strings that are not blank. The source is among its members;
+    members of a group, and rejected ids, are distinct. Shapes are told by variant functions.
+    """
+    kind = lambda v: F.schema_of_variant(v)
+    text = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    opened = lambda v: F.when(kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    items = lambda v: F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    full = lambda x: F.coalesce(F.length(strip(x)) > 0, F.lit(False))
+
+    got = opened(F.try_parse_json(F.col(col)))
+    r = replies.withColumn("_got", got)
+    r = r.withColumn("_keys", F.when(kind(F.col("_got")).startswith("OBJECT"), F.map_keys(F.try_variant_get("_got", "$", "map<string,variant>"))))
+    for name in ("groups", "rejected"):
+        r = r.withColumn(f"_{name}", items(opened(F.try_variant_get("_got", f"$.{name}", "variant"))))
+
+    def group(v: Column) -> Column:
+        two = lambda xs: F.struct(F.when(F.size(xs) == 2, text(F.get(xs, F.lit(0)))).alias("source_id"), F.when(F.size(xs) == 2, members(F.get(xs, F.lit(1)))).alias("member_ids"))
+        return let(items(v), two)
+
+    def members(v: Column) -> Column:
+        return F.when(kind(v) == "STRING", F.array(text(v))).otherwise(F.transform(items(v), text))
+
+    def rejection(v: Column) -> Column:
+        def listed(xs: Column) -> Column:
+            name = F.when(F.size(xs).between(1, 2), text(F.get(xs, F.lit(0))))
+            return F.struct(F.coalesce(text(v), name).alias("candidate_id"), F.when(F.size(xs) == 2, text(F.get(xs, F.lit(1)))).otherwise(default_code).alias("code"))
+
+        return let(items(v), listed)
+
+    r = r.withColumn("groups", F.transform("_groups", group)).withColumn("rejected", F.transform("_rejected", rejection))
+    bad_group = F.exists("groups", lambda g: ~full(g["source_id"]) | g["member_ids"].isNull() | F.exists(g["member_ids"], lambda m: ~full(m)))
+    repeated = lambda xs: F.size(F.array_distinct(xs)) < F.size(xs)
+    error = (
+        F.when(F.col("_got").isNull(), "not_json")
+        .when(F.col("_keys").isNull(), "not_object")
+        .when(F.exists("_keys", lambda k: ~k.isin("groups", "rejected")), "unknown_key")
+        .when(F.col("groups").isNull(), "groups_not_list")
+        .when(F.col("rejected").isNull(), "rejected_not_list")
+        .when(bad_group, "bad_group")
+        .when(F.exists("rejected", lambda x: ~full(x["candidate_id"])), "bad_rejection")
+        .when(F.exists("rejected", lambda x: ~F.coalesce(x["code"].isin(*CODES), F.lit(False))), "unknown_code")
+        .when(F.exists("groups", lambda g: ~F.array_contains(g["member_ids"], g["source_id"])), "source_not_member")
+        .when(F.exists("groups", lambda g: repeated(g["member_ids"])), "members_repeated")
+        .when(repeated(F.transform("rejected", lambda x: x["candidate_id"])), "rejected_repeated")
+    )
+    r = r.withColumn("error", error)
+    sound = [F.when(F.col("error").isNull(), F.col(n)).alias(n) for n in ("groups", "rejected")]
+    return r.select(*[c for c in replies.columns if c not in ("groups", "rejected", "error")], *sound, "error")
+
+
+def batch_groups(decoded: DataFrame) -> DataFrame:
+    """Groups of sound batches, for :func:`expand_ids` and :func:`assess_groups`; positions from 1."""
+    each = decoded.select("doc_id", F.posexplode("groups").alias("at", "g"))
+    return each.select("doc_id", (F.col("at") + 1).cast("long").alias("group_pos"), "g.source_id", "g.member_ids")
+
+
+def batch_rejections(decoded: DataFrame) -> DataFrame:
+    return decoded.select("doc_id", F.explode("rejected").alias("x")).select("doc_id", "x.candidate_id", "x.code")
+
+
+def input_runs(points: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """The distinct runs (run_id, doc_id) that facts of several documents come from: those of the
+    manifests where there are any, else those of the facts. Rows without run are left out."""
+    said = points if manifests is None or manifests.isEmpty() else manifests
+    return said.where("run_id is not null").select("run_id", "doc_id").distinct()
+
+
 def expand_ids(groups: DataFrame, candidates: DataFrame) -> DataFrame:
     """Short ids of groups back to full ones; an id that stays short is unknown, and one that two
     candidates of a document share is an error row (``collision``)."""

@@ -7,6 +7,7 @@ from .functions import text as T
 from .operators import clauses as K
 from .operators import documents as D
 from .operators import facts as X
+from .operators import policies as P
 from .operators import review as R
 
 TEXT = "coalesce(text, '')"
@@ -340,6 +341,24 @@ def oracle_sql() -> dict[str, str]:
         "run_diff": diff + f" SELECT *, ({order})::INT AS ord FROM df",
         "diff_summary": diff + f" SELECT ord, k.kind, count(df.kind) AS n FROM ({kinds}) k LEFT JOIN df ON df.kind = k.kind GROUP BY ord, k.kind",
         "integrity_chain": "WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, sha256(event_id || '|' || event_type) AS h FROM events), c AS (SELECT user_id, i, sha256(repeat('0', 64) || h) AS x FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, sha256(c.x || e.h) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1) SELECT user_id, max(i) AS n_events, arg_max(x, i) AS chain_hash FROM c GROUP BY user_id",
+        "reconcile_batches": f"""WITH r AS (SELECT doc_id, replace(replace(list_extract([{", ".join(f"'{_q(x)}'" for x in S.REPLIES)}], (doc_id % {len(S.REPLIES)} + 1)::INT), 'I', 'c' || doc_id), 'J', 'd' || doc_id) AS p FROM documents),
+          a AS (SELECT doc_id, CASE WHEN json_valid(p) THEN p::JSON END AS v FROM r),
+          b AS (SELECT doc_id, CASE WHEN json_type(v) <> 'VARCHAR' THEN v WHEN json_valid(v->>'$') THEN (v->>'$')::JSON END AS v FROM a),
+          c AS (SELECT doc_id, v, v->'groups' AS g, v->'rejected' AS x FROM b),
+          d AS (SELECT doc_id, v, {", ".join(f"CASE json_type({k}) WHEN 'ARRAY' THEN {k} WHEN 'VARCHAR' THEN CASE WHEN json_valid({k}->>'$') AND json_type(({k}->>'$')::JSON) = 'ARRAY' THEN ({k}->>'$')::JSON END END AS {k}" for k in "gx")} FROM c),
+          gs AS (SELECT doc_id, pos, CASE WHEN json_type(e) = 'ARRAY' AND json_array_length(e) = 2 AND json_type(e, '$[0]') = 'VARCHAR' THEN e->>'$[0]' END AS id,
+            CASE WHEN json_type(e) = 'ARRAY' AND json_array_length(e) = 2 THEN CASE json_type(e, '$[1]') WHEN 'VARCHAR' THEN [e->>'$[1]'] WHEN 'ARRAY' THEN list_transform((e->'$[1]')::JSON[], lambda m: CASE WHEN json_type(m) = 'VARCHAR' THEN m->>'$' END) END END AS ms
+            FROM (SELECT doc_id, unnest(g::JSON[]) AS e, generate_subscripts(g::JSON[], 1) AS pos FROM d)),
+          xs AS (SELECT doc_id, CASE json_type(e) WHEN 'VARCHAR' THEN e->>'$' WHEN 'ARRAY' THEN CASE WHEN json_array_length(e) IN (1, 2) AND json_type(e, '$[0]') = 'VARCHAR' THEN e->>'$[0]' END END AS id,
+            CASE WHEN json_type(e) = 'ARRAY' AND json_array_length(e) = 2 THEN e->>'$[1]' ELSE 'reconciler_rejected' END AS code FROM (SELECT doc_id, unnest(x::JSON[]) AS e FROM d)),
+          gf AS (SELECT doc_id, bool_or(coalesce(id, '') = '' OR ms IS NULL OR len(list_filter(ms, lambda m: coalesce(m, '') = '')) > 0) AS bad, bool_or(NOT coalesce(list_contains(ms, id), false)) AS apart, bool_or(len(list_distinct(ms)) < len(ms)) AS twice FROM gs GROUP BY doc_id),
+          xf AS (SELECT doc_id, bool_or(coalesce(id, '') = '') AS bad, bool_or(code NOT IN ({", ".join(f"'{x}'" for x in P.CODES)})) AS strange, count(DISTINCT id) < count(id) AS twice FROM xs GROUP BY doc_id),
+          f AS (SELECT doc_id, CASE WHEN v IS NULL THEN 'not_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_object' WHEN len(list_filter(json_keys(v), lambda k: k NOT IN ('groups', 'rejected'))) > 0 THEN 'unknown_key'
+            WHEN g IS NULL THEN 'groups_not_list' WHEN x IS NULL THEN 'rejected_not_list' WHEN gf.bad THEN 'bad_group' WHEN xf.bad THEN 'bad_rejection' WHEN xf.strange THEN 'unknown_code'
+            WHEN gf.apart THEN 'source_not_member' WHEN gf.twice THEN 'members_repeated' WHEN xf.twice THEN 'rejected_repeated' END AS error FROM d LEFT JOIN gf USING (doc_id) LEFT JOIN xf USING (doc_id))
+          SELECT doc_id, 'error' AS kind, 0::BIGINT AS pos, NULL::VARCHAR AS id, error AS detail FROM f WHERE error IS NOT NULL
+          UNION ALL SELECT doc_id, 'group', pos, id, array_to_string(ms, ',') FROM gs JOIN f USING (doc_id) WHERE error IS NULL
+          UNION ALL SELECT doc_id, 'rejected', 0, id, code FROM xs JOIN f USING (doc_id) WHERE error IS NULL""",
         "chain_breaks": f"""WITH RECURSIVE {CHAIN}, own AS (SELECT *, coalesce(seq >= 0, false) AS placed FROM x),
           seen AS (SELECT user_id, seq, count(*) AS n, list(chain_hash) AS hs FROM own WHERE placed GROUP BY ALL),
           j AS (SELECT o.*, coalesce(a.n, 0) AS alike, coalesce(b.n, 0) AS before, coalesce(list_contains(b.hs, o.previous_hash), false) AS met FROM own o LEFT JOIN seen a ON a.user_id = o.user_id AND a.seq = o.seq LEFT JOIN seen b ON b.user_id = o.user_id AND b.seq = o.seq - 1),

@@ -128,6 +128,16 @@ def _reconciled(f):
     return _written(run)
 
 
+def _batches(spark, d):
+    """What replies to batches say: groups, rejections and faulty replies, one row each."""
+    x = M.decode_batches(S.replies(_t(spark, d, "documents")))
+    row = lambda kind, pos, id, detail: (F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), id.alias("id"), detail.alias("detail"))
+    groups = M.batch_groups(x).select("doc_id", *row("group", F.col("group_pos"), F.col("source_id"), F.array_join("member_ids", ",")))
+    none = F.lit(None).cast("string")
+    rejected = M.batch_rejections(x).select("doc_id", *row("rejected", F.lit(0), F.col("candidate_id"), F.col("code")))
+    return groups.unionByName(rejected).unionByName(x.where("error is not null").select("doc_id", *row("error", F.lit(0), none, F.col("error"))))
+
+
 def _no_rejections(c: DataFrame) -> DataFrame:
     """Explicit rejections of the sample: short values."""
     return c.where("length(value) = 1").select("doc_id", "candidate_id", F.lit("invented_span").alias("code"))
@@ -302,6 +312,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "candidate_fates": _reviewed(_fates),
         "fact_confidence": _reviewed(V.fact_confidence),
         "reconcile_groups": _reconciled(lambda c, g, a: a),
+        "reconcile_batches": _batches,
         "data_points": _reconciled(lambda c, g, a: M.data_points(a, c, c.select("candidate_id", F.lit(0.8).alias("score"))).drop("decision_id", "data_point_id")),
         "reconcile_rejections": _reconciled(lambda c, g, a: M.unaccounted(a, _no_rejections(c), c)),
         "conflict_complaints": _reconciled(lambda c, g, a: M.conflict_complaints(g, c)),

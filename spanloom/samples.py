@@ -191,3 +191,33 @@ def tampered_chain(records: DataFrame) -> DataFrame:
     copies = kept.select("*", F.explode(F.when(F.col("m") == 11, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
     m = F.col("m")
     return copies.select("user_id", F.when(m != 40, F.col("seq")).alias("seq"), x("payload", m == 17), x("payload_hash", m == 23), start, x("chain_hash", m == 29))
+
+
+#: Replies to batches, by doc_id modulo their number; I and J stand for two ids of the document.
+REPLIES = (
+    '{"groups":[["I",["I","J"]]],"rejected":[]}',
+    '{"groups":[["I","I"]],"rejected":["J"]}',
+    '{"groups":"[[\\"I\\",[\\"I\\"]]]","rejected":"[[\\"J\\"]]"}',
+    '"{\\"groups\\":[[\\"J\\",[\\"I\\",\\"J\\"]]],\\"rejected\\":[]}"',
+    '{"groups":[["I",["J"]]],"rejected":[]}',
+    '{"groups":[["I",["I","I"]]],"rejected":[]}',
+    '{"groups":[],"rejected":[["J","invented_span"],"J"]}',
+    '{"groups":[],"rejected":[["J","made_up"]]}',
+    '{"groups":[["I"]],"rejected":[]}',
+    "nope",
+    '{"groups":[]}',
+    "[1,2]",
+    '{"groups":[["I",["I",5]]],"rejected":[]}',
+    '{"groups":[["I",["I"]],["J","J"]],"rejected":[["e","schema_violation"],["f"]]}',
+    '{"groups":[],"rejected":[],"more":1}',
+    '{"groups":[],"rejected":[""]}',
+    '{"groups":"nope","rejected":[]}',
+)
+
+
+def replies(docs: DataFrame) -> DataFrame:
+    shapes = F.array(*[F.lit(x) for x in REPLIES])
+    payload = F.get(shapes, F.pmod("doc_id", F.lit(len(REPLIES))).cast("int"))
+    for name, letter in (("I", "c"), ("J", "d")):
+        payload = F.replace(payload, F.lit(name), F.concat(F.lit(letter), F.col("doc_id").cast("string")))
+    return docs.select("doc_id", payload.alias("payload"))
