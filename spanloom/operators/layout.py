@@ -62,16 +62,54 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), "page_map", F.flatten(F.transform("page_map", segments)).alias("source_map"))
 
 
-def align(text: str, parts: list[str]) -> list[tuple[int, int]] | None:
-    """Places of the parts in the text, each looked for behind the one before; None if one is missing or empty."""
-    out, at = [], 0
-    for part in parts:
-        start = text.find(part, at) if part else -1
-        if start < 0:
-            return None
-        at = start + len(part)
-        out.append((start, at))
-    return out
+#: Parts that are looked for in one stretch of the text.
+BLOCK = 256
+
+
+def aligned(text: Column, parts: Column) -> Column:
+    """Places of the parts in the text (the four offsets), each looked for behind the one before; null
+    if one is missing, empty or null. No parts give an empty array, a null text or array counts as empty.
+
+    A fold over blocks of parts drops the text behind it after each block, so looking for a part never
+    starts at the text's beginning. What is left of the text is copied once a block, as bytes.
+    """
+    text, parts = F.coalesce(text, F.lit("")), F.coalesce(parts, F.array().cast("array<string>"))
+    places = f"array<struct<{RANGE}>>"
+    zero = F.lit(0).cast("long")
+
+    def block(rest: Column, words: Column, chars: Column, octets: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), zero.alias("by"), F.array().cast(places).alias("out"), F.lit(True).alias("ok"))
+
+        def step(s: Column, w: Column) -> Column:
+            def put(p: Column) -> Column:
+                first = s["by"] + F.octet_length(F.substring(rest, s["at"] + 1, p - 1 - s["at"]))
+                end, last = p - 1 + F.length(w), first + F.octet_length(w)
+                place = F.struct((chars + p - 1).alias("start_char"), (chars + end).alias("end_char"), (octets + first).alias("start_byte"), (octets + last).alias("end_byte"))
+                found = F.struct(end.cast("int").alias("at"), last.alias("by"), F.concat(s["out"], F.array(place)).alias("out"), F.lit(True).alias("ok"))
+                lost = F.struct(s["at"].alias("at"), s["by"].alias("by"), s["out"].alias("out"), F.lit(False).alias("ok"))
+                return F.when((p > 0) & (F.length(w) > 0), found).otherwise(lost)
+
+            return let(F.coalesce(F.when(s["ok"], F.call_function("locate", w, rest, s["at"] + 1)), F.lit(0)), put)
+
+        return F.aggregate(words, start, step)
+
+    def fold(ws: Column) -> Column:
+        start = F.struct(text.alias("rest"), zero.alias("chars"), zero.alias("octets"), F.array().cast(f"array<{places}>").alias("out"), F.lit(True).alias("ok"))
+
+        def step(s: Column, k: Column) -> Column:
+            def go_on(r: Column) -> Column:
+                rest = F.substring(s["rest"].cast("binary"), (r["by"] + 1).cast("int"), F.lit(2**31 - 1)).cast("string")
+                more = F.struct(rest.alias("rest"), (s["chars"] + r["at"]).alias("chars"), (s["octets"] + r["by"]).alias("octets"), F.concat(s["out"], F.array(r["out"])).alias("out"), F.lit(True).alias("ok"))
+                lost = F.struct(*[s[n].alias(n) for n in ("rest", "chars", "octets", "out")], F.lit(False).alias("ok"))
+                return F.when(r["ok"], more).otherwise(lost)
+
+            words = F.slice(ws, k * BLOCK + 1, F.lit(BLOCK))
+            return let(F.when(s["ok"], block(s["rest"], words, s["chars"], s["octets"])), go_on)
+
+        last = F.floor((F.greatest(F.size(ws), F.lit(1)) - 1) / BLOCK).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), last), start, step)
+
+    return let(let(parts, fold), lambda r: F.when(r["ok"], F.flatten(r["out"])))
 
 
 def table_cells(rows: list[list[str]], places: list[tuple[int, int]]) -> list[tuple[int, int, int, int, list[str]]]:
@@ -87,42 +125,33 @@ def table_cells(rows: list[list[str]], places: list[tuple[int, int]]) -> list[tu
 
 
 def aligned_words():
-    """Spans of a page's words in its text: a pandas UDF (text, words) to an array, null on failure."""
+    """Spans of a page's words in its text: a function of (text, words) to an array, null on failure."""
+    return lambda text, words: aligned(*[F.col(x) if isinstance(x, str) else x for x in (text, words)])
 
-    @pandas_udf("array<struct<start_char: bigint, end_char: bigint, start_byte: bigint, end_byte: bigint>>")
-    def spans(texts: pd.Series, words: pd.Series) -> pd.Series:
-        def one(text, parts):
-            found = align(text or "", list(parts if parts is not None else []))
-            if found is None:
-                return None
-            out, char, byte = [], 0, 0
-            for a, b in found:
-                byte += len(text[char:a].encode())
-                end = byte + len(text[a:b].encode())
-                out.append({"start_char": a, "end_char": b, "start_byte": byte, "end_byte": end})
-                char, byte = b, end
-            return out
 
-        return pd.Series([one(t, w) for t, w in zip(texts, words)], dtype=object)
+def aligned_cells():
+    """Cells of a page's table (array of rows) in its text, row by row, with the labels that the first
+    row gives the columns of the others: a function of (text, table), null on failure."""
 
-    return spans
+    def cells(text: Column, table: Column) -> Column:
+        rows = F.transform(F.coalesce(table, F.array().cast("array<array<string>>")), lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit(""))))
 
+        def placed(rs: Column) -> Column:
+            def cell(places: Column, first: Column, r: Column, c: Column) -> Column:
+                label = F.get(F.get(rs, F.lit(0)), c)
+                labels = F.when((r > 0) & (F.length(label) > 0), F.array(label)).otherwise(F.array().cast("array<string>"))
+                p = F.get(places, (first + c).cast("int"))
+                return F.struct(r.alias("row_index"), c.alias("column_index"), p["start_char"].alias("start_char"), p["end_char"].alias("end_char"), labels.alias("header_labels"))
 
-def aligned_cells():
-    """Cells of a page's table (array of rows) in its text, with header labels, null on failure."""
+            def all_rows(places: Column, firsts: Column) -> Column:
+                return F.flatten(F.transform(rs, lambda row, r: F.transform(row, lambda _, c: cell(places, F.get(firsts, r), r, c))))
 
-    @pandas_udf("array<struct<row_index: int, column_index: int, start_char: bigint, end_char: bigint, header_labels: array<string>>>")
-    def cells(texts: pd.Series, tables: pd.Series) -> pd.Series:
-        def one(text, table):
-            rows = [[c or "" for c in r] for r in (table if table is not None else [])]
-            places = align(text or "", [c for r in rows for c in r])
-            if places is None:
-                return None
-            return [{"row_index": r, "column_index": c, "start_char": a, "end_char": b, "header_labels": h} for r, c, a, b, h in table_cells(rows, places)]
+            firsts = running_sums(F.transform(rs, F.size))
+            return let(aligned(text, F.flatten(rs)), lambda places: let(firsts, lambda fs: F.when(places.isNotNull(), all_rows(places, fs))))
 
-        return pd.Series([one(t, w) for t, w in zip(texts, tables)], dtype=object)
+        return let(rows, placed)
 
-    return cells
+    return lambda text, table: cells(*[F.col(x) if isinstance(x, str) else x for x in (text, table)])
 
 
 def shift(spans: Column, chars: Column, bytes_: Column) -> Column:

@@ -218,6 +218,15 @@ CHAIN = """ev AS (SELECT user_id, event_id || '|' || event_type AS payload, row_
     FROM m, range(CASE WHEN m = 11 THEN 2 ELSE 1 END) WHERE m <> 3)"""
 
 
+#: The sample's words of lines, each looked for behind the one before, step by step (``spot``); lines that lack one (``lost``).
+ALIGN = f"""WITH RECURSIVE line AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS t FROM (SELECT doc_id, string_split({TEXT}, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS u(i)),
+  said AS (SELECT doc_id, line_no, t, list_concat(list_filter(list_filter(string_split(t, ' '), lambda x: x <> ''), lambda x, i: i % 3 <> 0), CASE WHEN doc_id % 7 = 5 AND line_no % 3 = 1 THEN ['zqzq9'] ELSE [] END) AS ws FROM line),
+  walk AS (SELECT doc_id, line_no, t, ws, 0 AS i, 0::BIGINT AS s, 0::BIGINT AS e, true AS ok FROM said WHERE len(ws) > 0
+    UNION ALL SELECT doc_id, line_no, t, ws, i + 1, e + p - 1, e + p - 1 + length(ws[i + 1]), p > 0 FROM (SELECT *, instr(substr(t, e + 1), ws[i + 1]) AS p FROM walk WHERE i < len(ws) AND ok)),
+  lost AS (SELECT doc_id, line_no FROM walk WHERE NOT ok),
+  spot AS (SELECT doc_id, line_no, t, ws, i - 1 AS k, s, e FROM walk WHERE i > 0 AND (doc_id, line_no) NOT IN (SELECT (doc_id, line_no) FROM lost))"""
+
+
 def oracle_sql() -> dict[str, str]:
     chunk = "WITH " + _chunk_sql(*S.CHUNK)
     w = "WITH " + _facts_sql()
@@ -274,6 +283,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT doc_id, start_char, start_byte, CASE role WHEN 'table' THEN 30 ELSE 20 END, CASE role WHEN 'table' THEN 'table:' ELSE 'layout:' END || span_id || ':start', CASE role WHEN 'table' THEN 'table_start' ELSE 'layout_start' END, 1 FROM b
             UNION ALL SELECT doc_id, end_char, end_byte, CASE role WHEN 'table' THEN 30 ELSE 20 END, CASE role WHEN 'table' THEN 'table:' ELSE 'layout:' END || span_id || ':end', CASE role WHEN 'table' THEN 'table_end' ELSE 'layout_end' END, 1 FROM b)
           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_offset, byte_offset, priority, boundary_id) - 1 AS rank FROM e""",
+        "word_alignment": ALIGN + """ SELECT doc_id, line_no, k::BIGINT AS word_index, s AS start_char, e AS end_char, strlen(substr(t, 1, s)) AS start_byte, strlen(substr(t, 1, e)) AS end_byte FROM spot
+          UNION ALL SELECT doc_id, line_no, NULL, NULL, NULL, NULL, NULL FROM lost""",
+        "cell_alignment": ALIGN + """ SELECT doc_id, line_no, (k // 3)::BIGINT AS row_index, (k % 3)::BIGINT AS column_index, s AS start_char, e AS end_char, CASE WHEN k < 3 THEN '' ELSE ws[k % 3 + 1] END AS headers FROM spot
+          UNION ALL SELECT doc_id, line_no, NULL, NULL, NULL, NULL, NULL FROM lost""",
         "page_join": f"""WITH p AS (SELECT conv_id AS doc_id, turn, {TEXT} AS t, row_number() OVER w AS page_number, coalesce(sum(length({TEXT}) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char, coalesce(sum(strlen({TEXT}) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte
             FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, {TEXT})), h AS (SELECT doc_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY page_number)) AS text_sha256 FROM p GROUP BY doc_id)
           SELECT doc_id, text_sha256, page_number, start_char, start_char + length(t) AS end_char, start_byte, start_byte + strlen(t) AS end_byte FROM p JOIN h USING (doc_id)""",

@@ -41,6 +41,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(_t(spark, d, "documents"), "doc_id")
 
 
+def _spread(f):
+    return lambda spark, d: f(_texts(spark, d))
+
+
 def _facts(f):
     """Facts of whole documents, read once."""
     return lambda spark, d: f(S.scored(X.propose(_texts(spark, d))))
@@ -248,6 +252,19 @@ def _line_blocks(docs: DataFrame) -> DataFrame:
     return part("layout", "span_id", F.col("s.role").alias("role")).unionByName(part("tables", "table_id", F.lit("table").alias("role")))
 
 
+def _word_alignment(docs: DataFrame) -> DataFrame:
+    """A row a word; a page whose words were not all found has one row without places."""
+    x = S.worded(docs).select("doc_id", "line_no", L.aligned_words()("text", "words").alias("spans"))
+    return x.select("doc_id", "line_no", F.posexplode_outer("spans").alias("at", "s")).select("doc_id", "line_no", F.col("at").cast("long").alias("word_index"), "s.*")
+
+
+def _cell_alignment(docs: DataFrame) -> DataFrame:
+    x = S.celled(docs).select("doc_id", "line_no", L.aligned_cells()("text", "cells").alias("cells"))
+    x = x.select("doc_id", "line_no", F.explode_outer("cells").alias("c"))
+    at = [F.col(f"c.{n}").cast("long").alias(n) for n in ("row_index", "column_index", "start_char", "end_char")]
+    return x.select("doc_id", "line_no", *at, F.array_join("c.header_labels", ",").alias("headers"))
+
+
 def _chains(f):
     """Stored chains of the users' events, and the same with changes; both are read more than once."""
 
@@ -273,6 +290,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chunk_boundaries": _docs(lambda x: L.boundaries(L.line_layout(x))),
         "layout_errors": _docs(lambda x: L.layout_errors(L.line_layout(x)).select("doc_id", F.array_join("errors", ",").alias("errors"))),
         "packed_chunks": _shipped(lambda s, d: L.packed_chunks(L.line_layout(_t(s, d, "documents")), 200)),
+        "word_alignment": _spread(_word_alignment),
+        "cell_alignment": _spread(_cell_alignment),
         "page_join": _page_join,
         "page_segments": _segments,
         "boundary_contiguity": lambda s, d: V.contiguity(_segments(s, d).select("doc_id", "start_char", "end_char")),

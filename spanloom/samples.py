@@ -221,3 +221,20 @@ def replies(docs: DataFrame) -> DataFrame:
     for name, letter in (("I", "c"), ("J", "d")):
         payload = F.replace(payload, F.lit(name), F.concat(F.lit(letter), F.col("doc_id").cast("string")))
     return docs.select("doc_id", payload.alias("payload"))
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    """Lines as pages with the words a reader of pages would give: two of three, in their order; of some
+    lines a last one that stands nowhere. Lines without words have no row."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "text"))
+    ws = F.filter(F.filter(F.split("text", " ", -1), lambda w: w != ""), lambda w, i: i % 3 != 2)
+    strange = (F.pmod("doc_id", F.lit(7)) == 5) & (F.col("line_no") % 3 == 1)
+    words = F.when(strange, F.concat(ws, F.array(F.lit("zqzq9")))).otherwise(ws)
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text", words.alias("words")).where("size(words) > 0")
+
+
+def celled(docs: DataFrame) -> DataFrame:
+    """The same words as cells of tables of three columns."""
+    last = F.floor((F.size("words") - 1) / 3).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("words", k * 3 + 1, F.lit(3)))
+    return worded(docs).withColumn("cells", rows).drop("words")
