@@ -227,6 +227,23 @@ ALIGN = f"""WITH RECURSIVE line AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS t
   spot AS (SELECT doc_id, line_no, t, ws, i - 1 AS k, s, e FROM walk WHERE i > 0 AND (doc_id, line_no) NOT IN (SELECT (doc_id, line_no) FROM lost))"""
 
 
+def _rounds_sql(w: str) -> str:
+    """Askings and replies; then attempt after attempt as a recursion, over replies numbered within each."""
+    said = ", ".join(f"({h}, {k}, {t}, {pos}, '{d}', {f"'{fault}'" if fault else 'NULL'})" for h, one in enumerate(S.ROUNDS) for k, t, pos, d, fault in one)
+    most, wait = S.ATTEMPTS, S.PATIENCE
+    return w.replace("WITH ", "WITH RECURSIVE ", 1) + f""", shape(h, attempt, after, pos, decision, fault) AS (VALUES {said}),
+      ask AS (SELECT candidate_id, doc_id * 1000 AS "at" FROM facts),
+      reply AS (SELECT CASE WHEN ordinal % 11 = 7 THEN 'unknown-' || candidate_id ELSE candidate_id END AS candidate_id, attempt, doc_id * 1000 + after AS "at", pos, decision, CASE WHEN decision = 'reject' THEN 'critic_rejected' END AS code, fault
+        FROM facts JOIN shape ON h = (doc_id * 3 + ordinal) % {len(S.ROUNDS)}),
+      one AS (SELECT * FROM reply WHERE attempt <= {most} QUALIFY row_number() OVER (PARTITION BY candidate_id, attempt ORDER BY "at", fault IS NOT NULL, pos) = 1),
+      try_ AS (SELECT candidate_id, 0 AS k, "at" AS e, '' AS why FROM ask
+        UNION ALL SELECT t.candidate_id, k + 1, CASE WHEN fault IS NOT NULL AND "at" >= e AND "at" <= e + {wait} THEN "at" ELSE e + {wait} END, CASE WHEN fault IS NOT NULL AND "at" >= e AND "at" <= e + {wait} THEN fault ELSE 'missing_reply' END
+          FROM try_ t LEFT JOIN one ON one.candidate_id = t.candidate_id AND attempt = k + 1 WHERE k < {most}),
+      over_ AS (SELECT candidate_id, e, why FROM try_ WHERE k = {most}),
+      good AS (SELECT one.* FROM one JOIN over_ USING (candidate_id) WHERE fault IS NULL AND "at" <= e QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY "at", attempt) = 1),
+      again AS (SELECT t.candidate_id, (k + 1)::BIGINT AS attempt, e AS "at", why AS complaint FROM try_ t LEFT JOIN good g USING (candidate_id) WHERE k BETWEEN 1 AND {most - 1} AND (g."at" IS NULL OR e < g."at"))"""
+
+
 def oracle_sql() -> dict[str, str]:
     chunk = "WITH " + _chunk_sql(*S.CHUNK)
     w = "WITH " + _facts_sql()
@@ -380,6 +397,11 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN placed AND (CASE WHEN seq = 0 THEN previous_hash <> repeat('0', 64) ELSE before > 0 AND NOT met END) THEN 'link_broken' END, CASE WHEN NOT placed THEN 'unplaced' END) AS codes FROM j)
           SELECT * FROM c WHERE codes <> ''""",
         "chain_digests": f"WITH RECURSIVE {CHAIN} SELECT user_id, (seq // 16)::BIGINT AS stretch, count(*) AS n, sha256(string_agg(seq || ':' || payload_hash || ':' || chain_hash, ',' ORDER BY seq, payload_hash, chain_hash)) AS digest FROM x WHERE seq >= 0 GROUP BY 1, 2",
+        "retry_outcomes": _rounds_sql(w) + """, n AS (SELECT candidate_id, count(*) AS n_replies FROM reply GROUP BY 1), q AS (SELECT candidate_id, count(*) AS n FROM again GROUP BY 1)
+          SELECT a.candidate_id, CASE WHEN g."at" IS NULL THEN 'failed' ELSE 'settled' END AS status, g.attempt::BIGINT AS attempt, g.decision, g.code, 1 + coalesce(q.n, 0) AS n_asked, coalesce(g."at", o.e) AS closed_at, CASE WHEN g."at" IS NULL THEN o.why END AS fault, coalesce(n_replies, 0) AS n_replies
+          FROM ask a JOIN over_ o USING (candidate_id) LEFT JOIN good g USING (candidate_id) LEFT JOIN n USING (candidate_id) LEFT JOIN q USING (candidate_id)
+          UNION ALL SELECT candidate_id, 'unknown_id', NULL, NULL, NULL, NULL, NULL, NULL, n_replies FROM n WHERE candidate_id NOT IN (SELECT candidate_id FROM ask)""",
+        "retry_requests": _rounds_sql(w) + " SELECT * FROM again",
         "chain_divergence": f"""WITH RECURSIVE {CHAIN}, u AS (SELECT user_id, seq, payload_hash, chain_hash, 1 AS side FROM stored UNION ALL SELECT user_id, seq, payload_hash, chain_hash, -1 FROM x WHERE seq >= 0),
           g AS (SELECT user_id, seq, sum(side) AS more FROM u GROUP BY user_id, seq, payload_hash, chain_hash HAVING sum(side) <> 0)
           SELECT user_id, min(seq) AS first_seq, sum(greatest(more, 0))::BIGINT AS n_only, sum(greatest(-more, 0))::BIGINT AS n_replica_only FROM g GROUP BY user_id""",

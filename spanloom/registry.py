@@ -19,6 +19,7 @@ from .operators import occurrences as O
 from .operators import policies as P
 from .operators import reconcile as M
 from .operators import review as R
+from .operators import rounds as N
 from .operators import verdicts as V
 from .session import ship
 from .sources import html
@@ -327,6 +328,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drop_summary": _reviewed(lambda c, r: R.drop_summary(_rejected(c, r))),
         "rejected_candidates": _reviewed(lambda c, r: R.rejected_candidates(_rejected(c, r))),
         "verdict_complaints": _checked(lambda c: V.complaints(c, S.verdicts(c))),
+        "retry_outcomes": _written(lambda f: N.outcomes(S.asked_of(f), S.answers_of(f), S.ATTEMPTS, S.PATIENCE)),
+        "retry_requests": _written(lambda f: N.requests(S.asked_of(f), S.answers_of(f), S.ATTEMPTS, S.PATIENCE)),
         "mirrored_reports": _reviewed(V.mirrored),
         "candidate_fates": _reviewed(_fates),
         "fact_confidence": _reviewed(V.fact_confidence),

@@ -238,3 +238,42 @@ def celled(docs: DataFrame) -> DataFrame:
     last = F.floor((F.size("words") - 1) / 3).cast("int")
     rows = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("words", k * 3 + 1, F.lit(3)))
     return worded(docs).withColumn("cells", rows).drop("words")
+
+
+#: Replies of candidates by row: attempt, milliseconds after the asking (an attempt has 100), pos, decision, fault.
+ROUNDS = (
+    (),
+    ((1, 5, 0, "accept", None),),
+    ((1, 5, 0, "reject", "no_code"), (2, 9, 0, "accept", None)),
+    ((1, 5, 0, "maybe", "unknown_decision"), (1, 6, 0, "accept", None)),
+    ((1, 200, 0, "accept", None),),
+    ((1, 400, 0, "accept", None), (3, 301, 0, "accept", None)),
+    ((1, 5, 0, "maybe", "unknown_decision"), (2, 10, 0, "reject", "no_code"), (3, 15, 0, "reject", "unknown_code"), (3, 16, 0, "accept", None)),
+    ((1, 5, 0, "maybe", "unknown_decision"), (3, 7, 0, "correct", None)),
+    ((1, 5, 0, "maybe", "unknown_decision"), (2, 3, 0, "reject", "no_code"), (2, 50, 0, "accept", None)),
+    ((4, 5, 0, "accept", None),),
+    ((1, 5, 1, "accept", None), (1, 5, 0, "reject", None), (1, 5, 0, "reject", None)),
+    ((2, 120, 0, "reject", "no_code"), (1, 150, 0, "accept", None)),
+    ((1, 100, 0, "reject", "no_code"), (2, 200, 0, "accept", None)),
+)
+ATTEMPTS, PATIENCE = 3, 100
+
+
+def asked_of(facts: DataFrame) -> DataFrame:
+    return facts.select("candidate_id", (F.col("doc_id") * 1000).alias("at"))
+
+
+def answers_of(facts: DataFrame) -> DataFrame:
+    """Replies of every kind, and of ids that nobody asked."""
+    s = lambda x: F.lit(x).cast("string")
+    reply = lambda k, at, pos, said, fault: F.struct(F.lit(k).alias("attempt"), F.lit(at).alias("after"), F.lit(pos).alias("pos"), s(said).alias("decision"), s(fault).alias("fault"))
+    none = F.array().cast("array<struct<attempt: int, after: int, pos: int, decision: string, fault: string>>")
+    shapes = [F.array(*[reply(*x) for x in one]) if one else none for one in ROUNDS]
+    h = F.pmod(F.col("doc_id") * 3 + F.col("ordinal"), F.lit(len(ROUNDS)))
+    of = none
+    for i, shape in enumerate(shapes):
+        of = F.when(h == i, shape).otherwise(of)
+    name = F.when(F.col("ordinal") % 11 == 7, F.concat(F.lit("unknown-"), "candidate_id")).otherwise(F.col("candidate_id"))
+    each = facts.select(name.alias("candidate_id"), "doc_id", F.explode(of).alias("x"))
+    code = F.when(F.col("x.decision") == "reject", "critic_rejected")
+    return each.select("candidate_id", "x.attempt", (F.col("doc_id") * 1000 + F.col("x.after")).alias("at"), "x.pos", "x.decision", code.alias("code"), "x.fault")
