@@ -62,8 +62,8 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), "page_map", F.flatten(F.transform("page_map", segments)).alias("source_map"))
 
 
-#: Parts that are looked for in one stretch of the text.
-BLOCK = 256
+#: Parts that are looked for in one stretch of the text, at least, and stretches of a text, at most.
+BLOCK, BLOCKS = 16, 1024
 
 
 def aligned(text: Column, parts: Column) -> Column:
@@ -94,6 +94,7 @@ def aligned(text: Column, parts: Column) -> Column:
         return F.aggregate(words, start, step)
 
     def fold(ws: Column) -> Column:
+        size = F.greatest(F.lit(BLOCK), F.ceil(F.size(ws) / BLOCKS).cast("int"))
         start = F.struct(text.alias("rest"), zero.alias("chars"), zero.alias("octets"), F.array().cast(f"array<{places}>").alias("out"), F.lit(True).alias("ok"))
 
         def step(s: Column, k: Column) -> Column:
@@ -103,10 +104,10 @@ def aligned(text: Column, parts: Column) -> Column:
                 lost = F.struct(*[s[n].alias(n) for n in ("rest", "chars", "octets", "out")], F.lit(False).alias("ok"))
                 return F.when(r["ok"], more).otherwise(lost)
 
-            words = F.slice(ws, k * BLOCK + 1, F.lit(BLOCK))
+            words = F.slice(ws, k * size + 1, size)
             return let(F.when(s["ok"], block(s["rest"], words, s["chars"], s["octets"])), go_on)
 
-        last = F.floor((F.greatest(F.size(ws), F.lit(1)) - 1) / BLOCK).cast("int")
+        last = F.floor((F.greatest(F.size(ws), F.lit(1)) - 1) / size).cast("int")
         return F.aggregate(F.sequence(F.lit(0), last), start, step)
 
     return let(let(parts, fold), lambda r: F.when(r["ok"], F.flatten(r["out"])))
