@@ -243,8 +243,10 @@ def verifier_reports(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
 def merge_retry(prior: DataFrame, retry: DataFrame, complained: DataFrame, expected: DataFrame) -> DataFrame:
     """A batch after a retry: verdicts complained about are replaced where the retry has one, missing
     ones are added, unknown ids are dropped. All tables have candidate_id."""
+    known = expected.select("candidate_id").distinct()
+    prior = prior.join(known, "candidate_id", "left_semi")
     good = prior.join(complained.select("candidate_id").distinct(), "candidate_id", "left_anti")
-    new = retry.join(expected.select("candidate_id").distinct(), "candidate_id", "left_semi").join(good.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    new = retry.join(known, "candidate_id", "left_semi").join(good.select("candidate_id").distinct(), "candidate_id", "left_anti")
     lost = prior.join(complained.select("candidate_id").distinct(), "candidate_id", "left_semi").join(retry.select("candidate_id").distinct(), "candidate_id", "left_anti")
     return good.unionByName(new).unionByName(lost)
 

@@ -177,7 +177,7 @@ def test_verifier_drops_what_checks_contradict(spark):
 
 def test_retries_and_stage_inputs(spark):
     ids = lambda *x: spark.createDataFrame([(i, n) for i, n in x], "candidate_id string, said string")
-    got = P.merge_retry(ids(("a", "1"), ("b", "1"), ("c", "1")), ids(("b", "2"), ("d", "2"), ("x", "2"), ("a", "2")), ids(("b", ""), ("c", "")), ids(("a", ""), ("b", ""), ("c", ""), ("d", "")))
+    got = P.merge_retry(ids(("a", "1"), ("b", "1"), ("c", "1"), ("y", "1")), ids(("b", "2"), ("d", "2"), ("x", "2"), ("a", "2")), ids(("b", ""), ("c", "")), ids(("a", ""), ("b", ""), ("c", ""), ("d", "")))
     assert sorted((r[0], r[1]) for r in got.collect()) == [("a", "1"), ("b", "2"), ("c", "1"), ("d", "2")]
     c = spark.createDataFrame([("a", 1, "k"), ("b", 2, "k"), ("c", 1, "z"), ("d", 1, "k"), ("d", 1, "k")], "candidate_id string, doc_id long, chunk_id string")
     reports = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("c", True), ("d", False)], "candidate_id string, accepted boolean")
