@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import QUALIFIERS, folded, has_phrase, is_label_field, slice_chars, span_matches, stable_id, tokens, value_supported
+from ..functions.text import QUALIFIERS, folded, is_label_field, slice_chars, spaced, span_matches, stable_id, tokens, value_supported
 
 #: Every code a rejection can have. The last two mark verdicts that never came.
 CODES = (
@@ -37,11 +37,12 @@ def checked(candidates: DataFrame, chunks: DataFrame, plan_fields: DataFrame) ->
 
     A chunk's id names its document, text and place, and a candidate's its chunk and span: rows that
     share one are one. So a table that holds a document twice gives the reports of one, and each
-    candidate gets one report. Both are made distinct by chunk, which is one shuffle for the join, too.
+    candidate gets one report. Both are made distinct by chunk, which is one shuffle for the join, too:
+    candidates before they meet the text, so no sort carries it.
     """
+    own = candidates.repartition("chunk_id").dropDuplicates(["chunk_id", "candidate_id"])
     c = chunks.select("chunk_id", F.col("text").alias("chunk_text"), F.col("start_char").alias("chunk_start"), F.col("start_byte").alias("chunk_byte"))
-    j = approved(candidates, plan_fields).join(c.dropDuplicates(["chunk_id"]), "chunk_id", "left")
-    return with_checks(j.dropDuplicates(["chunk_id", "candidate_id"]))
+    return with_checks(approved(own, plan_fields).join(c.dropDuplicates(["chunk_id"]), "chunk_id", "left"))
 
 
 def with_checks(j: DataFrame) -> DataFrame:
@@ -169,11 +170,12 @@ def correct(c: DataFrame) -> DataFrame:
     relabelled = (F.col("c_category") != F.col("category")) | (F.col("c_field") != F.col("field"))
     wider = (F.col("c_start_char") < F.col("start_char")) | (F.col("c_end_char") > F.col("end_char")) | (F.col("c_start_byte") < F.col("start_byte")) | (F.col("c_end_byte") > F.col("end_byte"))
     grounded = is_label_field(F.col("c_field")) | value_supported(F.col("c_value"), F.col("c_source_text"))
+    # Words are taken once, not once a phrase.
+    j = j.withColumn("span_words", spaced(F.col("c_source_text"))).withColumn("value_words", spaced(F.col("c_value")))
     lost = F.lit(False)
-    span_words, value_words = tokens(F.col("c_source_text")), tokens(F.col("c_value"))
     for phrase in LOSABLE:
-        lost = lost | (has_phrase(span_words, phrase) & ~has_phrase(value_words, phrase))
-    lost = lost & (F.col("c_value") != F.col("value"))
+        lost = lost | (F.contains("span_words", F.lit(f" {phrase} ")) & ~F.contains("value_words", F.lit(f" {phrase} ")))
+    lost = (F.col("c_value") != F.col("value")) & lost
     # The plan is asked about the slot the correction names; a slot it keeps was asked about before.
     slot_ok = F.when(relabelled, F.coalesce("new_slot_ok", F.lit(False))).otherwise(F.col("field_ok")) if "new_slot_ok" in c.columns else F.when(relabelled, F.lit(False)).otherwise(F.col("field_ok"))
     found = F.array_compact(F.array(
@@ -185,7 +187,7 @@ def correct(c: DataFrame) -> DataFrame:
     only = lambda name: (F.size("faults") == 1) & F.array_contains("faults", name)
     keep = F.col("valid") & ~F.col("missing") & F.when(F.col("built"), relabelled | only("span_expanded")).otherwise(only("span_text_mismatch"))
     outcome = F.when(F.coalesce(keep, F.lit(False)), "preserved").when(F.size("faults") > 0, "rejected").otherwise("corrected")
-    return j.withColumn("outcome", outcome)
+    return j.withColumn("outcome", outcome).drop("span_words", "value_words")
 
 
 #: Fault of a correction -> code of the rejection.

@@ -262,11 +262,16 @@ def stage_completeness(facts: DataFrame, rejected: DataFrame, kept: DataFrame) -
 
 def drop_summary(rejections: DataFrame) -> DataFrame:
     """Reasons by stage and code, and rejections of the run: two totals on purpose. ``rejections``
-    has stage, candidate_id and codes (array)."""
-    each = rejections.select("stage", F.explode("codes").alias("code")).groupBy("stage", "code").agg(F.count("*").alias("n"))
-    stages = each.groupBy("stage").agg(F.sum("n").alias("n")).select("stage", F.lit(None).cast("string").alias("code"), "n")
-    total = rejections.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("stage"), F.lit(None).cast("string").alias("code"), "n")
-    return each.unionByName(stages).unionByName(total)
+    has stage, candidate_id and codes (array), and is read once: each gives a row a code and level."""
+    none = F.lit(None).cast("string")
+    level = lambda k, stage, code: F.struct(F.lit(k).alias("level"), stage.alias("stage"), code.alias("code"))
+    codes = F.coalesce("codes", F.array().cast("array<string>"))
+    by_code = F.transform(codes, lambda c: level(0, F.col("stage"), c))
+    by_stage = F.transform(codes, lambda c: level(1, F.col("stage"), none))
+    each = rejections.select(F.explode(F.concat(by_code, by_stage, F.array(level(2, none, none)))).alias("x"), F.lit(1).cast("long").alias("one"))
+    # The total is there without any rejection, too.
+    least = rejections.sparkSession.range(1).select(level(2, none, none).alias("x"), F.lit(0).cast("long").alias("one"))
+    return each.unionByName(least).groupBy("x").agg(F.sum("one").alias("n")).select("x.stage", "x.code", "n")
 
 
 def rejected_candidates(rejections: DataFrame) -> DataFrame:

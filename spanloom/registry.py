@@ -66,10 +66,10 @@ def _written(f):
 
 
 def _checked(f):
-    """Chunk candidates with their checks, written once."""
+    """Chunk candidates with their checks, written once, as are the chunks, which they meet again."""
 
     def run(spark, d):
-        chunks = S.chunked(_texts(spark, d))
+        chunks = materialize(S.chunked(_texts(spark, d)), "chunks")
         c = S.scored(X.propose(chunks)).withColumn("source_text", F.col("value"))
         return f(materialize(P.checked(c, chunks, S.plan_fields(spark)), "candidates"))
 
@@ -116,9 +116,10 @@ def _diff(f):
 
 
 def _reviewed(f):
+    """Reports written once: a filter on their outcome would else be unfolded into every check it follows from."""
+
     def run(c):
-        reported = P.critic_reports(c, S.verdicts(c))
-        return f(c, reported)
+        return f(c, materialize(P.critic_reports(c, S.verdicts(c)), "reports"))
 
     return _checked(run)
 
