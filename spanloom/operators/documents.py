@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, running_sums
-from ..functions.text import SPACE, stable_id
+from ..functions.text import BLANKS, SPACE, stable_id
 
 BLANK = "[ \\t\\n\\r\\f\\x0B]"
 #: Tokens of the default tokenizer: a word with the blanks before it, or the blanks at the end.
@@ -135,33 +135,49 @@ def sections(docs: DataFrame, heading_words: int = 8) -> DataFrame:
 #: Words after which a full stop ends no sentence.
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st")
 #: A sentence ends at . ! or ? before white space or the end, unless a title or initials stand
-#: before it or a small letter follows, and at a blank line.
+#: before it or a small letter follows, and at a blank line. What stands before is looked at last.
 TERMINAL = (
-    f"(?U)(?<!(?:^|[ \\n])(?:{'|'.join(''.join(f'[{c.upper()}{c}]' for c in t) for t in TITLES)}))(?<![A-Z][.][A-Z])([.!?])"
-    f"(?={SPACE}|\\z)(?!{SPACE}*\\p{{Ll}})"
+    f"(?U)([.!?])(?={SPACE}|\\z)(?!{SPACE}*\\p{{Ll}})(?<!(?:^|[ \\n])(?:{'|'.join(''.join(f'[{c.upper()}{c}]' for c in t) for t in TITLES)})[.!?])"
+    "(?<![A-Z][.][A-Z][.!?])"
 )
 
 
+def sentence_pieces(text: Column) -> Column:
+    """The text cut behind the ends of sentences and before blank lines: joined, they are the text."""
+    plain = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\u0002")).otherwise(text)
+    return F.split(F.replace(F.regexp_replace(plain, TERMINAL, f"$1{MARK}"), F.lit("\n\n"), F.lit(f"{MARK}\n\n")), MARK, -1)
+
+
+def sentence_in(piece: Column, made) -> Column:
+    """``made`` (the piece without white space before it, and at both ends) if the piece is a sentence, else
+    null: headings and pieces without a letter or digit are none."""
+
+    def bare(left: Column) -> Column:
+        def kept(b: Column) -> Column:
+            return F.when((b != "") & ~b.startswith("#") & b.rlike("[\\p{L}\\p{N}]"), made(left, b))
+
+        return let(F.rtrim(left, F.lit(BLANKS)), kept)
+
+    return let(F.ltrim(piece, F.lit(BLANKS)), bare)
+
+
 def sentence_array(text: Column) -> Column:
-    """array<struct<start_char, end_char>> of a text's sentences; headings and lines without a
-    letter or digit are none. Marks are put at the ends, and the pieces' lengths give the offsets."""
-    plain = F.translate(text, MARK, "\u0002")
-    marked = F.regexp_replace(F.regexp_replace(plain, TERMINAL, f"$1{MARK}"), "\n\n", f"{MARK}\n\n")
+    """array<struct<start_char, end_char>> of a text's sentences; the pieces' lengths give the offsets."""
 
     def spans(ps: Column) -> Column:
         def placed(at: Column) -> Column:
             def one(p: Column, i: Column) -> Column:
-                left = F.length(p) - F.length(F.regexp_replace(p, f"(?U)^{SPACE}+", ""))
-                bare = F.regexp_replace(p, f"(?U)^{SPACE}+|{SPACE}+$", "")
-                start = F.get(at, i) + left
-                keep = (bare != "") & ~bare.startswith("#") & bare.rlike("[\\p{L}\\p{N}]")
-                return F.when(keep, F.struct(start.alias("start_char"), (start + F.length(bare)).alias("end_char")))
+                def place(left: Column, bare: Column) -> Column:
+                    start = F.get(at, i) + F.length(p) - F.length(left)
+                    return F.struct(start.alias("start_char"), (start + F.length(bare)).alias("end_char"))
+
+                return sentence_in(p, place)
 
             return F.array_compact(F.transform(ps, one))
 
         return let(running_sums(F.transform(ps, F.length)), placed)
 
-    return let(F.split(marked, MARK, -1), spans)
+    return let(sentence_pieces(text), spans)
 
 
 def sentences(docs: DataFrame) -> DataFrame:

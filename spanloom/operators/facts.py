@@ -113,6 +113,11 @@ def _found(text: str, lens: tuple) -> str:
     return f"coalesce(CASE WHEN rlike({text}, {_literal(lens[-1])}) THEN {placed} END, cast(array() as {FOUND}))"
 
 
+def matches(text: str, lenses) -> str:
+    """All matches of the lenses in a text, one array, as SQL text."""
+    return f"concat({', '.join(_found(text, x) for x in lenses)})"
+
+
 def propose(docs: DataFrame, lenses=LENSES, confidence: float | Column = 1.0) -> DataFrame:
     """Candidates of every lens with exact character and byte spans.
 
@@ -125,7 +130,7 @@ def propose(docs: DataFrame, lenses=LENSES, confidence: float | Column = 1.0) ->
     chunked = "chunk_id" in docs.columns
     zero = F.lit(0).cast("long")
     # SQL text: as columns, call by call, so wide an expression takes a second to build.
-    found = F.expr(f"concat({', '.join(_found("coalesce(text, '')", x) for x in lenses)})")
+    found = F.expr(matches("coalesce(text, '')", lenses))
     at = (F.col("start_char"), F.col("start_byte")) if chunked else (zero, zero)
     keep = ["chunk_id"] if chunked else []
     rows = docs.select("doc_id", "source", *keep, text_key().alias("text_key"), at[0].alias("_c"), at[1].alias("_b"), F.explode(found).alias("m"))

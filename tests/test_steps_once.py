@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import arrays as A
 from spanloom.functions import text as T
+from spanloom.operators import clauses as K
 from spanloom.operators import policies as P
 from spanloom.operators import review as R
 
@@ -41,3 +43,20 @@ def test_phrases_are_looked_for_in_words_taken_once(spark):
     got = x.select(T.has_qualifier(T.tokens(F.col("v"))).alias("q"))
     assert [r["q"] for r in got.collect()] == [True, False, True, False, None, True]
     assert plan(got).count("regexp_extract_all") == 1
+
+
+def test_sentence_lenses_shuffle_no_text(spark):
+    docs = spark.createDataFrame([(1, "# A heading shall not. If it must, unless not, it stays.\n\nIf so. Mr. Bb must go, if asked.", "s")] * 2 + [(2, "If", None), (None, "If so.", "s")], "doc_id long, text string, source string")
+    got = K.clauses(docs, "condition")
+    assert sorted((r["doc_id"], r["ordinal"], r["value"], r["start_char"]) for r in got.collect()) == [(1, 0, "If it must", 23), (1, 1, "unless not", 35), (1, 2, "If so.", 58), (1, 3, "if asked.", 81), (2, 0, "If", 0)]
+    for df in (got, K.relations(docs)):
+        p = plan(df)
+        assert "Join" not in p and p.count("regexp_replace(") > 0 and not any("Aggregate" in x and "text#" in x for x in p.splitlines())
+        # No filter repeats the search for cues or entities.
+        assert not any(x.strip(" :+-").startswith("Filter") and "size(" in x for x in p.splitlines())
+
+
+def test_sums_of_long_arrays(spark):
+    x = spark.range(1).select(A.running_sums(F.sequence(F.lit(1), F.lit(500_000))).alias("s"), F.expr(A.running_sums_sql("sequence(1, 300)")).alias("t"))
+    r = x.select(F.size("s").alias("n"), F.element_at("s", -1).alias("last"), "t").first()
+    assert (r["n"], r["last"]) == (500_000, 499_999 * 250_000) and r["t"] == [k * (k + 1) // 2 for k in range(300)]
