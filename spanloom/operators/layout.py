@@ -10,10 +10,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.arrays import let, running_sums
 from ..functions.text import stable_id
@@ -351,6 +350,8 @@ def pack_blocks(text: str, layout: list[dict], tables: list[dict], window: int,
     return out
 
 
+#: Chunks that are held as Python objects before they are handed on.
+FEW = 1024
 PACKED = (
     "doc_id bigint, chunk_index bigint, kind string, split_reason string, start_char bigint, end_char bigint, start_byte bigint, end_byte bigint, "
     "tokens bigint, layout_span_ids array<string>, table_ids array<string>, pages array<bigint>, section string, section_id string, error string"
@@ -361,29 +362,43 @@ def packed_chunks(docs: DataFrame, window: int = 1200, whole_tables: bool = True
     """Boundary-aware chunks of documents with a layout, with pages, byte offsets, and the last
     heading's text and span id carried forward. A document that cannot be packed gives an error row."""
 
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PACKED.split(", ")])
+
+    def packed_rows(doc, text, layout, tables, pages):
+        try:
+            packed = pack_blocks(text, layout, tables, window, whole_tables)
+        except ValueError as e:
+            return [(doc, 0, *[None] * 12, str(e))]
+        heads = {s["span_id"]: text[s["start_char"] : s["end_char"]].strip() for s in layout if s["role"] == "heading"}
+        out, tokens, char, byte, section, section_id = [], _Tokens(text), 0, 0, None, None
+        for k, (a, b, kind, spans, ids, why) in enumerate(packed):
+            byte += len(text[char:a].encode())
+            end = byte + len(text[a:b].encode())
+            opens = next((s for s in spans if s in heads), None)
+            if kind == "section" and opens:
+                section, section_id = heads[opens], opens
+            on = [p["page_number"] for p in pages if a < p["end_char"] and b > p["start_char"]]
+            out.append((doc, k, kind, why, a, b, byte, end, tokens.count(a, b), spans, ids, on, section, section_id, None))
+            char, byte = b, end
+        return out
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, text, layout, tables, pages in zip(pdf.doc_id, pdf.text, pdf.layout, pdf.tables, pdf.page_map):
-                try:
-                    packed = pack_blocks(text, list(layout), list(tables), window, whole_tables)
-                except ValueError as e:
-                    out.append((doc, 0, None, None, None, None, None, None, None, None, None, None, None, None, str(e)))
-                    continue
-                heads = {s["span_id"]: text[s["start_char"] : s["end_char"]].strip() for s in layout if s["role"] == "heading"}
-                tokens, char, byte, section, section_id = _Tokens(text), 0, 0, None, None
-                for k, (a, b, kind, spans, ids, why) in enumerate(packed):
-                    byte += len(text[char:a].encode())
-                    end = byte + len(text[a:b].encode())
-                    opens = next((s for s in spans if s in heads), None)
-                    if kind == "section" and opens:
-                        section, section_id = heads[opens], opens
-                    on = [p["page_number"] for p in pages if a < p["end_char"] and b > p["start_char"]]
-                    out.append((doc, k, kind, why, a, b, byte, end, tokens.count(a, b), spans, ids, on, section, section_id, None))
-                    char, byte = b, end
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")]).astype({c: "Int64" for c in ("chunk_index", "start_char", "end_char", "start_byte", "end_byte", "tokens")})
-
-    made = docs.where("text <> ''").select("doc_id", "text", "layout", "tables", "page_map").mapInPandas(run, PACKED)
+        # A batch holds thousands of documents; only one of them is Python objects at a time.
+        for batch in batches:
+            cols, rows = [batch.column(n) for n in ("doc_id", "text", "layout", "tables", "page_map")], []
+            for i in range(batch.num_rows):
+                rows += packed_rows(*[c[i].as_py() for c in cols])
+                if len(rows) >= FEW:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
+
+    made = docs.where("text <> ''").select("doc_id", "text", "layout", "tables", "page_map").mapInArrow(run, PACKED)
     return made.withColumn("chunk_id", stable_id("chunk-", F.col("doc_id"), F.col("chunk_index"), F.col("start_byte"), F.col("end_byte")))
 
 
