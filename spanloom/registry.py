@@ -185,9 +185,11 @@ def _triage(labels, facts, matched):
 
 
 def _claims(f):
+    """Claims written once: they are counted by chunk before they meet it, and the lenses are dear."""
+
     def run(spark, d):
         chunks = materialize(S.chunked(S.headed(_texts(spark, d))), "chunks")
-        return f(S.claims_of(S.scored(X.propose(chunks))), chunks)
+        return f(materialize(S.claims_of(S.scored(X.propose(chunks))), "claims"), chunks)
 
     return run
 
