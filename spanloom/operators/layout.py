@@ -61,55 +61,121 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), "page_map", F.flatten(F.transform("page_map", segments)).alias("source_map"))
 
 
-#: Parts that are looked for in one stretch of the text, at least, and stretches of a text, at most.
-BLOCK, BLOCKS = 16, 1024
-
-
-def aligned(text: Column, parts: Column) -> Column:
-    """Places of the parts in the text (the four offsets), each looked for behind the one before; null
-    if one is missing, empty or null. No parts give an empty array, a null text or array counts as empty.
-
-    A fold over blocks of parts drops the text behind it after each block, so looking for a part never
-    starts at the text's beginning. What is left of the text is copied once a block, as bytes.
+#: Parts that are looked for by one pattern, at least and at most, and patterns of a text, if the most allows.
+BLOCK, MOST, BLOCKS = 32, 256, 1024
+_GROUPS = "\0".join(f"${i + 1}" for i in range(MOST))
+
+
+def _tools(text: Column, parts: Column) -> dict[str, Column]:
+    """What :func:`_blocks` takes: the text's bytes, the parts as they stand in a pattern (null if one is
+    empty or null), a mark that occurs nowhere in the text, and how many parts a block has."""
+    quoted = F.transform(parts, lambda w: F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")))
+    quoted = F.when(F.contains(F.array_join(parts, " "), F.lit("\\E")), quoted).otherwise(parts)
+    sound = ~F.coalesce(F.array_contains(parts, ""), F.lit(True))
+    # One zero more than the text's longest run of them; the ones keep its own zeros away.
+    run = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("\\x00+"), F.lit(0)), F.length))
+    mark = F.when(F.contains(text, F.lit("\0")), F.concat(F.lit("\1"), F.repeat(F.lit("\0"), run + 1), F.lit("\1"))).otherwise(F.lit("\0"))
+    size = F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.ceil(F.size(parts) / BLOCKS).cast("int")))
+    return {"octets": text.cast("binary"), "quoted": F.when(sound, quoted), "mark": mark, "size": size}
+
+
+def _blocks(octets: Column, quoted: Column, mark: Column, size: Column) -> Column:
+    """Blocks of parts in the text, each with the text before it (``chars``, ``octets``) and ``marked``: a mark, then
+    the text up to the end of each part, with a mark between. Null if a part is missing, empty or null.
+
+    One pattern finds the parts of a block: a group a part, the shortest stretch that ends with it, which is
+    never taken back. It is tried on the text close by, and on all that is left if that does not hold them.
     """
-    text, parts = F.coalesce(text, F.lit("")), F.coalesce(parts, F.array().cast("array<string>"))
-    places = f"array<struct<{RANGE}>>"
-    zero = F.lit(0).cast("long")
+    count = lambda k: F.least(size, F.size(quoted) - k * size)
+    block = lambda marked, n, chars, by: F.struct(marked.alias("marked"), n.alias("n"), chars.alias("chars"), by.alias("octets"))
+
+    def found(by: Column, k: Column) -> Column:
+        pattern = F.concat(F.lit("(?s)\\A((?>.*?\\Q"), F.array_join(F.slice(quoted, k * size + 1, size), "\\E))((?>.*?\\Q"), F.lit("\\E)).*"))
+        groups = F.concat(mark, F.replace(F.call_function("substring_index", F.lit(_GROUPS), F.lit("\0"), count(k)), F.lit("\0"), mark))
+        close = F.greatest(size * 24, F.floor(F.octet_length(octets) / BLOCKS).cast("int"))
+        behind = lambda n: F.call_function("substring", octets, (by + 1).cast("int"), n).cast("string")
+        left = behind(F.lit(2**31 - 1))
+        # The cut may fall into a character, so the last one goes.
+        near = F.when(F.octet_length(octets) - by > close, let(behind(close), lambda t: F.left(t, F.length(t) - 1))).otherwise(left)
+        return let(F.regexp_replace(near, pattern, groups), lambda t: F.when(F.startswith(t, mark), t).otherwise(F.regexp_replace(left, pattern, groups)))
+
+    def step(out: Column, k: Column) -> Column:
+        b = F.element_at(out, -1)
+        by = b["octets"] + F.octet_length(b["marked"]) - b["n"] * F.octet_length(mark)
+        chars = b["chars"] + F.length(b["marked"]) - b["n"] * F.length(mark)
+        return F.when(F.startswith(b["marked"], mark), F.concat(out, F.array(block(found(by, k), count(k), chars, by)))).otherwise(out)
 
-    def block(rest: Column, words: Column, chars: Column, octets: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), zero.alias("by"), F.array().cast(places).alias("out"), F.lit(True).alias("ok"))
+    zero = F.lit(0).cast("long")
+    first = F.array(block(mark, F.lit(1), zero, zero)).cast("array<struct<marked: string, n: int, chars: bigint, octets: bigint>>")
+    last = F.floor((F.size(quoted) - 1) / size).cast("int")
+    ended = lambda out: F.when(F.startswith(F.element_at(out, -1)["marked"], mark), F.slice(out, F.lit(2), F.size(out)))
+    return F.when(F.size(quoted) > 0, F.aggregate(F.sequence(F.lit(0), last), first, step, ended))
 
-        def step(s: Column, w: Column) -> Column:
-            def put(p: Column) -> Column:
-                first = s["by"] + F.octet_length(F.substring(rest, s["at"] + 1, p - 1 - s["at"]))
-                end, last = p - 1 + F.length(w), first + F.octet_length(w)
-                place = F.struct((chars + p - 1).alias("start_char"), (chars + end).alias("end_char"), (octets + first).alias("start_byte"), (octets + last).alias("end_byte"))
-                found = F.struct(end.cast("int").alias("at"), last.alias("by"), F.concat(s["out"], F.array(place)).alias("out"), F.lit(True).alias("ok"))
-                lost = F.struct(s["at"].alias("at"), s["by"].alias("by"), s["out"].alias("out"), F.lit(False).alias("ok"))
-                return F.when((p > 0) & (F.length(w) > 0), found).otherwise(lost)
 
-            return let(F.coalesce(F.when(s["ok"], F.call_function("locate", w, rest, s["at"] + 1)), F.lit(0)), put)
+def _place(b: Column, upto: Column, part: Column, i: Column, mark: Column, chars=F.length) -> list[Column]:
+    """The four offsets of a block's part ``i``, where ``upto`` is the block's marked text to its end."""
+    end = b["chars"] + chars(upto) - (i + 1) * F.length(mark)
+    last = b["octets"] + F.octet_length(upto) - (i + 1) * F.octet_length(mark)
+    return [(end - chars(part)).alias("start_char"), end.alias("end_char"), (last - F.octet_length(part)).alias("start_byte"), last.alias("end_byte")]
 
-        return F.aggregate(words, start, step)
 
-    def fold(ws: Column) -> Column:
-        size = F.greatest(F.lit(BLOCK), F.ceil(F.size(ws) / BLOCKS).cast("int"))
-        start = F.struct(text.alias("rest"), zero.alias("chars"), zero.alias("octets"), F.array().cast(f"array<{places}>").alias("out"), F.lit(True).alias("ok"))
+def _upto(b: Column, i: Column, mark: Column) -> Column:
+    return F.call_function("substring_index", b["marked"], mark, i + 2)
 
-        def step(s: Column, k: Column) -> Column:
-            def go_on(r: Column) -> Column:
-                rest = F.substring(s["rest"].cast("binary"), (r["by"] + 1).cast("int"), F.lit(2**31 - 1)).cast("string")
-                more = F.struct(rest.alias("rest"), (s["chars"] + r["at"]).alias("chars"), (s["octets"] + r["by"]).alias("octets"), F.concat(s["out"], F.array(r["out"])).alias("out"), F.lit(True).alias("ok"))
-                lost = F.struct(*[s[n].alias(n) for n in ("rest", "chars", "octets", "out")], F.lit(False).alias("ok"))
-                return F.when(r["ok"], more).otherwise(lost)
 
-            words = F.slice(ws, k * size + 1, size)
-            return let(F.when(s["ok"], block(s["rest"], words, s["chars"], s["octets"])), go_on)
+def aligned(text: Column, parts: Column) -> Column:
+    """Places of the parts in the text (the four offsets), each looked for behind the one before; null
+    if one is missing, empty or null. No parts give an empty array, a null text or array counts as empty.
 
-        last = F.floor((F.greatest(F.size(ws), F.lit(1)) - 1) / size).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), last), start, step)
+    Rows of places cost less by :func:`placed`, which leaves the array as soon as the blocks are found.
+    """
+    text, parts = F.coalesce(text, F.lit("")), F.coalesce(parts, F.array().cast("array<string>"))
 
-    return let(let(parts, fold), lambda r: F.when(r["ok"], F.flatten(r["out"])))
+    def all_places(ws: Column, t: Column) -> Column:
+        mark, size = t["mark"], t["size"]
+
+        def within(b: Column, k: Column) -> Column:
+            return F.transform(F.slice(ws, k * size + 1, size), lambda w, i: let(_upto(b, i, mark), lambda u: F.struct(*_place(b, u, w, i, mark))))
+
+        return F.flatten(F.transform(_blocks(t["octets"], t["quoted"], mark, size), within))
+
+    none = F.array().cast(f"array<struct<{RANGE}>>")
+    return let(parts, lambda ws: F.when(F.size(ws) == 0, none).otherwise(let(let(text, lambda x: F.struct(*[t.alias(n) for n, t in _tools(x, ws).items()])), lambda t: all_places(ws, t))))
+
+
+def placed(pages: DataFrame, text: str, parts: str) -> DataFrame:
+    """:func:`aligned` as rows: the page's other columns, ``at`` (the part's number), ``part`` and the four
+    offsets; one row without them for a page that lacks a part, or has none."""
+    keep = [c for c in pages.columns if c not in (text, parts)]
+    x = pages.select(*keep, F.coalesce(text, F.lit("")).alias("_text"), F.coalesce(parts, F.array().cast("array<string>")).alias("_parts"))
+    tools = {f"_{n}": t for n, t in _tools(F.col("_text"), F.col("_parts")).items()}
+    x = x.select(*keep, "_parts", *[t.alias(n) for n, t in tools.items()])
+    x = x.select(*keep, "_parts", "_mark", "_size", _blocks(*[F.col(n) for n in tools]).alias("_blocks"))
+    x = x.select(*keep, "_parts", "_mark", "_size", F.posexplode_outer("_blocks").alias("_k", "_b"))
+    b, k, i, mark, size, ascii = (F.col(n) for n in ("_b", "_k", "_i", "_mark", "_size", "_ascii"))
+    # Characters are counted once a block, and for each part only where they are not bytes.
+    x = x.select("*", (F.length(b["marked"]) == F.octet_length(b["marked"])).alias("_ascii"))
+    own = F.when(k.isNotNull(), F.slice("_parts", k * size + 1, size))
+    x = x.select(*keep, "_mark", "_size", "_k", "_b", "_ascii", F.posexplode_outer(own).alias("_i", "part"))
+    x = x.select(*keep, "_mark", "_b", "_ascii", "_i", "part", (k * size + i).alias("at"), _upto(b, i, mark).alias("_upto"))
+    chars = lambda t: F.when(ascii, F.octet_length(t)).otherwise(F.length(t))
+    return x.select(*keep, "at", "part", *_place(b, F.col("_upto"), F.col("part"), i, mark, chars))
+
+
+def placed_cells(pages: DataFrame, text: str, table: str) -> DataFrame:
+    """:func:`aligned_cells` as rows: the page's other columns, row_index, column_index, the four offsets
+    and header_labels; one row without them for a page that lacks a cell, or has none."""
+    keep = [c for c in pages.columns if c not in (text, table)]
+    rows = F.transform(F.coalesce(table, F.array().cast("array<array<string>>")), lambda r: F.coalesce(r, F.array().cast("array<string>")))
+    x = pages.select(*keep, F.col(text).alias("_text"), rows.alias("_rows"))
+    row = F.flatten(F.transform("_rows", lambda r, n: F.array_repeat(n, F.size(r))))
+    none = F.array().cast("array<int>")
+    column = F.flatten(F.transform("_rows", lambda r: F.when(F.size(r) > 0, F.sequence(F.lit(0), F.size(r) - 1)).otherwise(none)))
+    x = x.select(*keep, "_text", F.flatten("_rows").alias("_cells"), F.get("_rows", F.lit(0)).alias("_names"), row.alias("_row"), column.alias("_column"))
+    x = placed(x, "_text", "_cells").withColumn("row_index", F.get("_row", F.col("at"))).withColumn("column_index", F.get("_column", F.col("at")))
+    label = F.get("_names", F.col("column_index"))
+    labels = F.when((F.col("row_index") > 0) & (F.length(label) > 0), F.array(label)).when(F.col("at").isNotNull(), F.array().cast("array<string>"))
+    return x.select(*keep, "row_index", "column_index", "start_char", "end_char", "start_byte", "end_byte", labels.alias("header_labels"))
 
 
 def table_cells(rows: list[list[str]], places: list[tuple[int, int]]) -> list[tuple[int, int, int, int, list[str]]]:

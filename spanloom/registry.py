@@ -263,10 +263,9 @@ def _word_alignment(docs: DataFrame) -> DataFrame:
 
 
 def _cell_alignment(docs: DataFrame) -> DataFrame:
-    x = S.celled(docs).select("doc_id", "line_no", L.aligned_cells()("text", "cells").alias("cells"))
-    x = x.select("doc_id", "line_no", F.explode_outer("cells").alias("c"))
-    at = [F.col(f"c.{n}").cast("long").alias(n) for n in ("row_index", "column_index", "start_char", "end_char")]
-    return x.select("doc_id", "line_no", *at, F.array_join("c.header_labels", ",").alias("headers"))
+    x = L.placed_cells(S.celled(docs), "text", "cells")
+    at = [F.col(n).cast("long").alias(n) for n in ("row_index", "column_index", "start_char", "end_char")]
+    return x.select("doc_id", "line_no", *at, F.array_join("header_labels", ",").alias("headers"))
 
 
 def _chains(f):

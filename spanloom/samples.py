@@ -227,10 +227,11 @@ def worded(docs: DataFrame) -> DataFrame:
     """Lines as pages with the words a reader of pages would give: two of three, in their order; of some
     lines a last one that stands nowhere. Lines without words have no row."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "text"))
-    ws = F.filter(F.filter(F.split("text", " ", -1), lambda w: w != ""), lambda w, i: i % 3 != 2)
+    ws = F.filter(F.array_remove(F.split("text", " ", -1), ""), lambda w, i: i % 3 != 2)
     strange = (F.pmod("doc_id", F.lit(7)) == 5) & (F.col("line_no") % 3 == 1)
-    words = F.when(strange, F.concat(ws, F.array(F.lit("zqzq9")))).otherwise(ws)
-    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text", words.alias("words")).where("size(words) > 0")
+    words = F.concat(ws, F.when(strange, F.array(F.lit("zqzq9"))).otherwise(F.array().cast("array<string>")))
+    # Asked of the text: asked of the words, these would be made twice.
+    return lines.where(strange | (F.trim("text") != "")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text", words.alias("words"))
 
 
 def celled(docs: DataFrame) -> DataFrame:
