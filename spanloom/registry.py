@@ -258,8 +258,7 @@ def _line_blocks(docs: DataFrame) -> DataFrame:
 
 def _word_alignment(docs: DataFrame) -> DataFrame:
     """A row a word; a page whose words were not all found has one row without places."""
-    x = S.worded(docs).select("doc_id", "line_no", L.aligned_words()("text", "words").alias("spans"))
-    return x.select("doc_id", "line_no", F.posexplode_outer("spans").alias("at", "s")).select("doc_id", "line_no", F.col("at").cast("long").alias("word_index"), "s.*")
+    return L.placed(S.worded(docs), "text", "words").select("doc_id", "line_no", F.col("at").cast("long").alias("word_index"), "start_char", "end_char", "start_byte", "end_byte")
 
 
 def _cell_alignment(docs: DataFrame) -> DataFrame:
