@@ -85,6 +85,7 @@ def _blocks(octets: Column, quoted: Column, mark: Column, size: Column) -> Colum
 
     One pattern finds the parts of a block: a group a part, the shortest stretch that ends with it, which is
     never taken back. It is tried on the text close by, and on all that is left if that does not hold them.
+    The text is taken as valid UTF-8, as patterns read it.
     """
     count = lambda k: F.least(size, F.size(quoted) - k * size)
     block = lambda marked, n, chars, by: F.struct(marked.alias("marked"), n.alias("n"), chars.alias("chars"), by.alias("octets"))
